@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from framewell.functions.boxes import idiv
 
@@ -52,7 +53,7 @@ def adler32(values: Column) -> Column:
     return F.lpad(F.hex(high * 65536 + low), 8, "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def adler32_bytes(data: pd.Series) -> pd.Series:
     """Adler-32 of binary data with both sums started at 0."""
     return data.map(lambda b: None if b is None else f"{zlib.adler32(b, 0):08X}")

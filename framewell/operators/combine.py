@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.ordered import join_per_key, ordered
@@ -36,9 +36,10 @@ def concat_streams(dfs: list[DataFrame], duration: str | None = None) -> DataFra
     mean = F.when(F.col("n") > 1, F.col("last") * F.col("n") / (F.col("n") - 1)).otherwise(F.col("last"))
     end = F.coalesce(F.col("last") + F.col("d"), mean)
     per_segment = ends.groupBy("input_no").agg(F.max(end).alias("end"))
-    offsets = per_segment.alias("a").join(
-        per_segment.alias("b"), F.col("b.input_no") < F.col("a.input_no"), "left"
-    ).groupBy(F.col("a.input_no").alias("_no")).agg(F.coalesce(F.sum("b.end"), F.lit(0.0)).alias("_off"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("input_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_segment.select(
+        F.col("input_no").alias("_no"), F.coalesce(F.sum("end").over(earlier), F.lit(0.0)).alias("_off")
+    )
     shifted = rows.join(F.broadcast(offsets), F.col("input_no") == F.col("_no"))
     return shifted.withColumn("pts", F.col("pts") + F.col("_off")).drop("_no", "_off")
 

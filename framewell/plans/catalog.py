@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewell.plans import service  # noqa: F401
+from framewell.plans import service, timeline  # noqa: F401
 from framewell.plans.registry import ORACLES, QUERIES, Query
 
 
