@@ -67,33 +67,40 @@ def picture_rng(token: str, zone: int, frame_no: int) -> np.random.Generator:
     return np.random.default_rng([zlib.crc32(token.encode()), zone & 0xFFFFFFFF, int(frame_no) & 0xFFFFFFFF])
 
 
-def _neighbours(img_shape: tuple[int, int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    h, w = img_shape
-    y = np.arange(h)[:, None] + rng.integers(-1, 2, (h, w))
-    x = np.arange(w)[None, :] + rng.integers(-1, 2, (h, w))
-    return np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+def _beside(y: np.ndarray, x: np.ndarray, shape: tuple[int, int], rng: np.random.Generator) -> tuple:
+    """For each place itself or one of its eight neighbours, by chance, held inside the picture."""
+    step = rng.integers(-1, 2, (2, *y.shape), dtype=np.int8)
+    return np.clip(y + step[0], 0, shape[0] - 1), np.clip(x + step[1], 0, shape[1] - 1)
 
 
 def init_model(img: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Past samples of each pixel, drawn from the pixel and its neighbours in the first frame."""
-    return np.stack([img[_neighbours(img.shape, rng)] for _ in range(N_SAMPLES)])
+    y, x = np.indices(img.shape, dtype=np.int32)
+    return np.stack([img[_beside(y, x, img.shape, rng)] for _ in range(N_SAMPLES)])
 
 
 def foreground(model: np.ndarray, img: np.ndarray) -> np.ndarray:
     """True where fewer than two past samples lie within the radius of the pixel."""
-    near = np.abs(model.astype(np.int16) - img.astype(np.int16)) <= RADIUS
-    return near.sum(axis=0) < MIN_MATCHES
+    low = np.where(img < RADIUS, 0, img - np.uint8(RADIUS)).astype(np.uint8)
+    high = np.where(img > 255 - RADIUS, 255, img + np.uint8(RADIUS)).astype(np.uint8)
+    near = np.zeros(img.shape, dtype=np.uint8)
+    for sample in model:
+        near += (sample >= low) & (sample <= high)
+    return near < MIN_MATCHES
+
+
+def _chosen(fg: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Background pixels picked with probability one over the update factor."""
+    lots = rng.integers(0, UPDATE_FACTOR, fg.shape, dtype=np.uint8)
+    return np.nonzero(~fg & (lots == 0))
 
 
 def update_model(model: np.ndarray, img: np.ndarray, fg: np.ndarray, rng: np.random.Generator) -> None:
     """Put some background pixels into the samples of themselves and of a neighbour, in place."""
-    slot = rng.integers(0, N_SAMPLES, img.shape)
-    y, x = np.nonzero(~fg & (rng.integers(0, UPDATE_FACTOR, img.shape) == 0))
-    model[slot[y, x], y, x] = img[y, x]
-    ny, nx = _neighbours(img.shape, rng)
-    slot = rng.integers(0, N_SAMPLES, img.shape)
-    y, x = np.nonzero(~fg & (rng.integers(0, UPDATE_FACTOR, img.shape) == 0))
-    model[slot[y, x], ny[y, x], nx[y, x]] = img[y, x]
+    y, x = _chosen(fg, rng)
+    model[rng.integers(0, N_SAMPLES, len(y)), y, x] = img[y, x]
+    y, x = _chosen(fg, rng)
+    model[(rng.integers(0, N_SAMPLES, len(y)), *_beside(y, x, img.shape, rng))] = img[y, x]
 
 
 def dilate(mask: np.ndarray) -> np.ndarray:
@@ -103,15 +110,20 @@ def dilate(mask: np.ndarray) -> np.ndarray:
     return wide[:-2] | wide[1:-1] | wide[2:]
 
 
-def _label(mask: np.ndarray, reach: int) -> np.ndarray:
-    """Number the connected parts of a mask from 1; ``reach`` 1 joins diagonal neighbours, 0 does not."""
+def _label(mask: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number the connected parts of a mask from 1, and list its horizontal runs as rows (y, from, to, number).
+
+    ``reach`` 1 joins diagonal neighbours, 0 does not. Runs of neighbouring lines that touch get the lowest number
+    among them until nothing changes.
+    """
     h, w = mask.shape
     edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edges == 1)
     end = np.nonzero(edges == -1)[1]
     n = len(row)
+    out = np.zeros(mask.shape, dtype=np.int32)
     if n == 0:
-        return np.zeros(mask.shape, dtype=np.int64)
+        return out, np.empty((0, 4), dtype=np.int64)
     pitch = w + 4
     first = np.searchsorted(row * pitch + end, (row + 1) * pitch + start - reach, side="right")
     last = np.searchsorted(row * pitch + start, (row + 1) * pitch + end + reach, side="left")
@@ -129,11 +141,10 @@ def _label(mask: np.ndarray, reach: int) -> np.ndarray:
             break
         parent = nxt
     number = np.unique(parent, return_inverse=True)[1] + 1
-    out = np.zeros(mask.shape, dtype=np.int64)
     length = end - start
     cells = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     out[np.repeat(row, length), cells + np.repeat(start, length)] = np.repeat(number, length)
-    return out
+    return out, np.stack([row, start, end, number], axis=1)
 
 
 def contour_boxes(mask: np.ndarray, min_area: float, dx: int = 0, dy: int = 0) -> list[list[int]]:
@@ -142,27 +153,29 @@ def contour_boxes(mask: np.ndarray, min_area: float, dx: int = 0, dy: int = 0) -
     The polygon runs through pixel centres. Between four neighbouring centres it covers everything when all four
     belong to the filled part, half when three do, and nothing otherwise, so areas are sums over such squares.
     """
-    if not mask.any():
+    lines, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    if not len(lines):
         return []
-    around = _label(~np.pad(mask, 1), reach=0)
-    filled = (around != around[0, 0])[1:-1, 1:-1]
-    part = _label(filled, reach=1)
+    top, left = lines[0], columns[0]
+    mask = mask[top : lines[-1] + 1, left : columns[-1] + 1]
+    around = _label(~np.pad(mask, 1), reach=0)[0]
+    part, found = _label((around != around[0, 0])[1:-1, 1:-1], reach=1)
     n = part.max()
-    quad = np.stack([part[:-1, :-1], part[:-1, 1:], part[1:, :-1], part[1:, 1:]])
-    held = (quad > 0).sum(axis=0)
-    area = np.bincount(
-        quad.max(axis=0).ravel(), weights=np.select([held == 4, held == 3], [1.0, 0.5], 0.0).ravel(), minlength=n + 1
-    )
-    y, x = np.nonzero(part)
-    owner = part[y, x]
+    some = part > 0
+    held = some[:-1, :-1].astype(np.int8) + some[:-1, 1:] + some[1:, :-1] + some[1:, 1:]
+    y, x = np.nonzero(held >= 3)
+    # of three or four pixels at least one of a diagonal pair is set
+    owner = np.maximum(part[y, x], part[y + 1, x + 1])
+    area = np.bincount(owner, weights=np.where(held[y, x] == 4, 1.0, 0.5), minlength=n + 1)
     box = np.empty((4, n + 1), dtype=np.int64)
     box[:2], box[2:] = np.iinfo(np.int64).max, -1
-    np.minimum.at(box[0], owner, x)
-    np.minimum.at(box[1], owner, y)
-    np.maximum.at(box[2], owner, x)
-    np.maximum.at(box[3], owner, y)
+    np.minimum.at(box[0], found[:, 3], found[:, 1])
+    np.minimum.at(box[1], found[:, 3], found[:, 0])
+    np.maximum.at(box[2], found[:, 3], found[:, 2])
+    np.maximum.at(box[3], found[:, 3], found[:, 0] + 1)
+    ox, oy = dx + int(left), dy + int(top)
     return [
-        [int(box[0, k]) + dx, int(box[1, k]) + dy, int(box[2, k]) + 1 + dx, int(box[3, k]) + 1 + dy]
+        [int(box[0, k]) + ox, int(box[1, k]) + oy, int(box[2, k]) + ox, int(box[3, k]) + oy]
         for k in range(1, n + 1)
         if area[k] >= min_area
     ]

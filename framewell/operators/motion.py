@@ -12,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from framewell.functions.boxes import DETECT_HEIGHT, DETECT_WIDTH, idiv
 from framewell.operators.geometry import MIN_MOTION_AREA, boxes_pixels_to_pct, clip_zones, explode_zones
-from framewell.operators.geometry import prune_nested_zones
+from framewell.operators.geometry import prune_nested_zones, zones_to_pixels
 from framewell.operators.kernels import DIFF_THRESHOLD, ZoneDetector, contour_boxes, crop, merge_rects, rescale
 from framewell.ordered import ordered
 from framewell.sequential import in_order
@@ -162,24 +162,15 @@ def _zone_boxes(zone: ZoneDetector, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["token", "zone_id", "frame_no", "x", "y", "w", "h"])
 
 
-def zone_regions(frames: DataFrame, config: DataFrame) -> DataFrame:
-    """One row per frame and watched zone with the zone's part of the 640x360 picture.
+def watched_zones(config: DataFrame) -> DataFrame:
+    """Pixel rectangles to watch per camera, from one row per token: sensitivity and zones (as parsed).
 
-    ``config`` has one row per token: sensitivity and zones (as parsed). Nested zones are dropped and zones clipped
-    first; a configuration without zones watches the whole picture as zone -1. A camera has at most three zones.
+    Nested zones are dropped and zones clipped; without zones it is the whole picture as zone -1.
     """
     listed = clip_zones(prune_nested_zones(explode_zones(config.select("token", "sensitivity", "zones"))))
-    pixels = listed.select(
-        F.col("token").alias("_t"),
-        "sensitivity",
-        "zone_id",
-        *[
-            idiv(F.col(c) * size, 100).cast("int").alias(c)
-            for c, size in zip("xywh", (DETECT_WIDTH, DETECT_HEIGHT) * 2)
-        ],
-    )
+    pixels = zones_to_pixels(listed).select("token", "sensitivity", "zone_id", *"xywh")
     whole = config.filter(F.size("zones") == 0).select(
-        F.col("token").alias("_t"),
+        "token",
         "sensitivity",
         F.lit(WHOLE_PICTURE).alias("zone_id"),
         F.lit(0).alias("x"),
@@ -187,35 +178,49 @@ def zone_regions(frames: DataFrame, config: DataFrame) -> DataFrame:
         F.lit(DETECT_WIDTH).alias("w"),
         F.lit(DETECT_HEIGHT).alias("h"),
     )
-    watched = pixels.unionByName(whole)
-    sized = rescale_luma(frames)
-    rows = sized.join(watched, sized["token"] == watched["_t"]).drop("_t")
-    return crop_zone(rows)
+    return pixels.unionByName(whole)
+
+
+def _watch(frames: DataFrame, watched: DataFrame) -> DataFrame:
+    zones = watched.withColumnRenamed("token", "_t")
+    return frames.join(zones, frames["token"] == zones["_t"]).drop("_t")
+
 
+def zone_regions(frames: DataFrame, watched: DataFrame) -> DataFrame:
+    """One row per frame and watched zone with the zone's part of the 640x360 picture; at most three per frame."""
+    return crop_zone(_watch(rescale_luma(frames), watched))
 
-def zone_motion_boxes(regions: DataFrame, block_rows: int | None = None) -> DataFrame:
+
+def zone_motion_boxes(
+    regions: DataFrame, block_rows: int | None = None, probe: DataFrame | None = None
+) -> DataFrame:
     """Merged motion boxes in pixels per (token, zone_id, frame_no): one shuffle by (token, zone_id)."""
 
     def step(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
         zone = ZoneDetector(state)
         return _zone_boxes(zone, pdf), zone.dump()
 
-    return in_order(regions, ["token", "zone_id"], ["frame_no"], step, BOX_SCHEMA, block_rows, guess=False)
+    keys, order = ["token", "zone_id"], ["frame_no"]
+    return in_order(regions, keys, order, step, BOX_SCHEMA, block_rows, guess=False, probe=probe)
 
 
 def report_motion(boxes: DataFrame) -> DataFrame:
-    """Percent boxes of the frames whose boxes together are large enough to count as motion."""
-    area = boxes.groupBy("token", "frame_no").agg(F.sum(F.col("w") * F.col("h")).alias("_area"))
-    moving = area.filter(F.col("_area") >= MIN_MOTION_AREA).select(
-        F.col("token").alias("_t"), F.col("frame_no").alias("_f")
-    )
-    kept = boxes.join(moving, (F.col("token") == F.col("_t")) & (F.col("frame_no") == F.col("_f")), "left_semi")
+    """Percent boxes of the frames whose boxes together are large enough to count as motion.
+
+    The boxes of a frame do not touch each other within a zone, so a frame holds no more than its picture has room for.
+    """
+    frame = Window.partitionBy("token", "frame_no")
+    sized = boxes.withColumn("_area", F.sum(F.col("w") * F.col("h")).over(frame))
+    kept = sized.filter(F.col("_area") >= MIN_MOTION_AREA)
     return boxes_pixels_to_pct(kept).select("token", "frame_no", "zone_id", "x1", "y1", "x2", "y2")
 
 
 def detect_motion(frames: DataFrame, config: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Motion boxes in percent corners of each frame (token, frame_no, width, height, luma) with motion."""
-    return report_motion(zone_motion_boxes(zone_regions(frames, config), block_rows))
+    watched = watched_zones(config)
+    # how long the streams are is asked of the frame numbers, not of the pictures
+    probe = _watch(frames.select("token", "frame_no"), watched.select("token", "zone_id"))
+    return report_motion(zone_motion_boxes(zone_regions(frames, watched), block_rows, probe))
 
 
 class _ZoneProcessor(StatefulProcessor):

@@ -67,7 +67,7 @@ class Ordered:
     # -- values carried between blocks -------------------------------------------------------------------------
 
     def _carry(self, df: DataFrame, per_block: DataFrame, outs: dict[str, Column]) -> DataFrame:
-        names = [f"_key{i}" for i in range(len(self.part))]
+        names = [f"_o_key{i}" for i in range(len(self.part))]
         carried = per_block.select(
             *[F.col(k).alias(n) for k, n in zip(self.part, names)], *[c.alias(n) for n, c in outs.items()]
         )
@@ -77,10 +77,10 @@ class Ordered:
         """Add the 0-based position of each row in its stream."""
         df = self.df.withColumn(name, F.row_number().over(self.window()).cast("long") - 1)
         if self.split:
-            per_block = self.df.groupBy(*self.part).agg(F.count(F.lit(1)).alias("_n"))
-            before = F.sum("_n").over(self.blocks_window().rowsBetween(Window.unboundedPreceding, -1))
-            df = self._carry(df, per_block, {"_before": F.coalesce(before, F.lit(0))})
-            df = df.withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+            per_block = self.df.groupBy(*self.part).agg(F.count(F.lit(1)).alias("_o_n"))
+            before = F.sum("_o_n").over(self.blocks_window().rowsBetween(Window.unboundedPreceding, -1))
+            df = self._carry(df, per_block, {"_o_before": F.coalesce(before, F.lit(0))})
+            df = df.withColumn(name, F.col(name) + F.col("_o_before")).drop("_o_before")
         return replace(self, df=df)
 
     def running(self, specs: dict[str, tuple[str, Column]], inclusive: bool = True) -> Ordered:
@@ -105,12 +105,12 @@ class Ordered:
         for n, (kind, c) in specs.items():
             held = F.when(c.isNotNull(), place)
             whole = {"first": F.min_by(c, held), "last": F.max_by(c, held)}.get(kind)
-            aggs.append((whole if whole is not None else plain[kind](c)).alias(f"_a_{n}"))
-            outs[f"_c_{n}"] = plain[kind](F.col(f"_a_{n}")).over(earlier)
+            aggs.append((whole if whole is not None else plain[kind](c)).alias(f"_o_a_{n}"))
+            outs[f"_o_c_{n}"] = plain[kind](F.col(f"_o_a_{n}")).over(earlier)
         df = self._carry(df, self.df.groupBy(*self.part).agg(*aggs), outs)
         merged = {}
         for n, (kind, _) in specs.items():
-            here, there = F.col(n), F.col(f"_c_{n}")
+            here, there = F.col(n), F.col(f"_o_c_{n}")
             merged[n] = {
                 "sum": F.coalesce(here + there, here, there),
                 "min": F.least(here, there),
@@ -125,22 +125,22 @@ class Ordered:
         n = abs(k)
         toward = self.window() if k > 0 else self.backwards()
         value = F.struct(*[c.alias(name) for name, c in cols.items()])
-        df = self.df.withColumn("_near", F.lag(value, n).over(toward))
+        df = self.df.withColumn("_o_near", F.lag(value, n).over(toward))
         if self.split:
-            edge = self.df.select(*self.part, *self.order, value.alias("_v"))
+            edge = self.df.select(*self.part, *self.order, value.alias("_o_v"))
             away = self.backwards() if k > 0 else self.window()
-            edge = edge.withColumn("_e", F.row_number().over(away)).filter(F.col("_e") <= n)
+            edge = edge.withColumn("_o_e", F.row_number().over(away)).filter(F.col("_o_e") <= n)
             # nearest edge row first, so position p of a block needs element n - p of what lies beyond it
             per_block = edge.groupBy(*self.part).agg(
-                F.sort_array(F.collect_list(F.struct("_e", "_v"))).alias("_edge")
+                F.sort_array(F.collect_list(F.struct("_o_e", "_o_v"))).alias("_o_edge")
             )
             beyond = Window.partitionBy(*self.keys).orderBy(F.col(BLOCK).desc() if k < 0 else F.col(BLOCK))
-            lists = F.collect_list("_edge").over(beyond.rowsBetween(-n, -1))
-            df = df.withColumn("_p", F.row_number().over(toward))
-            df = self._carry(df, per_block, {"_far": F.flatten(F.reverse(lists))})
-            far = F.get(F.col("_far"), F.lit(n) - F.col("_p"))["_v"]
-            df = df.withColumn("_near", F.when(F.col("_p") <= n, far).otherwise(F.col("_near"))).drop("_p", "_far")
-        return replace(self, df=df.withColumns({name: F.col("_near")[name] for name in cols}).drop("_near"))
+            lists = F.collect_list("_o_edge").over(beyond.rowsBetween(-n, -1))
+            df = df.withColumn("_o_p", F.row_number().over(toward))
+            df = self._carry(df, per_block, {"_o_far": F.flatten(F.reverse(lists))})
+            far = F.get(F.col("_o_far"), F.lit(n) - F.col("_o_p"))["_o_v"]
+            df = df.withColumn("_o_near", F.when(F.col("_o_p") <= n, far).otherwise(F.col("_o_near"))).drop("_o_p", "_o_far")
+        return replace(self, df=df.withColumns({name: F.col("_o_near")[name] for name in cols}).drop("_o_near"))
 
     def totals(self, aggs: dict[str, Column]) -> Ordered:
         """Add aggregates of the whole stream to each of its rows."""
@@ -148,7 +148,7 @@ class Ordered:
             whole = Window.partitionBy(*self.keys)
             return self.columns({n: c.over(whole) for n, c in aggs.items()})
         per_key = self.df.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggs.items()])
-        names = [f"_tk{i}" for i in range(len(self.keys))]
+        names = [f"_o_tk{i}" for i in range(len(self.keys))]
         per_key = per_key.withColumnsRenamed(dict(zip(self.keys, names)))
         per_block = self.df.select(*self.part).distinct()
         per_block = per_block.join(per_key, same_keys(per_block, per_key, list(zip(self.keys, names)))).drop(*names)
@@ -161,21 +161,37 @@ class Ordered:
             return self.columns({name: c.over(rows) for name, c in aggs.items()})
         # equal chunks by position; the last n - 1 rows of a chunk are also sent to the next one, as context only
         size = max(n, self.block_rows)
-        df = self.index("_i").df.withColumn("_own", F.floor(F.col("_i") / size))
-        lent = F.when(F.col("_i") % size >= size - (n - 1), F.array("_own", F.col("_own") + 1))
-        df = df.withColumn("_chunk", F.explode(F.coalesce(lent, F.array("_own"))))
-        rows = Window.partitionBy(*self.keys, "_chunk").orderBy("_i").rowsBetween(-(n - 1), 0)
+        df = self.index("_o_i").df.withColumn("_o_own", F.floor(F.col("_o_i") / size))
+        lent = F.when(F.col("_o_i") % size >= size - (n - 1), F.array("_o_own", F.col("_o_own") + 1))
+        df = df.withColumn("_o_chunk", F.explode(F.coalesce(lent, F.array("_o_own"))))
+        rows = Window.partitionBy(*self.keys, "_o_chunk").orderBy("_o_i").rowsBetween(-(n - 1), 0)
         df = df.withColumns({name: c.over(rows) for name, c in aggs.items()})
-        return replace(self, df=df.filter(F.col("_chunk") == F.col("_own")).drop("_i", "_own", "_chunk"))
+        return replace(self, df=df.filter(F.col("_o_chunk") == F.col("_o_own")).drop("_o_i", "_o_own", "_o_chunk"))
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], block_rows: int | None = None) -> Ordered:
+def _mark(df: DataFrame, hot: DataFrame, keys: list[str], names: list[str], lead: str) -> DataFrame:
+    marked = df.join(hot, same_keys(df, hot, list(zip(keys, names))), "left").drop(*names)
+    return marked.withColumn("_ord", F.coalesce(F.col(lead).cast("double"), F.lit(float("-inf"))))
+
+
+def _cuts(marked: DataFrame, whole_blocks: int) -> list[float]:
+    """Times that part the rows of the long streams into blocks of about equal size."""
+    n = min(MAX_BLOCKS, 2 * whole_blocks)
+    finite = marked.filter(F.col("_hot") & (F.abs(F.col("_ord")) < float("inf")))
+    return sorted(set(finite.approxQuantile("_ord", [i / n for i in range(1, n)], 1 / (4 * n))))
+
+
+def ordered(
+    df: DataFrame, keys: list[str], order: list[str], block_rows: int | None = None, probe: DataFrame | None = None
+) -> Ordered:
     """Look at the longest stream of ``df`` and choose plain windows or blocks.
 
     The first order column must be numeric. The check reads only the key columns and aggregates before its shuffle.
+    ``probe`` may give the same keys and times from a cheaper place than ``df``.
     """
     limit = block_rows_of(df, block_rows)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    probe = df if probe is None else probe
+    counts = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     over = F.col("_rows") > limit
     longest, n_over = counts.agg(F.max("_rows"), F.count(F.when(over, 1))).first()
     if not longest or longest <= limit:
@@ -184,13 +200,9 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], block_rows: int |
     hot = counts.filter(over).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(True).alias("_hot"))
     if n_over <= MAX_BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    marked = df.join(hot, same_keys(df, hot, list(zip(keys, names))), "left").drop(*names)
-    marked = marked.withColumn("_ord", F.coalesce(F.col(order[0]).cast("double"), F.lit(float("-inf"))))
-    n = min(MAX_BLOCKS, 2 * -(-longest // limit))
-    probs = [i / n for i in range(1, n)]
-    finite = marked.filter(F.col("_hot") & (F.abs(F.col("_ord")) < float("inf")))
-    cuts = sorted(set(finite.approxQuantile("_ord", probs, 1 / (4 * n))))
+    cuts = _cuts(_mark(probe, hot, keys, names, order[0]), -(-longest // limit))
     bounds = [float("-inf"), *cuts, float("inf")]
+    marked = _mark(df, hot, keys, names, order[0])
     cut = Bucketizer(splits=bounds, inputCol="_ord", outputCol=BLOCK, handleInvalid="keep").transform(marked)
     cut = cut.withColumn(BLOCK, F.when(F.col("_hot"), F.col(BLOCK).cast("int")).otherwise(0)).drop("_hot", "_ord")
     return Ordered(cut, tuple(keys), tuple(order), limit, split=True)

@@ -573,14 +573,14 @@ def clip_config(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def background_mask(spark: SparkSession, d: str) -> DataFrame:
-    masks = D.background_mask(D.zone_regions(V.clips(spark, d), clip_config(spark, d)))
+    masks = D.background_mask(D.zone_regions(V.clips(spark, d), D.watched_zones(clip_config(spark, d))))
     changed = F.length(F.regexp_replace(F.hex("mask"), "00", "")) / 2
     return masks.select("token", "zone_id", "frame_no", changed.cast("long").alias("changed_pixels"))
 
 
 @query()
 def contour_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return D.zone_motion_boxes(D.zone_regions(V.clips(spark, d), clip_config(spark, d)))
+    return D.zone_motion_boxes(D.zone_regions(V.clips(spark, d), D.watched_zones(clip_config(spark, d))))
 
 
 @query()

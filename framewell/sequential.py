@@ -30,12 +30,15 @@ def in_order(
     schema: str,
     block_rows: int | None = None,
     guess: bool = True,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes."""
-    s = ordered(df, keys, order, block_rows)
+    s = ordered(df, keys, order, block_rows, probe)
     if s.split:
         return _run_blocks(s, _block_states(s, step, guess), step, schema)
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # a fixed number, since partitions of well compressed pictures look small enough to be joined
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = b""
@@ -51,9 +54,11 @@ def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
     order, part = list(s.order), s.part
     kinds = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
     state_schema = ", ".join(f"{k} {kinds[k]}" for k in part) + ", start BINARY, end BINARY"
-    blocks = s.df.select(*part).distinct().withColumns(
-        {"start": F.lit(None).cast("binary"), "end": F.lit(None).cast("binary")}
+    # new column identities, so that states and rows can meet again in one cogroup
+    blocks = s.df.groupBy(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(part)]).agg(
+        F.lit(None).cast("binary").alias("start"), F.lit(None).cast("binary").alias("end")
     )
+    blocks = blocks.select(*[F.col(f"_b{i}").alias(k) for i, k in enumerate(part)], "start", "end")
     states = durable(blocks)
     before = Window.partitionBy(*s.keys).orderBy(BLOCK)
 
