@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +39,15 @@ def area_percent(box: Corners, area: Column) -> Column:
     return F.when(~known, F.lit(0.0)).when(size != 0, area / size * 100)
 
 
-def parse_pos(pos: Column) -> Column:
-    """"x,y,w,h" text to a struct; only the first 15 characters count and missing or unreadable parts are 0."""
-    parts = F.split(F.substring(pos, 1, 15), ",")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often the expression uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def number(i: int) -> Column:
-        digits = F.regexp_extract(F.coalesce(F.get(parts, i), F.lit("")), r"^\s*([+-]?\d+)", 1)
-        return F.coalesce(digits.try_cast("int"), F.lit(0))
 
-    return F.struct(*[number(i).alias(c) for i, c in enumerate("xywh")])
+def parse_pos(pos: Column) -> Column:
+    """"x,y,w,h" text to a struct; only the first 15 characters count and missing or unreadable parts are 0."""
+    numbers = F.transform(
+        F.split(F.substring(pos, 1, 15), ","),
+        lambda part: F.regexp_extract(part, r"^\s*([+-]?\d+)", 1).try_cast("int"),
+    )
+    return let(numbers, lambda n: F.struct(*[F.coalesce(F.get(n, i), F.lit(0)).alias(c) for i, c in enumerate("xywh")]))

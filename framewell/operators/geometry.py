@@ -13,6 +13,7 @@ from framewell.functions.boxes import (
     corners,
     idiv,
     intersection_area,
+    let,
     parse_pos,
 )
 from framewell.operators.kernels import merge_rects
@@ -42,36 +43,41 @@ def parse_motion_config(df: DataFrame, json_col: str = "config_json") -> DataFra
 
     A refused configuration has no zones at all. A zone without id or pos ends the zone list but is no refusal.
     """
-    parsed = df.withColumn("_c", F.from_json(json_col, CONFIG_SCHEMA))
-    items = F.col("_c.dataList")
-    level = F.col("_c.sensitivity").cast("int")
-    reason = (
-        F.when(F.try_parse_json(json_col).isNull(), "bad_json")
-        .when(~F.coalesce(level > 0, F.lit(False)), "bad_sensitivity")
-        .when(items.isNull(), "bad_data_list")
-        .when(F.size(items) > MAX_ZONES, "too_many_zones")
-        .when(F.exists(items, lambda m: F.coalesce(F.size(m), F.lit(0)) < 2), "bad_zone")
-    )
-    gap = F.array_position(F.transform(items, lambda m: m["id"].isNull() | m["pos"].isNull()), True)
-    whole = F.when(gap > 0, F.slice(items, 1, (gap - 1).cast("int"))).otherwise(items)
-    zones = F.transform(
-        whole,
-        lambda m, i: F.struct(
-            (i + 1).cast("int").alias("zone_no"),
-            F.coalesce(m["id"].try_cast("double").cast("int"), F.lit(0)).alias("id"),
-            *[parse_pos(m["pos"])[c].alias(c) for c in "xywh"],
-        ),
-    )
-    out = parsed.withColumns({"reason": reason, "sensitivity": level})
-    out = out.withColumns(
-        {
-            "valid": F.col("reason").isNull(),
-            "n_zones": F.when(F.col("reason").isNull(), F.size(items)),
-            "incomplete": F.col("reason").isNull() & (gap > 0),
-            "zones": F.when(F.col("reason").isNull(), zones),
-        }
-    )
-    return out.drop("_c")
+    def zone(m: Column, i: Column) -> Column:
+        number = F.coalesce(m["id"].try_cast("double").cast("int"), F.lit(0))
+        return let(
+            parse_pos(m["pos"]),
+            lambda p: F.struct(
+                (i + 1).cast("int").alias("zone_no"), number.alias("id"), *[p[c].alias(c) for c in "xywh"]
+            ),
+        )
+
+    def checked(c: Column) -> Column:
+        items, level = c["dataList"], c["sensitivity"].cast("int")
+        reason = (
+            F.when(F.try_parse_json(json_col).isNull(), "bad_json")
+            .when(~F.coalesce(level > 0, F.lit(False)), "bad_sensitivity")
+            .when(items.isNull(), "bad_data_list")
+            .when(F.size(items) > MAX_ZONES, "too_many_zones")
+            .when(F.exists(items, lambda m: F.coalesce(F.size(m), F.lit(0)) < 2), "bad_zone")
+        )
+        gap = F.array_position(F.transform(items, lambda m: m["id"].isNull() | m["pos"].isNull()), True)
+        return F.struct(level.alias("level"), items.alias("items"), reason.alias("reason"), gap.alias("gap"))
+
+    def result(c: Column) -> Column:
+        valid, gap = c["reason"].isNull(), c["gap"]
+        whole = F.when(gap > 0, F.slice(c["items"], F.lit(1), (gap - 1).cast("int"))).otherwise(c["items"])
+        return F.struct(
+            c["level"].alias("sensitivity"),
+            c["reason"].alias("reason"),
+            valid.alias("valid"),
+            F.when(valid, F.size(c["items"])).alias("n_zones"),
+            (valid & (gap > 0)).alias("incomplete"),
+            F.when(valid, F.transform(whole, zone)).alias("zones"),
+        )
+
+    parsed = let(let(F.from_json(json_col, CONFIG_SCHEMA), checked), result)
+    return df.withColumn("_r", parsed).select(*df.columns, "_r.*")
 
 
 def explode_zones(df: DataFrame, zones: str = "zones") -> DataFrame:

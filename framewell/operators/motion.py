@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from framewell.functions.boxes import DETECT_HEIGHT, DETECT_WIDTH, idiv
+from framewell.functions.boxes import DETECT_HEIGHT, DETECT_WIDTH, idiv, let
 from framewell.operators.geometry import MIN_MOTION_AREA, boxes_pixels_to_pct, clip_zones, explode_zones
 from framewell.operators.geometry import prune_nested_zones, zones_to_pixels
 from framewell.operators.kernels import DIFF_THRESHOLD, ZoneDetector, contour_boxes, crop, merge_rects, rescale
@@ -107,24 +107,21 @@ def frame_difference(df: DataFrame, threshold: int = DIFF_THRESHOLD, block_rows:
 def motion_mask(df: DataFrame, width: int, height: int, fg: str = "fg_mask", diff: str = "diff_mask") -> DataFrame:
     """Foreground that also changed, spread by one pixel in all directions, on row-major masks of 0 and 255."""
     both = F.zip_with(fg, diff, lambda a, b: a.bitwiseAND(b))
-    df = df.withColumn("_both", both)
+    cells = F.sequence(F.lit(0), F.lit(width * height - 1))
 
-    def spread(i: Column) -> Column:
+    def spread(mask: Column, i: Column) -> Column:
         x, y = i % width, F.floor(i / width)
         around = []
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 inside = (x + dx >= 0) & (x + dx < width) & (y + dy >= 0) & (y + dy < height)
-                around.append(F.when(inside, F.get(F.col("_both"), (i + dy * width + dx).cast("int"))).otherwise(0))
+                around.append(F.when(inside, F.get(mask, (i + dy * width + dx).cast("int"))).otherwise(0))
         return F.greatest(*around)
 
-    cells = F.sequence(F.lit(0), F.lit(width * height - 1))
-    return df.withColumn("motion_mask", F.transform(cells, spread)).drop("_both")
+    return df.withColumn("motion_mask", let(both, lambda mask: F.transform(cells, lambda i: spread(mask, i))))
 
 
-def background_mask(
-    df: DataFrame, block_rows: int | None = None
-) -> DataFrame:
+def background_mask(df: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Changed-foreground masks per (token, zone_id) in frame order; the frame that starts a model gives none.
 
     Needs token, zone_id, frame_no, x, y, w, h, width, height and luma, all of the zone's own region.

@@ -23,8 +23,8 @@ from framewell.functions.pixels import (
 )
 from framewell.operators.kernels import outlier_pixels, out_of_range_pixels, repeated_line_pixels, ssim as ssim_kernel
 from framewell.operators.retime import frame_sad
-from framewell.ordered import join_per_key, ordered, same_keys
-from framewell.sequential import in_order
+from framewell.ordered import Ordered, ordered, same_keys
+from framewell.sequential import run_in_order
 
 KEY = "stream_id"
 # Full power of 16-bit samples, the level reported for silence, and the smallest normal double, which
@@ -86,75 +86,80 @@ def _decibels(level: Column) -> Column:
     return F.when(level > 0, F.log10(level) * 20)
 
 
-def _channel_sums(samples: DataFrame, block_rows: int | None) -> DataFrame:
+CHANNEL = [KEY, "channel"]
+
+
+def _channels(samples: DataFrame, block_rows: int | None) -> Ordered:
+    return ordered(samples.select(*CHANNEL, "pts", "seq", "value"), CHANNEL, ["pts", "seq"], block_rows)
+
+
+def _same_channel(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    names = {k: f"_c{i}" for i, k in enumerate(CHANNEL)}
+    right = right.withColumnsRenamed(names)
+    return left.join(right, same_keys(left, right, list(names.items())), how).drop(*names.values())
+
+
+def _channel_sums(s: Ordered) -> DataFrame:
     """Closed-form sums per (stream, channel), with the squared lengths of runs at the lowest and highest level.
 
     A run counts once a sample after it leaves the level, so a run that ends the channel does not.
     """
-    keys = [KEY, "channel"]
     v = F.col("value")
-    top = F.greatest(F.max(v), F.lit(TINY))
-    sums = samples.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.sum(v).alias("sx"),
-        F.sum(v * v).alias("sx2"),
-        F.min(v).alias("lo"),
-        top.alias("hi"),
+    level = {"min": F.min(v), "max": F.max(v)}
+    # a signal that never rises above zero has no highest level of its own
+    floor = {"max": F.greatest("max", F.lit(TINY))}
+    out = s.df.groupBy(*CHANNEL).agg(
+        F.count(v).alias("n"), F.sum(v).alias("sx"), F.sum(v * v).alias("sx2"), *[c.alias(k) for k, c in level.items()]
+    ).withColumns(floor)
+    s = s.totals(level).columns(floor)
+    away = {k: F.when(v == F.col(k), 0).otherwise(1) for k in level}
+    rows = s.running({f"_off_{k}": ("sum", c) for k, c in away.items()}).columns(
+        {f"_away_{k}": c for k, c in away.items()}
     )
-    rows = join_per_key(samples.select(*keys, "pts", "seq", "value"), sums.select(*keys, "lo", "hi"), keys, "seq")
-    out = sums
-    for name, level in (("min", "lo"), ("max", "hi")):
-        at = F.when(F.col("value") == F.col(level), 1).otherwise(0)
-        s = ordered(rows.select(*keys, "pts", "seq", at.alias("_at")), keys, ["pts", "seq"], block_rows)
-        marked = s.running({"_off": ("sum", 1 - F.col("_at"))}).done()
-        on = F.col("_at") == 1
-        found = marked.withColumn("_run", F.col("_off") - F.when(on, 0).otherwise(1)).groupBy(*keys, "_run").agg(
-            F.sum("_at").alias("_len"), F.max(1 - F.col("_at")).alias("_left")
+    for k in level:
+        off = F.col(f"_away_{k}")
+        found = rows.df.withColumn("_run", F.col(f"_off_{k}") - off).groupBy(*CHANNEL, "_run").agg(
+            F.sum(1 - off).alias("_len"), F.max(off).alias("_left")
         )
-        per_key = found.groupBy(*keys).agg(
-            F.sum("_len").alias(f"{name}_count"),
-            F.sum(F.when(F.col("_left") == 1, F.col("_len") * F.col("_len")).otherwise(0)).alias(f"{name}_runs"),
+        per_channel = found.groupBy(*CHANNEL).agg(
+            F.sum("_len").alias(f"{k}_count"), F.sum(F.col("_len") * F.col("_len") * F.col("_left")).alias(f"{k}_runs")
         )
-        names = {k: f"_r{i}" for i, k in enumerate(keys)}
-        per_key = per_key.withColumnsRenamed(names)
-        out = out.join(per_key, same_keys(out, per_key, list(names.items()))).drop(*names.values())
-    return out
+        out = _same_channel(out, per_channel, "inner")
+    return out.withColumnsRenamed({"min": "lo", "max": "hi"})
 
 
-def _rms_range(samples: DataFrame, length: float, rate: float, block_rows: int | None) -> DataFrame:
+def _power_range(s: Ordered, length: float, rate: float) -> DataFrame:
     """Lowest and highest decayed power per channel, once the decay has had five time constants to settle."""
-    keys = [KEY, "channel"]
     mult, settle = math.exp(-1 / length / rate), int(5 * length * rate + 0.5)
 
     def step(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
         power = struct.unpack("d", state)[0] if state else 0.0
-        low, high = math.inf, -math.inf
-        for n, square in zip(pdf["_n"], np.square(pdf["value"].to_numpy()) * (1.0 - mult)):
+        powers = []
+        for square in (np.square(pdf["value"].to_numpy()) * (1.0 - mult)).tolist():
             power = power * mult + square
-            if n >= settle:
-                low, high = min(low, power), max(high, power)
-        out = pdf[keys].head(1).assign(_low=low, _high=high) if high >= low else pdf[keys].head(0).assign(_low=0.0, _high=0.0)
-        return out, struct.pack("d", power)
+            powers.append(power)
+        settled = np.array(powers)[pdf["_n"].to_numpy() >= settle]
+        some = slice(0, min(1, len(settled)))
+        out = {k: pdf[k].iloc[some].to_numpy() for k in CHANNEL}
+        out |= {"_low": np.sort(settled)[some], "_high": -np.sort(-settled)[some]}
+        return pd.DataFrame(out), struct.pack("d", power)
 
-    rows = ordered(samples.select(*keys, "pts", "seq", "value"), keys, ["pts", "seq"], block_rows).index("_n").done()
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    parts = in_order(rows, keys, ["_n"], step, f"{kinds}, _low DOUBLE, _high DOUBLE", block_rows)
-    return parts.groupBy(*keys).agg(F.min("_low").alias("min_power"), F.max("_high").alias("max_power"))
+    kinds = ", ".join(f"{k} {s.df.schema[k].dataType.simpleString()}" for k in CHANNEL)
+    parts = run_in_order(s.index("_n"), step, f"{kinds}, _low DOUBLE, _high DOUBLE")
+    return parts.groupBy(*CHANNEL).agg(F.min("_low").alias("min_power"), F.max("_high").alias("max_power"))
 
 
 def signal_stats(
     samples: DataFrame, length: float = 0.05, rate: float = 1.0, block_rows: int | None = None
 ) -> DataFrame:
     """Per channel: offset, extremes, levels in dB, crest and flat factor and the number of peaks."""
-    keys = {KEY: "_k0", "channel": "_k1"}
-    sums = _channel_sums(samples, block_rows)
-    power = _rms_range(samples, length, rate, block_rows).withColumnsRenamed(keys)
-    both = sums.join(power, same_keys(sums, power, list(keys.items())), "left").drop(*keys.values())
+    s = _channels(samples, block_rows)
+    both = _same_channel(_channel_sums(s), _power_range(s, length, rate), "left")
     mean_square = F.col("sx2") / F.col("n")
     both = both.withColumns(
         {"max_power": F.coalesce("max_power", mean_square), "min_power": F.coalesce("min_power", mean_square)}
     )
-    return both.select(KEY, "channel", *_signal_columns())
+    return both.select(*CHANNEL, *_signal_columns())
 
 
 def _signal_columns() -> list[Column]:
@@ -181,7 +186,7 @@ def signal_stats_overall(samples: DataFrame, block_rows: int | None = None) -> D
 
     The offset is the one of the channel with the largest sum; counts of peaks and samples are per channel.
     """
-    sums = _channel_sums(samples, block_rows)
+    sums = _channel_sums(_channels(samples, block_rows))
     every = sums.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_channels"),
         F.sum("n").alias("_n"),

@@ -524,13 +524,14 @@ def db_sql(x: str) -> str:
 @query(
     "samples",
     CHANNELS
-    + f"""SELECT stream_id, channel, n, round(sx / n, 6) AS dc_offset, round(lo, 6) AS min_level, round(hi, 6) AS max_level,
+    + f"""SELECT stream_id, channel, n, round(sx / n, 9) AS dc_offset, round(lo, 6) AS min_level, round(hi, 6) AS max_level,
       {db_sql('greatest(-lo, hi)')} AS peak_db, {db_sql('sqrt(sx2 / n)')} AS rms_db,
       round(CASE WHEN sx2 <> 0 THEN greatest(-lo, hi) / sqrt(sx2 / n) ELSE 1 END, 6) AS crest_factor,
       {db_sql('(runs / CAST(peaks AS DOUBLE))')} AS flat_factor, peaks AS peak_count FROM full_sums""",
 )
 def signal_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = rounded(S.signal_stats(coarse_samples(spark, d)), *CLOSED)
+    out = S.signal_stats(coarse_samples(spark, d))
+    out = rounded(out, *CLOSED[1:]).withColumn("dc_offset", F.round("dc_offset", 9))
     return out.select("stream_id", "channel", "n", *CLOSED, "peak_count")
 
 
@@ -545,13 +546,14 @@ def signal_rms_range(spark: SparkSession, d: str) -> DataFrame:
     CHANNELS
     + f""", o AS (SELECT stream_id, count(*) AS k, sum(n) AS n, arg_max(sx, abs(sx)) AS sx, sum(sx2) AS sx2, min(lo) AS lo,
       max(hi) AS hi, sum(runs) AS runs, sum(peaks) AS peaks FROM full_sums GROUP BY stream_id)
-    SELECT stream_id, CAST(n // k AS BIGINT) AS n, round(sx / (n // k), 6) AS dc_offset, round(lo, 6) AS min_level,
+    SELECT stream_id, CAST(n // k AS BIGINT) AS n, round(sx / (n // k), 9) AS dc_offset, round(lo, 6) AS min_level,
       round(hi, 6) AS max_level, {db_sql('greatest(-lo, hi)')} AS peak_db, {db_sql('sqrt(sx2 / n)')} AS rms_db,
-      {db_sql('(runs / CAST(peaks AS DOUBLE))')} AS flat_factor, round(peaks / CAST(k AS DOUBLE), 6) AS peak_count FROM o""",
+      {db_sql('(runs / CAST(peaks AS DOUBLE))')} AS flat_factor, round(peaks / CAST(k AS DOUBLE), 9) AS peak_count FROM o""",
 )
 def signal_stats_overall(spark: SparkSession, d: str) -> DataFrame:
-    cols = [c for c in CLOSED if c != "crest_factor"]
-    return rounded(S.signal_stats_overall(coarse_samples(spark, d)), *cols, "peak_count")
+    cols = [c for c in CLOSED[1:] if c != "crest_factor"]
+    out = rounded(S.signal_stats_overall(coarse_samples(spark, d)), *cols)
+    return out.withColumns({c: F.round(c, 9) for c in ("dc_offset", "peak_count")})
 
 
 @query(

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,12 @@ def in_order(
     probe: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes."""
-    s = ordered(df, keys, order, block_rows, probe)
+    return run_in_order(ordered(df, keys, order, block_rows, probe), step, schema, guess)
+
+
+def run_in_order(s: Ordered, step: Step, schema: str, guess: bool = True) -> DataFrame:
+    """``in_order`` on streams whose length is known already."""
+    df, keys, order = s.df, list(s.keys), list(s.order)
     if s.split:
         return _run_blocks(s, _block_states(s, step, guess), step, schema)
     # a fixed number, since partitions of well compressed pictures look small enough to be joined
@@ -41,12 +47,30 @@ def in_order(
     rows = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = b""
+        stream, state = None, b""
         for pdf in batches:
-            out, state = step(pdf, state)
-            yield out
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+            parts = []
+            for own, part in _streams_in(pdf, keys):
+                if own != stream:
+                    stream, state = own, b""
+                out, state = step(part, state)
+                parts.append(out)
+            if parts:
+                yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+
+    return rows.mapInPandas(run, schema)
+
+
+def _streams_in(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The pieces of a sorted batch that belong to one stream each, with the key of the stream."""
+    named = [pdf[k].astype(object).where(pdf[k].notna(), None).to_numpy() for k in keys]
+    changed = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+    for v in named:
+        changed |= v[1:] != v[:-1]
+    edges = [0, *(np.flatnonzero(changed) + 1), len(pdf)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield tuple(v[a] for v in named), pdf.iloc[a:b]
 
 
 def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
