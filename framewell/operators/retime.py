@@ -175,7 +175,7 @@ def dejudder(df: DataFrame, cycle: int = 4, ticks: str = "ticks", block_rows: in
         step = (cycle - 1) * (F.col("_pc1") - F.col("_p1")) + (cycle + 1) * (p - F.col("_pc"))
         s = s.columns({"_step": step})
     else:
-        rows = _smoothing_steps(s.done("_n", "_p1", "_pc", "_pc1", "_pc2"), cycle, ticks, block_rows)
+        rows = _smoothing_steps(df, cycle, ticks, block_rows)
         s = ordered(rows, [KEY], ["seq"], block_rows).index("_n")
     early = F.col("_n") < cycle + 2
     s = s.columns({"_base": F.when(F.col("_n") == cycle + 1, p * (2 * cycle)).when(~early, F.col("_step"))})
