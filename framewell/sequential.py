@@ -75,10 +75,10 @@ def _streams_in(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.
 
 def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
     """One row per block with the state its first row meets."""
-    order, part = list(s.order), s.part
+    part = s.part
     kinds = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
     state_schema = ", ".join(f"{k} {kinds[k]}" for k in part) + ", start BINARY, end BINARY"
-    # new column identities, so that states and rows can meet again in one cogroup
+    # new column identities, so that states and rows can meet again in one join
     blocks = s.df.groupBy(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(part)]).agg(
         F.lit(None).cast("binary").alias("start"), F.lit(None).cast("binary").alias("end")
     )
@@ -86,14 +86,19 @@ def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
     states = durable(blocks)
     before = Window.partitionBy(*s.keys).orderBy(BLOCK)
 
-    def settle(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(start) or not len(rows):
-            return pd.DataFrame(columns=[*part, "start", "end"])
-        out = start[[*part]].head(1).copy()
-        met = bytes(start["want"].iloc[0])
-        out["start"] = [met]
-        out["end"] = [step(rows.sort_values(order, ignore_index=True).drop(columns=[BLOCK]), met)[1]]
-        return out
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = None
+        for own, piece, first in _blocks_in(batches, part):
+            if first is not None:
+                if block is not None:
+                    yield ended(block, start, state)
+                block, start, state = own, first, first
+            state = step(piece, state)[1]
+        if block is not None:
+            yield ended(block, start, state)
+
+    def ended(block: tuple, start: bytes, end: bytes) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] for k, v in zip(part, block)}, "start": [start], "end": [end]})
 
     while True:
         known = F.when(F.row_number().over(before) == 1, F.lit(b"")).otherwise(F.lag("end").over(before))
@@ -101,22 +106,49 @@ def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
         todo = durable(asked.filter(F.col("want").isNotNull() & ~F.col("want").eqNullSafe(F.col("start"))))
         if todo.isEmpty():
             return states.select(*part, "start")
-        rows = _only(s.df, todo.select(*part), part, "left_semi")
-        fresh = rows.groupBy(*part).cogroup(todo.groupBy(*part)).applyInPandas(settle, state_schema)
+        todo = todo.select(*part, F.col("want").alias("start"))
+        fresh = _with_starts(s, todo, "inner").mapInPandas(settle, state_schema)
         kept = _only(states, todo.select(*part), part, "left_anti")
         states = durable(kept.unionByName(fresh))
 
 
+def _with_starts(s: Ordered, starts: DataFrame, how: str = "left") -> DataFrame:
+    """The rows of the blocks in ``starts``, sorted by block and time, the first of each with its block's state."""
+    rows = s.df if how == "left" else _only(s.df, starts.select(*s.part), s.part, "left_semi")
+    rows = rows.withColumn("_first", F.row_number().over(s.window()) == 1)
+    names = [f"_s{i}" for i in range(len(s.part))]
+    other = starts.toDF(*names, "_start")
+    on = same_keys(rows, other, list(zip(s.part, names))) & rows["_first"]
+    n = int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.join(other, on, "left").drop("_first", *names).repartition(n, *s.part)
+    return placed.sortWithinPartitions(*s.part, *s.order)
+
+
+def _blocks_in(
+    batches: Iterator[pd.DataFrame], part: list[str]
+) -> Iterator[tuple[tuple, pd.DataFrame, bytes | None]]:
+    """Pieces of blocks, the first piece of a block with the state it starts from."""
+    block = None
+    for pdf in batches:
+        for own, piece in _streams_in(pdf, part):
+            first = None
+            if own != block:
+                block, first = own, bytes(piece["_start"].iloc[0])
+            yield own, piece.drop(columns=["_start", BLOCK]), first
+
+
 def _only(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
     other = keys.toDF(*[f"_o{i}" for i in range(len(names))])
     return df.join(other, same_keys(df, other, [(k, f"_o{i}") for i, k in enumerate(names)]), how)
 
 
 def _run_blocks(s: Ordered, states: DataFrame, step: Step, schema: str) -> DataFrame:
-    order = list(s.order)
+    part = s.part
 
-    def run(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True).drop(columns=[BLOCK])
-        return step(rows, bytes(start["start"].iloc[0]))[0]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = b""
+        for _, piece, first in _blocks_in(batches, part):
+            out, state = step(piece, state if first is None else first)
+            yield out
 
-    return s.df.groupBy(*s.part).cogroup(states.groupBy(*s.part)).applyInPandas(run, schema)
+    return _with_starts(s, states).mapInPandas(run, schema)
