@@ -376,9 +376,26 @@ def trim_silence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("stream_id", "seq", r6("value").alias("value"))
 
 
-@query()
+@query(
+    "frames",
+    """, every AS (SELECT stream_id, CAST(seq AS DOUBLE) AS seq, pts, luma FROM frames
+      UNION ALL SELECT stream_id, seq + 0.5, pts, luma FROM frames WHERE seq % 4 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pts, seq) AS i FROM every),
+    steps AS (SELECT a.stream_id, a.i, min(b.i) AS next FROM ranked a JOIN ranked b ON a.stream_id = b.stream_id AND b.i > a.i
+      AND list_sum(list_transform(range(1, 65), lambda k: abs(a.luma[k] - b.luma[k]))) > 320 GROUP BY a.stream_id, a.i),
+    picked AS (SELECT stream_id, i FROM ranked WHERE i = 1),
+    kept AS (SELECT * FROM (WITH RECURSIVE walk(stream_id, i) AS (
+        SELECT stream_id, i FROM picked
+        UNION ALL SELECT w.stream_id, s.next FROM walk w JOIN steps s ON s.stream_id = w.stream_id AND s.i = w.i)
+      SELECT * FROM walk)),
+    told AS (SELECT r.stream_id, r.seq, r.i, k.i IS NOT NULL AS keep FROM ranked r LEFT JOIN kept k
+      ON k.stream_id = r.stream_id AND k.i = r.i),
+    runs AS (SELECT *, i - row_number() OVER (PARTITION BY stream_id, keep ORDER BY i) AS run FROM told)
+    SELECT stream_id, seq, keep, CAST(CASE WHEN keep THEN -1 ELSE 1 END
+      * row_number() OVER (PARTITION BY stream_id, keep, run ORDER BY i) AS INTEGER) AS drop_count FROM runs""",
+)
 def near_duplicate_frames(spark: SparkSession, d: str) -> DataFrame:
-    return I.near_duplicate_frames(V.frames_dup(spark, d), first_col=0)
+    return I.near_duplicate_frames(V.frames_dup(spark, d), first_col=0).drop("pts")
 
 
 @query(
@@ -419,6 +436,24 @@ def interlace_class(spark: SparkSession, d: str) -> DataFrame:
     return I.interlace_class(V.frames(spark, d))
 
 
+@query(
+    "frames",
+    f""", t AS (SELECT stream_id, seq, luma AS c, coalesce(lag(luma) OVER w, luma) AS p, coalesce(lead(luma) OVER w, luma) AS x
+      FROM frames {LINE}),
+    v AS (SELECT stream_id, seq, (i // 8) % 2 AS odd, c[i + 1] AS cv, p[i + 1] AS pv, x[i + 1] AS xv, c[i - 7] + c[i + 9] AS ends
+      FROM t, LATERAL (SELECT unnest(range(16, 48)) AS i)),
+    s AS (SELECT stream_id, seq, sum(abs(ends - 2 * CASE WHEN odd = 0 THEN pv ELSE xv END)) AS a0,
+      sum(abs(ends - 2 * CASE WHEN odd = 1 THEN pv ELSE xv END)) AS a1, sum(abs(ends - 2 * cv)) AS delta,
+      sum(CASE WHEN odd = 1 THEN 2 * abs(cv - pv) ELSE 0 END) AS g0, sum(CASE WHEN odd = 0 THEN 2 * abs(cv - pv) ELSE 0 END) AS g1
+      FROM v GROUP BY stream_id, seq)
+    SELECT stream_id, seq, CASE WHEN a0 > 1.04::DOUBLE * a1 THEN 'tff' WHEN a1 > 1.04::DOUBLE * a0 THEN 'bff'
+        WHEN a1 > 1.5::DOUBLE * delta THEN 'progressive' ELSE 'undetermined' END AS single,
+      CASE WHEN g0 > 3 * g1 THEN 'top' WHEN g1 > 3 * g0 THEN 'bottom' ELSE 'neither' END AS repeated FROM s""",
+)
+def interlace_single(spark: SparkSession, d: str) -> DataFrame:
+    return I.interlace_class(V.frames(spark, d)).select("stream_id", "seq", "single", "repeated")
+
+
 EDGES = """, lines AS (
   SELECT stream_id, seq, n, 'y' AS axis, py AS line_no, sum(v) // 8 > 24 AS bright FROM pixel_pairs GROUP BY ALL
   UNION ALL SELECT stream_id, seq, n, 'x', px, sum(v) // 8 > 24 FROM pixel_pairs GROUP BY ALL),
