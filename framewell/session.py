@@ -29,21 +29,30 @@ def local_session(cores: int | str = 8, app: str = "framewell", shuffle_partitio
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A private folder is made only when the session names none, which is the case in tests.
+    Where the session names none, a local master gets a folder of its own machine (all executors run there); on a
+    cluster that would split the data over machines, so it is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="framewell-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the checkpoint folder the cluster names."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewell-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder path for a written table, below the shared folder the cluster names, or a private one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='framewell-')}/{name}"
+    """A new folder path for a written table, below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
