@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewell.llm import quality, url_filters
+from framewell.llm import quality, simhash, url_filters
 from framewell.llm.registry import query
 from framewell.llm.tables import table
 
@@ -116,3 +116,9 @@ FROM judged LEFT JOIN fences ON judged.lang IS NOT DISTINCT FROM fences.lang
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge_quality(documents).select("doc_id", *quality.STATISTICS, "base_failed", "kept")
+
+
+@query()
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
