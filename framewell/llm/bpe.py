@@ -41,14 +41,14 @@ class PerfectHash:
         n, members = self.n, [[] for _ in range(self.buckets)]
         for i, key in enumerate(keys):
             h = xxhash.xxh3_128_intdigest(key, self.seed)
-            members[(h >> 64) % self.buckets].append((i, h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF))
+            members[(h >> 64) % self.buckets].append((i, h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF | 1))
         free = bytearray(b"\x01") * n
         self.shift, self.slot_of_key = [0] * self.buckets, [0] * n
         for b in sorted(range(self.buckets), key=lambda b: -len(members[b])):
             if len(members[b]) < 2:
                 break
             for d in range(most):
-                slots = [(low + d * step) % n for _, low, step in members[b]]
+                slots = [(low + d * step & 0xFFFFFFFF) * n >> 32 for _, low, step in members[b]]
                 if all(free[x] for x in slots) and len(set(slots)) == len(slots):
                     break
             else:
@@ -67,7 +67,7 @@ class PerfectHash:
         """The slot of a key of the set; some slot for any other."""
         h = xxhash.xxh3_128_intdigest(key, self.seed)
         d = self.shift[(h >> 64) % self.buckets]
-        return -d - 1 if d < 0 else ((h & 0xFFFFFFFF) + d * (h >> 32 & 0xFFFFFFFF)) % self.n
+        return -d - 1 if d < 0 else ((h & 0xFFFFFFFF) + d * (h >> 32 & 0xFFFFFFFF | 1) & 0xFFFFFFFF) * self.n >> 32
 
 
 class BytePairs:
