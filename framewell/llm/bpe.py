@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -15,7 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.chunks import ChunkMemo, groups
+from framewell.llm.chunks import ChunkMemo
+
+#: Distinct chunks whose ids a worker keeps.
+MEMO = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,44 +102,41 @@ class BytePairs:
 
     def merged(self, data: bytes) -> list[int]:
         """Second tier: the pair of lowest rank is joined first, of equal ones the leftmost, until none is a token."""
-        ids = [self.byte_id[b] for b in data]
+        ids = list(map(self.byte_id.__getitem__, data))
         n, pair = len(ids), self.pair.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [pair(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)] + [None]
-        heap = [r << 32 | i for i, r in enumerate(rank) if r is not None]
+        heap = []
+        for i in range(n - 1):
+            r = pair(ids[i] << 32 | ids[i + 1])
+            if r is not None:
+                heap.append(r << 32 | i)
         heapify(heap)
         while heap:
             top = heappop(heap)
             i, r = top & 0xFFFFFFFF, top >> 32
-            if rank[i] != r:
-                continue
             j = after[i]
-            ids[i], ids[j], rank[j] = r, -1, None
-            k = after[i] = after[j]
+            if j >= n or ids[i] < 0 or pair(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = r, -1
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                rank[i] = new = pair(r << 32 | ids[k])
+                new = pair(r << 32 | ids[k])
                 if new is not None:
                     heappush(heap, new << 32 | i)
-            else:
-                rank[i] = None
             p = before[i]
             if p >= 0:
-                rank[p] = new = pair(ids[p] << 32 | r)
+                new = pair(ids[p] << 32 | r)
                 if new is not None:
                     heappush(heap, new << 32 | p)
         return [x for x in ids if x >= 0]
 
+    def piece(self, data: bytes) -> list[int]:
+        known = self.whole(data)
+        return self.merged(data) if known is None else [known]
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.find(text):
-            data = piece.encode()
-            known = self.whole(data)
-            if known is None:
-                out += self.merged(data)
-            else:
-                out.append(known)
-        return out
+        return [x for p in self.find(text) for x in self.piece(p.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -146,9 +147,16 @@ def _coder(path: str, pattern: str) -> tuple[BytePairs, ChunkMemo]:
     coder = BytePairs(read_ranks(path), pattern)
 
     def solve(chunks: list[str]) -> list[bytes]:
-        return [np.array(coder.encode(c), dtype="<u4").tobytes() for c in chunks]
+        pieces: dict[str, bytes] = {}
+        out = []
+        for found in map(coder.find, chunks):
+            for p in found:
+                if p not in pieces:
+                    pieces[p] = array("I", coder.piece(p.encode())).tobytes()
+            out.append(b"".join(map(pieces.__getitem__, found)))
+        return out
 
-    return coder, ChunkMemo(solve)
+    return coder, ChunkMemo(solve, MEMO)
 
 
 def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -171,13 +179,10 @@ def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, text: str
             counts = [0] * len(texts)
             ids_sha = [hashlib.sha256() for _ in texts]
             text_sha = [hashlib.sha256() for _ in texts]
-            for group in groups(texts):
-                for (i, _), numbers in zip(group, memo.numbered([p for _, p in group]), strict=True):
-                    packed = b"".join(map(memo.values.__getitem__, numbers))
-                    counts[i] += len(packed) // 4
-                    ids_sha[i].update(packed)
-                    text_sha[i].update(coder.decode(np.frombuffer(packed, dtype="<u4").tolist()))
-                memo.trim()
+            for i, packed in memo.joined(texts):
+                counts[i] += len(packed) // 4
+                ids_sha[i].update(packed)
+                text_sha[i].update(coder.decode(np.frombuffer(packed, dtype="<u4").tolist()))
             added = [
                 pa.array(counts, pa.int64()),
                 pa.array([h.hexdigest() for h in ids_sha], pa.string()),

@@ -5,20 +5,27 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A cut lies before a single blank or line feed between two characters that are not white space. The public pattern
 #: ends a match there and starts the next one there, whatever stands further away.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Characters of one text that are held as chunks at once.
-SEGMENT = 1 << 20
-#: Texts of one batch are solved together up to so many characters.
-GROUP = 1 << 20
+#: Texts in which some blank or line feed is no cut, or with other white space.
+_ODD = (
+    r"[ \n][ \n]|^[ \n]|[ \n]$"
+    r"|[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+#: Characters of texts whose chunks are held at once.
+GROUP = 1 << 22
 
 
-def segments(text: str) -> Iterator[str]:
+def segments(text: str, size: int = GROUP) -> Iterator[str]:
     """Pieces of a long text that end at cuts."""
     at = 0
-    while len(text) - at > SEGMENT:
-        cut = CUT.search(text, at + SEGMENT)
+    while len(text) - at > size:
+        cut = CUT.search(text, at + size)
         if cut is None:
             break
         yield text[at : cut.start()]
@@ -26,53 +33,72 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def groups(texts: Sequence[str]) -> Iterator[list[tuple[int, str]]]:
-    """``(text number, segment)`` in order, in groups of bounded size."""
-    group, size = [], 0
+def groups(texts: Sequence[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Text numbers and segments in order, in groups of bounded size."""
+    numbers, parts, size = [], [], 0
     for i, text in enumerate(texts):
         for part in segments(text):
-            group.append((i, part))
+            numbers.append(i)
+            parts.append(part)
             size += len(part)
             if size >= GROUP:
-                yield group
-                group, size = [], 0
-    if group:
-        yield group
-
-
-class _Index(dict):
-    """Numbers chunks by first sight and lists those not yet solved."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self.fresh.append(chunk)
-        number = self[chunk] = len(self)
-        return number
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+    if parts:
+        yield numbers, parts
 
 
 class ChunkMemo:
     """Values of chunks; ``solve`` gives the values of chunks not known. The first ``limit`` distinct chunks stay for the
-    life of the worker, others for the group that brought them."""
+    life of the worker, others are solved anew for each group of texts that holds them."""
 
     def __init__(self, solve: Callable[[list[str]], list], limit: int = 400_000) -> None:
-        self.solve, self.limit = solve, limit
-        self.index, self.values = _Index(), []
-
-    def numbered(self, parts: Sequence[str]) -> list[list[int]]:
-        """Numbers of the chunks of each part; :attr:`values` holds their values until :meth:`trim`."""
-        find = self.index.__getitem__
-        found = [list(map(find, CUT.split(p))) for p in parts]
-        fresh = self.index.fresh
-        if fresh:
-            self.values.extend(self.solve(fresh))
-        return found
-
-    def trim(self) -> None:
-        over = len(self.values) - self.limit
-        if over > 0:
-            for chunk in self.index.fresh[-over:]:
-                del self.index[chunk]
-            del self.values[self.limit :]
-        self.index.fresh.clear()
+        self.solve, self.limit, self.known = solve, limit, {}
+
+    def run(self, texts: Sequence[str]) -> Iterator[tuple[int, list, np.ndarray]]:
+        """``(text number, values, codes)`` in order: ``values[c] for c in codes`` are those of the chunks of a segment.
+        A long text has several segments."""
+        for numbers, parts in groups(texts):
+            chunks, codes, bounds = _split(parts)
+            values = list(map(self.known.get, chunks))
+            fresh = [i for i, v in enumerate(values) if v is None]
+            if fresh:
+                missing = [chunks[i] for i in fresh]
+                for i, chunk, value in zip(fresh, missing, self.solve(missing), strict=True):
+                    values[i] = value
+                    if len(self.known) < self.limit:
+                        self.known[chunk] = value
+            for i, a, b in zip(numbers, bounds[:-1], bounds[1:], strict=True):
+                yield i, values, codes[a:b]
+
+    def joined(self, texts: Sequence[str]) -> Iterator[tuple[int, bytes]]:
+        """``(text number, joined values)`` of each segment, for values that are bytes."""
+        for i, values, codes in self.run(texts):
+            yield i, b"".join(map(values.__getitem__, codes.tolist()))
+
+
+def _split(parts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
+    """Distinct chunks of a group, the codes of all chunks in order, and the bounds of each part among them."""
+    column = pa.array(parts, pa.large_string())
+    odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+    plain = column.filter(pa.array(~odd))
+    lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+    coded = lists.flatten().dictionary_encode()
+    chunks = [p if p[:1] == "\n" else f" {p}" for p in coded.dictionary.to_pylist()]
+    plain_codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    heads = np.cumsum(sizes) - sizes
+    chunks += [chunks[c][1:] for c in plain_codes[heads].tolist()]
+    plain_codes[heads] = len(chunks) - heads.size + np.arange(heads.size)
+    if not odd.any():
+        return chunks, plain_codes, [0, *np.cumsum(sizes).tolist()]
+    out, bounds, rest = [], [0], iter(np.split(plain_codes, heads[1:]) if heads.size else [])
+    for part, special in zip(parts, odd.tolist(), strict=True):
+        if special:
+            own = CUT.split(part)
+            out.append(np.arange(len(chunks), len(chunks) + len(own)))
+            chunks += own
+        else:
+            out.append(next(rest))
+        bounds.append(bounds[-1] + out[-1].size)
+    return chunks, np.concatenate(out), bounds

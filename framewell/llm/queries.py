@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewell.llm import bpe, quality, simhash, url_filters
+from framewell.llm import bpe, quality, simhash, token_files, url_filters
 from framewell.llm.registry import query
 from framewell.llm.tables import table
 
@@ -129,3 +129,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.tokenize_to_files(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

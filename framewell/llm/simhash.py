@@ -135,6 +135,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     firsts = linked.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     labels = linked.join(firsts, "component").select("fp", "component_id")
     known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    known = stored(known, "components")  # both sides of the next join are dealt anew, so that it can split a hot fingerprint
     return prints.join(known, "fp", "left").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from framewell.llm import bpe
+from framewell.llm import bpe, chunks
 from framewell.llm.chunks import CUT, ChunkMemo, segments
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,18 +41,29 @@ def test_encode_equals_public_library(coder, reference):
         assert coder.decode(ids) == t.encode()
 
 
-def test_memo_is_bounded_and_segments_join():
-    memo = ChunkMemo(lambda chunks: [c.upper() for c in chunks], limit=3)
-    for text in ("a b c d e", "a x y", "e d c b a"):
-        (numbers,) = memo.numbered([text])
-        assert "".join(memo.values[i] for i in numbers) == text.upper()
-        memo.trim()
-        assert len(memo.values) == len(memo.index) == 3
-    long = "ab cd\n" * 700_000
-    parts = list(segments(long))
+def test_memo_is_bounded_and_parts_join(monkeypatch):
+    memo = ChunkMemo(lambda chunks: [c.encode() for c in chunks], limit=3)
+    texts = ["a b c d e", "", "a x\ny", "e d c b a", "p  q \n r", " lead", "trail ", "\ta", "x\u2003y z", "\n", "a\n\nb c"]
+    for size in (1 << 22, 4):
+        monkeypatch.setattr(chunks, "GROUP", size)
+        out = [b""] * len(texts)
+        for i, part in memo.joined(texts):
+            out[i] += part
+        assert [x.decode() for x in out] == texts
+        assert len(memo.known) == 3
+    long = "ab cd\n" * 7_000
+    parts = list(segments(long, 1000))
     assert len(parts) > 1 and "".join(parts) == long
 
 
+def test_chunks_of_odd_and_plain_texts_agree_with_cuts():
+    rng = random.Random(4)
+    texts = ODD + ["".join(rng.choices(["a", "b ", " ", "\n", "\t", "c\n", "\u00a0", "\x1d"], k=rng.randrange(9))) for _ in range(2000)]
+    found, codes, bounds = chunks._split(texts)
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        assert [found[c] for c in codes[a:b]] == CUT.split(t), repr(t)
+
+
 def test_encode_decode_over_documents(spark, sf_dir, reference):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate(ODD)] + [(None, None), (1, "same"), (1, "same")]
