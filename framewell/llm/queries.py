@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewell.llm import bpe, embeddings, quality, simhash, token_files, url_filters, warc
+from framewell.llm import bpe, embeddings, lines, quality, simhash, token_files, url_filters, warc
 from framewell.llm.registry import query
 from framewell.llm.tables import table
 
@@ -157,3 +157,47 @@ FROM d LEFT JOIN f USING (payload_digest)
 @query(WARC_SQL)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, line, regexp_extract_all(part, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS part
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+m AS (
+  SELECT doc_id, line, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  FROM l WHERE len(w) >= 3),
+k AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS same FROM m),
+seen AS (SELECT leaf, same, count(DISTINCT doc_id) AS docs, any_value(t) AS t FROM k GROUP BY leaf, same),
+placed AS (SELECT leaf, same, docs, unnest(range(len(t))) AS place, unnest(t) AS token FROM seen),
+fixed AS (
+  SELECT leaf, place, token FROM placed WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(docs) >= 10),
+forms AS (
+  SELECT p.leaf, p.same, count(f.token) AS n_fixed, count(*) AS n,
+    string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY p.place) AS template
+  FROM placed p LEFT JOIN fixed f ON p.leaf = f.leaf AND p.place = f.place AND p.token = f.token
+  GROUP BY p.leaf, p.same),
+templated AS (
+  SELECT doc_id, line, k.leaf, template FROM k JOIN forms f ON k.leaf = f.leaf AND k.same = f.same
+  WHERE 100 * n_fixed >= 60 * n),
+recurring AS (
+  SELECT leaf, template, min(struct_pack(d := doc_id, l := line)) AS first
+  FROM templated GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
+dropped AS (
+  SELECT doc_id, line FROM templated t JOIN recurring r ON t.leaf = r.leaf AND t.template = r.template
+  WHERE struct_pack(d := doc_id, l := line) > first),
+kept AS (
+  SELECT l.doc_id, string_agg(l.part, chr(10) ORDER BY l.line) FILTER (d.line IS NULL) AS text,
+    count(*) AS n_lines, count(d.line) AS n_dropped
+  FROM (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS part
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) l
+  LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+@query(LINES_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
