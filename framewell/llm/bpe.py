@@ -175,11 +175,10 @@ def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, memo = _coder(ranks_path, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-            counts = [0] * len(texts)
-            ids_sha = [hashlib.sha256() for _ in texts]
-            text_sha = [hashlib.sha256() for _ in texts]
-            for i, packed in memo.joined(texts):
+            counts = [0] * b.num_rows
+            ids_sha = [hashlib.sha256() for _ in counts]
+            text_sha = [hashlib.sha256() for _ in counts]
+            for i, packed in memo.joined(b.column(len(keep))):
                 counts[i] += len(packed) // 4
                 ids_sha[i].update(packed)
                 text_sha[i].update(coder.decode(np.frombuffer(packed, dtype="<u4").tolist()))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +17,13 @@ _ODD = (
     r"[ \n][ \n]|^[ \n]|[ \n]$"
     r"|[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Characters of texts whose chunks are held at once.
-GROUP = 1 << 22
+#: Bytes of texts whose chunks are held at once.
+GROUP = 1 << 23
 
 
-def segments(text: str, size: int = GROUP) -> Iterator[str]:
+def segments(text: str, size: int | None = None) -> Iterator[str]:
     """Pieces of a long text that end at cuts."""
-    at = 0
+    at, size = 0, size or GROUP
     while len(text) - at > size:
         cut = CUT.search(text, at + size)
         if cut is None:
@@ -33,19 +33,35 @@ def segments(text: str, size: int = GROUP) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def groups(texts: Sequence[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Text numbers and segments in order, in groups of bounded size."""
-    numbers, parts, size = [], [], 0
-    for i, text in enumerate(texts):
-        for part in segments(text):
-            numbers.append(i)
-            parts.append(part)
-            size += len(part)
-            if size >= GROUP:
-                yield numbers, parts
-                numbers, parts, size = [], [], 0
-    if parts:
-        yield numbers, parts
+def groups(texts: pa.Array) -> Iterator[tuple[list[int], pa.Array]]:
+    """Text numbers and segments in order, in groups of bounded size; a null text is empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    sizes = pc.binary_length(texts).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if size > GROUP:
+            if i > start:
+                yield list(range(start, i)), texts.slice(start, i - start)
+            for part in segments(texts[i].as_py()):
+                yield [i], pa.array([part], pa.large_string())
+            start, held = i + 1, 0
+            continue
+        held += size
+        if held >= GROUP:
+            yield list(range(start, i + 1)), texts.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield list(range(start, len(sizes))), texts.slice(start)
+
+
+#: Marks the key of a chunk that is not led by a single blank; other keys leave the blank out, or start with a line feed.
+_AS_IS = "\0"
+
+
+def chunk_of(key: str) -> str:
+    if key[:1] == _AS_IS:
+        return key[1:]
+    return key if key[:1] == "\n" else f" {key}"
 
 
 class ChunkMemo:
@@ -55,50 +71,53 @@ class ChunkMemo:
     def __init__(self, solve: Callable[[list[str]], list], limit: int = 400_000) -> None:
         self.solve, self.limit, self.known = solve, limit, {}
 
-    def run(self, texts: Sequence[str]) -> Iterator[tuple[int, list, np.ndarray]]:
+    def run(self, texts: pa.Array) -> Iterator[tuple[int, list, np.ndarray]]:
         """``(text number, values, codes)`` in order: ``values[c] for c in codes`` are those of the chunks of a segment.
         A long text has several segments."""
         for numbers, parts in groups(texts):
-            chunks, codes, bounds = _split(parts)
-            values = list(map(self.known.get, chunks))
+            keys, codes, bounds = _split(parts)
+            values = list(map(self.known.get, keys))
             fresh = [i for i, v in enumerate(values) if v is None]
             if fresh:
-                missing = [chunks[i] for i in fresh]
-                for i, chunk, value in zip(fresh, missing, self.solve(missing), strict=True):
+                solved = self.solve([chunk_of(keys[i]) for i in fresh])
+                room = self.limit - len(self.known)
+                for i, value in zip(fresh, solved, strict=True):
                     values[i] = value
-                    if len(self.known) < self.limit:
-                        self.known[chunk] = value
+                if room > 0:
+                    self.known.update((keys[i], values[i]) for i in fresh[:room])
             for i, a, b in zip(numbers, bounds[:-1], bounds[1:], strict=True):
                 yield i, values, codes[a:b]
 
-    def joined(self, texts: Sequence[str]) -> Iterator[tuple[int, bytes]]:
+    def joined(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
         """``(text number, joined values)`` of each segment, for values that are bytes."""
         for i, values, codes in self.run(texts):
             yield i, b"".join(map(values.__getitem__, codes.tolist()))
 
 
-def _split(parts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
-    """Distinct chunks of a group, the codes of all chunks in order, and the bounds of each part among them."""
-    column = pa.array(parts, pa.large_string())
-    odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
-    plain = column.filter(pa.array(~odd))
+def _split(parts: pa.Array) -> tuple[list[str], np.ndarray, list[int]]:
+    """Keys of the distinct chunks of a group, the codes of all chunks in order, and the bounds of each part among them."""
+    odd = pc.match_substring_regex(parts, _ODD)
+    special = odd.to_numpy(zero_copy_only=False)
+    plain = parts.filter(pc.invert(odd)) if special.any() else parts
     lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
     coded = lists.flatten().dictionary_encode()
-    chunks = [p if p[:1] == "\n" else f" {p}" for p in coded.dictionary.to_pylist()]
-    plain_codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = coded.dictionary
+    one = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+    keys = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(distinct) else []
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     heads = np.cumsum(sizes) - sizes
-    chunks += [chunks[c][1:] for c in plain_codes[heads].tolist()]
-    plain_codes[heads] = len(chunks) - heads.size + np.arange(heads.size)
-    if not odd.any():
-        return chunks, plain_codes, [0, *np.cumsum(sizes).tolist()]
-    out, bounds, rest = [], [0], iter(np.split(plain_codes, heads[1:]) if heads.size else [])
-    for part, special in zip(parts, odd.tolist(), strict=True):
-        if special:
-            own = CUT.split(part)
-            out.append(np.arange(len(chunks), len(chunks) + len(own)))
-            chunks += own
+    keys += [_AS_IS + keys[c] for c in codes[heads].tolist()]
+    codes[heads] = len(keys) - heads.size + np.arange(heads.size)
+    if not special.any():
+        return keys, codes, [0, *np.cumsum(sizes).tolist()]
+    out, bounds, rest = [], [0], iter(np.split(codes, heads[1:]) if heads.size else [])
+    for i, apart in enumerate(special.tolist()):
+        if apart:
+            own = CUT.split(parts[i].as_py())
+            out.append(np.arange(len(keys), len(keys) + len(own)))
+            keys += [_AS_IS + c for c in own]
         else:
             out.append(next(rest))
         bounds.append(bounds[-1] + out[-1].size)
-    return chunks, np.concatenate(out), bounds
+    return keys, np.concatenate(out), bounds

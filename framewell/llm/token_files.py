@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,9 @@ from framewell.llm.tables import stored
 from framewell.session import scratch_path
 
 #: Distinct chunks whose ids a worker keeps.
-MEMO = 800_000
+MEMO = 1_000_000
 #: A shard ends with the document that reaches so many ids.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 
 _SHARDS = pa.schema(
     [("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("start", pa.int64()), ("n_ids", pa.int64())]
@@ -38,7 +39,7 @@ def _encoder(path: str) -> tuple[int, ChunkMemo]:
 
     def solve(chunks: list[str]) -> list[bytes]:
         found = coder.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     return coder.get_vocab_size(), ChunkMemo(solve, MEMO)
 
@@ -83,8 +84,8 @@ def _shards(batches: Iterator[pa.RecordBatch], memo: ChunkMemo, end: bytes) -> I
     encoded: list[bytes] = []
     size = 0
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, parts in _texts(texts, memo):
+        ids = b.column(0).to_pylist()
+        for i, parts in _texts(b.column(1), memo):
             names.append(ids[i])
             encoded.append(b"".join([*parts, end]))
             size += len(encoded[-1]) // 4
@@ -95,7 +96,7 @@ def _shards(batches: Iterator[pa.RecordBatch], memo: ChunkMemo, end: bytes) -> I
         yield names, encoded
 
 
-def _texts(texts: list[str], memo: ChunkMemo) -> Iterator[tuple[int, list[bytes]]]:
+def _texts(texts: pa.Array, memo: ChunkMemo) -> Iterator[tuple[int, list[bytes]]]:
     """Each text number with the ids of its segments."""
     at, parts = 0, []
     for i, packed in memo.joined(texts):
@@ -103,7 +104,7 @@ def _texts(texts: list[str], memo: ChunkMemo) -> Iterator[tuple[int, list[bytes]
             yield at, parts
             at, parts = i, []
         parts.append(packed)
-    if texts:
+    if len(texts):
         yield at, parts
 
 
@@ -131,7 +132,8 @@ def read_tokens(folder: str, shards: DataFrame) -> DataFrame:
                     names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = shards.select("part", "file", "start").repartition(F.xxhash64("file"))
+    cores = shards.sparkSession.sparkContext.defaultParallelism  # shards are few rows of much work
+    spread = shards.select("part", "file", "start").repartition(cores, "file")
     found = spread.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
     sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

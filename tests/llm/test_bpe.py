@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,7 +48,7 @@ def test_memo_is_bounded_and_parts_join(monkeypatch):
     for size in (1 << 22, 4):
         monkeypatch.setattr(chunks, "GROUP", size)
         out = [b""] * len(texts)
-        for i, part in memo.joined(texts):
+        for i, part in memo.joined(pa.array(texts)):
             out[i] += part
         assert [x.decode() for x in out] == texts
         assert len(memo.known) == 3
@@ -59,9 +60,9 @@ def test_memo_is_bounded_and_parts_join(monkeypatch):
 def test_chunks_of_odd_and_plain_texts_agree_with_cuts():
     rng = random.Random(4)
     texts = ODD + ["".join(rng.choices(["a", "b ", " ", "\n", "\t", "c\n", "\u00a0", "\x1d"], k=rng.randrange(9))) for _ in range(2000)]
-    found, codes, bounds = chunks._split(texts)
+    found, codes, bounds = chunks._split(pa.array(texts, pa.large_string()))
     for t, a, b in zip(texts, bounds, bounds[1:]):
-        assert [found[c] for c in codes[a:b]] == CUT.split(t), repr(t)
+        assert [chunks.chunk_of(found[c]) for c in codes[a:b]] == CUT.split(t), repr(t)
 
 
 def test_encode_decode_over_documents(spark, sf_dir, reference):
