@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewell.llm import bpe, embeddings, lines, quality, simhash, token_files, url_filters, warc
+from framewell.llm import bpe, embeddings, lines, quality, simhash, token_files, unigram, url_filters, warc
 from framewell.llm.registry import query
 from framewell.llm.tables import table
 
@@ -201,3 +201,9 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 @query(LINES_SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.token_counts(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
