@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewell.llm import bpe, embeddings, lines, quality, simhash, token_files, unigram, url_filters, warc
+from framewell.llm import bpe, embeddings, lines, mixing, quality, simhash, token_files, unigram, url_filters, warc
 from framewell.llm.registry import query
 from framewell.llm.tables import table
 
@@ -207,3 +207,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.token_counts(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mixture_rates(documents, table(spark, sf_dir, "labels"))
