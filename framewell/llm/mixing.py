@@ -12,16 +12,18 @@ from framewell.llm.tables import stored
 #: Domains with the condition on the labelled table; the first that holds names a document's domain.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "low": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 #: Share of a domain's expected tokens that the mixture aims at.
-SHARES = {"good": 1.0, "low": 0.2, "toxic": 0.1}
+SHARES = {"good": 1.0, "low": 0.25, "toxic": 0.25}
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their doc_id.
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 #: Standard errors that the share of a feature must differ by between two domains to carry weight.
 SIGNIFICANT = 4.0
+#: Labelled documents of a domain that hold a feature, or would at the others' share, so that it can carry weight there.
+SUPPORT = 10
 #: Posteriors are whole numbers of this many parts.
 PARTS = 100
-TOLERANCE = 1e-6
-MAX_STEPS = 300
+TOLERANCE = 1e-5
+MAX_STEPS = 100
 
 
 def plain_words(text: Column) -> Column:
@@ -52,8 +54,9 @@ def with_features(documents: DataFrame, text: str) -> DataFrame:
 def fit_classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, str], doc_id: str, text: str) -> list[list[float]]:
     """Naive Bayes over feature presence: for each domain a list of its prior's logarithm and the weights of all buckets.
 
-    Fitted on at most :data:`SAMPLE` labelled documents. A bucket weighs in a domain only if its share of documents differs
-    from that of all others by :data:`SIGNIFICANT` standard errors, so that rare words do not add up to noise. The driver
+    Fitted on at most :data:`SAMPLE` labelled documents. A bucket weighs in a domain only with enough support, and if its
+    share of documents differs from that of all others by :data:`SIGNIFICANT` standard errors: rare words do not add up to
+    noise, and a domain with very few labelled documents keeps its prior. The driver
     gets one count for each bucket and domain, a number that does not depend on the documents. Without labelled documents
     all domains are equally likely. Of several labels of a document the first by domain order counts.
     """
@@ -74,7 +77,8 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, s
             inside, outside = sizes[d], total - sizes[d]
             p, q = (row[d] + 0.5) / (inside + 1), (sum(row) - row[d] + 0.5) / (outside + 1)
             pooled = (sum(row) + 1) / (total + 2)
-            if abs(p - q) > SIGNIFICANT * math.sqrt(pooled * (1 - pooled) * (1 / (inside + 1) + 1 / (outside + 1))):
+            error = math.sqrt(pooled * (1 - pooled) * (1 / (inside + 1) + 1 / (outside + 1)))
+            if max(row[d], q * inside) >= SUPPORT and abs(p - q) > SIGNIFICANT * error:
                 weights[d][b + 1] = math.log(p / q)
     return weights
 
