@@ -5,7 +5,7 @@ All but ``group_frames`` are narrow and work alike on batch and streaming DataFr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewell.functions.tokens import camera_token, epoch_millis, event_time
@@ -50,15 +50,19 @@ def data_delay_gate(df: DataFrame, max_ms: int = MAX_DATA_DELAY_MS["deployed"])
 
 def delay_counts(df: DataFrame, max_ms: int = MAX_DATA_DELAY_MS["deployed"]) -> DataFrame:
     """Per batch, how many frames the delay limit keeps and drops."""
-    late = F.col("delay_ms") > max_ms
+    late = F.coalesce(F.col("delay_ms") > max_ms, F.lit(False))
     return df.groupBy("batch_id").agg(
         F.count(F.when(~late, 1)).alias("kept"), F.count(F.when(late, 1)).alias("dropped")
     )
 
 
-def group_frames(df: DataFrame, chunk: int = 1024) -> DataFrame:
-    """Frames of each (batch, full partition key) in arrival order, in arrays of at most ``chunk``."""
-    return nest(df, ["batch_id", "partition_key"], ["seq"], F.struct("seq", "payload"), "frames", chunk)
+def group_frames(df: DataFrame, part: Column | None = None) -> DataFrame:
+    """Frames of each (batch, full partition key) in arrival order, as one array.
+
+    A batch is what one fetch brings, so its groups are small. A caller with larger groups gives ``part``, a column that
+    cuts them, such as a range of ``seq``; the arrays then are those of the parts.
+    """
+    return nest(df, ["batch_id", "partition_key"], ["seq"], F.struct("seq", "payload"), "frames", part)
 
 
 def admit(df: DataFrame, max_lag_ms: int = MAX_BATCH_LAG_MS, max_delay_ms: int | None = None) -> DataFrame:

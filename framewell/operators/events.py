@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.functions.tokens import expiry_days
@@ -36,14 +36,12 @@ def motion_events(results: DataFrame) -> DataFrame:
     )
 
 
-def object_events(matches: DataFrame, event: str = "frame_id", chunk: int = 1024) -> DataFrame:
-    """One event per frame with its objects by zone; a frame with very many objects goes on in further parts.
-
-    A camera has at most three zones, so the map of one part holds at most three lists of ``chunk`` objects.
-    """
-    lists = objects_by_zone(matches, event, chunk)
+def object_events(matches: DataFrame, event: str = "frame_id", part: Column | None = None) -> DataFrame:
+    """One event per frame with its objects by zone, of at most three zones; ``part`` cuts events as in objects_by_zone."""
+    lists = objects_by_zone(matches, event, part)
+    by = [event] if part is None else [event, "part"]
     entry = F.struct("zone_id", "objects")
-    return lists.groupBy(event, "part").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("objects"))
+    return lists.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("objects"))
 
 
 def with_expiry_days(df: DataFrame) -> DataFrame:
@@ -78,7 +76,8 @@ def live_objects(
     """What a purge leaves of the object table, whose ``event_date`` has the given grain.
 
     An object is gone when its tag's days have passed. What the rules say about tag and date is also put as a filter
-    on the partition columns alone, so partitions that have wholly expired are never listed for reading.
+    on the partition columns alone, so partitions that have wholly expired are never listed for reading. An object whose
+    tag or day is not known stays.
     """
     day, tag = F.lit(as_of).cast("date"), F.col("expired").cast("string")
     gone, whole = F.lit(False), F.lit(False)
@@ -87,7 +86,8 @@ def live_objects(
         gone = gone | ((tag == key) & (F.to_date("created") <= last))
         past = F.col("event_date") <= last if grain == "day" else F.col("event_date") < F.trunc(last, grain)
         whole = whole | ((tag == key) & past)
-    return spark.read.parquet(path).filter(~whole).filter(~gone)
+    kept = ~F.coalesce(whole, F.lit(False)) & ~F.coalesce(gone, F.lit(False))
+    return spark.read.parquet(path).filter(kept)
 
 
 def purge_expired(

@@ -93,33 +93,51 @@ def _reaches_over(p: Column, q: Column) -> Column:
     return (p["y"] < q["y"]) & (p["x"] + p["w"] > q["x"] + q["w"]) & (p["y"] + p["h"] > q["y"] + q["h"])
 
 
-def prune_nested_zones(zones: DataFrame, key: str = "token") -> DataFrame:
-    """Drop nested zones from rows with zone_no, zone_id, x, y, w, h; a camera has at most three zones.
+def prune_nested_zones(df: DataFrame, zones: str = "zones", n_zones: str = "n_zones") -> DataFrame:
+    """Drop nested zones from each row's list (zone_no, id, x, y, w, h) of at most three.
 
     Of two zones the one strictly around the other goes. Of three, ordered by x, a zone inside an earlier one goes;
     the second is held against the third only while none has gone. Zones of equal id count as one, the last given.
+    ``n_zones`` says how many the configuration names; those it does not describe have no place and no size. Null lists
+    stay null. Each row is worked on by itself.
     """
-    same_id = Window.partitionBy(key, "zone_id").orderBy("zone_no").rowsBetween(0, Window.unboundedFollowing)
-    camera = Window.partitionBy(key)
-    rows = zones.withColumn("_z", F.last(F.struct("x", "y", "w", "h")).over(same_id))
-    rows = rows.withColumn("_at", F.row_number().over(camera.orderBy("_z.x", "zone_no")))
-    rows = rows.withColumn("_all", F.collect_list(F.struct("_at", "_z.*")).over(camera))
-    mine = F.col("_z")
-
-    def under(place: int) -> Column:
-        return F.exists("_all", lambda p: (p["_at"] == place) & (F.col("_at") > place) & _reaches_over(p, mine))
-
-    around = F.exists("_all", lambda q: (mine["x"] < q["x"]) & _reaches_over(mine, q))
-    rows = rows.withColumns({"_around": around, "_in_first": under(1), "_in_second": under(2), "_n": F.size("_all")})
-    rows = rows.withColumn("_any", F.max("_in_first").over(camera))
-    of_three = F.col("_in_first") | (F.col("_in_second") & ~F.col("_any"))
-    gone = F.when(F.col("_n") == 2, F.col("_around")).when(F.col("_n") == 3, of_three).otherwise(False)
-    # what holds for one zone of an id holds for all, and one of them is kept
-    by_id = Window.partitionBy(key, "zone_id")
-    rows = rows.withColumns({"_gone": F.max(gone).over(by_id), "_first": F.min("zone_no").over(by_id)})
-    kept = rows.filter(~F.col("_gone") & (F.col("zone_no") == F.col("_first")))
-    kept = kept.withColumns({c: F.col(f"_z.{c}") for c in "xywh"})
-    return kept.drop("_z", "_at", "_all", "_around", "_in_first", "_in_second", "_n", "_any", "_gone", "_first")
+    number = F.coalesce(F.col(n_zones), F.size(zones)) if n_zones in df.columns else F.size(zones)
+
+    def last_of_id(z: Column) -> Column:
+        last = F.element_at(F.filter(zones, lambda o: o["id"].eqNullSafe(z["id"])), -1)
+        place = [last[c].alias(c) for c in "ywh"]
+        return F.struct(last["x"].alias("x"), z["zone_no"].alias("zone_no"), z["id"].alias("id"), *place)
+
+    blank = F.struct(
+        F.lit(0).alias("x"), F.lit(1 << 20).alias("zone_no"), F.lit(None).cast("int").alias("id"), *[F.lit(0).alias(c) for c in "ywh"]
+    )
+    named = F.transform(zones, last_of_id)
+    missing = F.greatest(number - F.size(zones), F.lit(0)).cast("int")
+    rows = df.withColumn("_s", F.sort_array(F.concat(named, F.array_repeat(blank, missing))))
+    at = [F.get("_s", F.lit(i)) for i in range(3)]
+    pair = {(i, j): F.coalesce(_reaches_over(at[i], at[j]), F.lit(False)) for i, j in ((0, 1), (0, 2), (1, 2), (1, 0))}
+    two = F.size("_s") == 2
+    three = F.size("_s") == 3
+    gone = [
+        two & pair[0, 1] & (at[0]["x"] < at[1]["x"]),
+        (two & pair[1, 0] & (at[1]["x"] < at[0]["x"])) | (three & pair[0, 1]),
+        three & (pair[0, 2] | (pair[1, 2] & ~pair[0, 1])),
+    ]
+    gone_ids = F.transform(
+        F.filter(F.array(*[F.struct(g.alias("g"), z["id"].alias("id")) for g, z in zip(gone, at)]), lambda m: m["g"]),
+        lambda m: m["id"],
+    )
+    kind = df.schema[zones].dataType.elementType
+    rows = rows.withColumn("_gone", gone_ids).withColumn(
+        "_s", F.filter("_s", lambda z: z["zone_no"] < (1 << 20))
+    )
+    kept = F.filter(
+        "_s",
+        lambda z: ~F.exists("_gone", lambda i: i.eqNullSafe(z["id"]))
+        & ~F.exists("_s", lambda o: o["id"].eqNullSafe(z["id"]) & (o["zone_no"] < z["zone_no"])),
+    )
+    listed = F.transform(kept, lambda z: F.struct(*[z[f.name].cast(f.dataType).alias(f.name) for f in kind.fields]))
+    return rows.withColumn(zones, F.sort_array(listed)).drop("_s", "_gone")
 
 
 def clip_zones(df: DataFrame) -> DataFrame:
@@ -227,10 +245,11 @@ def object_type_code(df: DataFrame, name: str = "type_name") -> DataFrame:
     return df.withColumn("type_code", code.cast("int"))
 
 
-def objects_by_zone(matches: DataFrame, event: str = "frame_id", chunk: int = 1024) -> DataFrame:
-    """Objects of each (event, zone), ordered by object number, in arrays of at most ``chunk``."""
+def objects_by_zone(matches: DataFrame, event: str = "frame_id", part: Column | None = None) -> DataFrame:
+    """Objects of each (event, zone), ordered by object number, as one array: what one picture shows. ``part`` cuts events
+    that span many pictures."""
     item = F.struct("object_no", "type_code", "score", "x1", "y1", "x2", "y2")
-    return nest(matches, [event, "zone_id"], ["object_no"], item, "objects", chunk)
+    return nest(matches, [event, "zone_id"], ["object_no"], item, "objects", part)
 
 
 def annotation_layers(zones: DataFrame, boxes: DataFrame, objects: DataFrame, matches: DataFrame) -> DataFrame:

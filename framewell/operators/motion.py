@@ -61,19 +61,22 @@ def _picture(data: bytes, width: int, height: int) -> np.ndarray:
 def rescale_luma(
     df: DataFrame, width: int = DETECT_WIDTH, height: int = DETECT_HEIGHT, method: str = "linear"
 ) -> DataFrame:
-    """Resize the luma plane of each row whose size differs; rows stay where they are."""
+    """Resize the luma plane of each row whose size differs, in one pass; rows without picture or size stay as they are."""
 
     def resize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["luma"] = [
-                rescale(_picture(d, w, h), width, height, method).tobytes()
-                for d, w, h in zip(pdf["luma"], pdf["width"], pdf["height"])
-            ]
-            pdf["width"], pdf["height"] = width, height
+            known = pdf[["luma", "width", "height"]].notna().all(axis=1)
+            other = known & ((pdf["width"] != width) | (pdf["height"] != height))
+            if other.any():
+                rows = pdf[other]
+                pdf.loc[other, "luma"] = [
+                    rescale(_picture(d, int(w), int(h)), width, height, method).tobytes()
+                    for d, w, h in zip(rows["luma"], rows["width"], rows["height"])
+                ]
+                pdf.loc[other, ["width", "height"]] = [width, height]
             yield pdf
 
-    fits = (F.col("width") == width) & (F.col("height") == height)
-    return df.filter(fits).unionByName(df.filter(~fits).mapInPandas(resize, df.schema))
+    return df.mapInPandas(resize, df.schema)
 
 
 def crop_zone(df: DataFrame) -> DataFrame:
@@ -160,13 +163,16 @@ def _zone_boxes(zone: ZoneDetector, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def watched_zones(config: DataFrame) -> DataFrame:
-    """Pixel rectangles to watch per camera, from one row per token: sensitivity and zones (as parsed).
+    """Pixel rectangles to watch per camera, from one row per token: sensitivity, zones and n_zones (as parsed).
 
-    Nested zones are dropped and zones clipped; without zones it is the whole picture as zone -1.
+    Nested zones are dropped and zones clipped. A configuration that names no zones watches the whole picture as zone -1;
+    one that names zones without describing them watches nothing there.
     """
-    listed = clip_zones(prune_nested_zones(explode_zones(config.select("token", "sensitivity", "zones"))))
+    number = F.col("n_zones") if "n_zones" in config.columns else F.size("zones")
+    rows = config.select("token", "sensitivity", "zones", number.alias("n_zones"))
+    listed = clip_zones(explode_zones(prune_nested_zones(rows)))
     pixels = zones_to_pixels(listed).select("token", "sensitivity", "zone_id", *"xywh")
-    whole = config.filter(F.size("zones") == 0).select(
+    whole = rows.filter(F.col("n_zones") == 0).select(
         "token",
         "sensitivity",
         F.lit(WHOLE_PICTURE).alias("zone_id"),
@@ -188,9 +194,7 @@ def zone_regions(frames: DataFrame, watched: DataFrame) -> DataFrame:
     return crop_zone(_watch(rescale_luma(frames), watched))
 
 
-def zone_motion_boxes(
-    regions: DataFrame, block_rows: int | None = None, probe: DataFrame | None = None
-) -> DataFrame:
+def zone_motion_boxes(regions: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Merged motion boxes in pixels per (token, zone_id, frame_no): one shuffle by (token, zone_id)."""
 
     def step(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
@@ -198,7 +202,7 @@ def zone_motion_boxes(
         return _zone_boxes(zone, pdf), zone.dump()
 
     keys, order = ["token", "zone_id"], ["frame_no"]
-    return in_order(regions, keys, order, step, BOX_SCHEMA, block_rows, guess=False, probe=probe)
+    return in_order(regions, keys, order, step, BOX_SCHEMA, block_rows, guess=False)
 
 
 def report_motion(boxes: DataFrame) -> DataFrame:
@@ -215,9 +219,7 @@ def report_motion(boxes: DataFrame) -> DataFrame:
 def detect_motion(frames: DataFrame, config: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Motion boxes in percent corners of each frame (token, frame_no, width, height, luma) with motion."""
     watched = watched_zones(config)
-    # how long the streams are is asked of the frame numbers, not of the pictures
-    probe = _watch(frames.select("token", "frame_no"), watched.select("token", "zone_id"))
-    return report_motion(zone_motion_boxes(zone_regions(frames, watched), block_rows, probe))
+    return report_motion(zone_motion_boxes(zone_regions(frames, watched), block_rows))
 
 
 class _ZoneProcessor(StatefulProcessor):
@@ -244,24 +246,23 @@ def stream_motion_boxes(regions: DataFrame) -> DataFrame:
     )
 
 
-def motion_result_json(boxes: DataFrame, key: str = "frame_id", chunk: int = 4096) -> DataFrame:
-    """JSON results per frame from percent corner rows: zones in ascending id, each with its boxes.
+def motion_result_json(
+    boxes: DataFrame, key: str = "frame_id", frames: DataFrame | None = None, part: Column | None = None
+) -> DataFrame:
+    """One JSON result per frame from percent corner rows: zones in ascending id, each with its boxes.
 
-    A frame with more than ``chunk`` boxes goes on in further rows numbered by ``part``.
+    ``frames`` names the frames that were looked at; those without boxes have an empty result. The boxes of a frame are
+    bounded by what its picture has room for; ``part`` cuts keys that stand for many pictures.
     """
-    # one number that sorts like (zone_id, x1, y1, x2, y2), for percent corners below 1000
-    place = F.col("zone_id").cast("decimal(38,0)")
-    for c in ("x1", "y1", "x2", "y2"):
-        place = place * 1000 + F.col(c)
-    rows = boxes.withColumn("_place", place.cast("long"))
-    rows = ordered(rows, [key], ["_place"]).index("_i").done().withColumn("part", F.floor(F.col("_i") / chunk))
-    per_zone = rows.groupBy(key, "part", "zone_id").agg(
-        F.sort_array(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("boxs")
-    )
-    per_frame = per_zone.groupBy(key, "part").agg(
-        F.sort_array(F.collect_list(F.struct("zone_id", "boxs"))).alias("motion")
-    )
-    return per_frame.select(key, "part", F.to_json(F.struct("motion")).alias("result"))
+    rows = boxes if part is None else boxes.withColumn("part", part)
+    by = [key] if part is None else [key, "part"]
+    per_zone = rows.groupBy(*by, "zone_id").agg(F.sort_array(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("boxs"))
+    per_frame = per_zone.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("zone_id", "boxs"))).alias("motion"))
+    results = per_frame.select(*by, F.to_json(F.struct("motion")).alias("result"))
+    if frames is None:
+        return results
+    looked = frames.select(key).distinct().join(results, key, "left")
+    return looked.withColumn("result", F.coalesce("result", empty_result()))
 
 
 def empty_result() -> Column:

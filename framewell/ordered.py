@@ -208,19 +208,17 @@ def ordered(
     return Ordered(cut, tuple(keys), tuple(order), limit, split=True)
 
 
-def nest(
-    df: DataFrame, keys: list[str], order: list[str], item: Column, name: str, chunk: int = 1024
-) -> DataFrame:
-    """Nest the rows of each group in order as arrays of at most ``chunk`` items, numbered by ``part``.
+def nest(df: DataFrame, keys: list[str], order: list[str], item: Column, name: str, part: Column | None = None) -> DataFrame:
+    """Nest the rows of each group in order as one array; nulls in the order come first.
 
-    A group up to ``chunk`` rows is one row with part 0; a longer one goes on in further rows, so nothing is lost and
-    no task ever holds an unbounded group.
+    One aggregation, whatever the size. ``part`` cuts groups that are too large for one array: each part is a row of its
+    own with the column ``part``.
     """
-    s = ordered(df, keys, order)
-    rows = s.index("_i").done().withColumn("part", F.floor(F.col("_i") / chunk))
-    packed = rows.select(*keys, "part", F.struct(F.col("_i"), item.alias("item")).alias("_item"))
-    lists = packed.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_item")).alias(name))
-    return lists.withColumn(name, F.transform(name, lambda x: x["item"]))
+    rows = df if part is None else df.withColumn("part", part)
+    by = keys if part is None else [*keys, "part"]
+    packed = rows.select(*by, F.struct(*order, item.alias("_item")).alias("_row"))
+    lists = packed.groupBy(*by).agg(F.sort_array(F.collect_list("_row")).alias(name))
+    return lists.withColumn(name, F.transform(name, lambda x: x["_item"]))
 
 
 def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], spread: str, salts: int = 32) -> DataFrame:

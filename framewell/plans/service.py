@@ -114,18 +114,16 @@ def delay_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "records",
-    """SELECT batch_id, partition_key, (row_number() OVER w - 1) // 1024 AS part,
-         row_number() OVER w - 1 AS place, seq, payload FROM good
+    """SELECT batch_id, partition_key, row_number() OVER w - 1 AS place, seq, payload FROM good
        WINDOW w AS (PARTITION BY batch_id, partition_key ORDER BY seq)""",
 )
 def group_frames(spark: SparkSession, d: str) -> DataFrame:
     groups = A.group_frames(admitted(spark, d))
-    rows = groups.select("batch_id", "partition_key", "part", F.posexplode("frames").alias("at", "f"))
+    rows = groups.select("batch_id", "partition_key", F.posexplode("frames").alias("at", "f"))
     return rows.select(
         "batch_id",
         "partition_key",
-        "part",
-        (F.col("part") * 1024 + F.col("at")).alias("place"),
+        F.col("at").cast("long").alias("place"),
         "f.seq",
         F.col("f.payload").cast("string").alias("payload"),
     )
@@ -175,10 +173,12 @@ def object_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "records",
-    """SELECT seq, to_base64(encode(payload)) AS body, length(to_base64(encode(payload))) <= 16 AS fits FROM records""",
+    """SELECT seq, to_base64(encode(payload)) AS body, coalesce(length(to_base64(encode(payload))) <= 16, false) AS fits
+       FROM (SELECT seq, CASE WHEN seq % 13 <> 0 THEN payload END AS payload FROM records)""",
 )
 def queue_encode(spark: SparkSession, d: str) -> DataFrame:
-    ok, large = SQ.queue_encode(V.records(spark, d), F.col("payload"), limit=16)
+    message = F.when(F.col("seq") % 13 != 0, F.col("payload"))
+    ok, large = SQ.queue_encode(V.records(spark, d), message, limit=16)
     return ok.withColumn("fits", F.lit(True)).unionByName(large.withColumn("fits", F.lit(False))).select("seq", "body", "fits")
 
 
@@ -196,10 +196,16 @@ def queue_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "",
-    """SELECT token, created, version, item FROM (
-         SELECT *, row_number() OVER (PARTITION BY token, created ORDER BY version DESC) AS r FROM (
-           SELECT CAST(user_id AS VARCHAR) AS token, strftime(ts, '%Y-%m-%d') AS created, event_id AS version,
-             props AS item FROM events)) WHERE r = 1""",
+    """WITH items AS (
+         SELECT CAST(user_id AS VARCHAR) AS token, strftime(ts, '%Y-%m-%d') AS created, event_id AS version, props AS item
+         FROM events),
+       latest AS (SELECT token, created, max(version) AS version, max_by(item, version) AS item FROM items GROUP BY ALL),
+       target AS (
+         SELECT token, created, version + version % 3 - 1 AS version, 'old ' || item AS item FROM latest WHERE version % 2 = 0)
+       SELECT coalesce(l.token, t.token) AS token, coalesce(l.created, t.created) AS created,
+         CASE WHEN t.version > l.version THEN t.version ELSE l.version END AS version,
+         CASE WHEN t.version > l.version THEN t.item ELSE l.item END AS item
+       FROM latest l LEFT JOIN target t ON l.token = t.token AND l.created = t.created""",
 )
 def upsert_results(spark: SparkSession, d: str) -> DataFrame:
     items = V.table(spark, d, "events").select(
@@ -208,20 +214,31 @@ def upsert_results(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("version"),
         F.col("props").alias("item"),
     )
-    return SS.upsert_results(items.limit(0), items)
+    # the table holds an older, equal or newer item for every second key
+    old = SS.upsert_results(items.limit(0), items).filter(F.col("version") % 2 == 0)
+    target = old.withColumns(
+        {"version": F.col("version") + F.col("version") % 3 - 1, "item": F.concat(F.lit("old "), F.col("item"))}
+    )
+    return SS.upsert_results(target, items)
 
 
 @query(
     "",
     """SELECT 'algorithm' AS type, CASE WHEN event_type IN ('error') THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n
-       FROM events GROUP BY ALL""",
+       FROM events WHERE event_id % 11 <> 0 GROUP BY ALL""",
 )
 def tail_logs(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     lines = V.table(spark, d, "events").select(
+        "event_id",
         F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, "props").alias("message")
     )
-    return SR.level_counts(SR.parse_log_lines(lines))
+    # one folder holds the log files, and files of another kind that the reader passes over
+    path = scratch_path(spark, "logs")
+    other = F.col("event_id") % 11 == 0
+    lines.filter(~other).select("message").write.text(path)
+    lines.filter(other).select("message").write.mode("append").option("compression", "gzip").text(path)
+    return SR.level_counts(SR.tail_logs(spark, path, streaming=False, files="*.txt"))
 
 
 # -- zones and boxes -------------------------------------------------------------------------------------------------
@@ -251,7 +268,7 @@ def parse_motion_config(spark: SparkSession, d: str) -> DataFrame:
 
 def parsed_zones(spark: SparkSession, d: str) -> DataFrame:
     parsed = G.parse_motion_config(V.configs(spark, d)).filter("valid")
-    return parsed.select("token", "sensitivity", "zones")
+    return parsed.select("token", "sensitivity", "zones", "n_zones")
 
 
 @query("configs", "SELECT token, CAST(zone_id AS INTEGER) AS zone_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h FROM zones")
@@ -284,7 +301,7 @@ def zones_sql(body: str) -> str:
 
 
 def pruned_zones(spark: SparkSession, d: str) -> DataFrame:
-    return G.prune_nested_zones(G.explode_zones(parsed_zones(spark, d)))
+    return G.explode_zones(G.prune_nested_zones(parsed_zones(spark, d)))
 
 
 INT_ZONE = "CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h"
@@ -399,8 +416,9 @@ def match_objects_to_motion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zone_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Objects of the camera number 0 to 149 their frame belongs to, with the zones that hold them."""
-    objects = V.objects(spark, d).withColumn("token", F.col("frame_id") % 150)
+    """Objects of the camera their frame belongs to, with the zones that hold them; the frames go round all cameras."""
+    cameras = V.table(spark, d, "customer").count()
+    objects = V.objects(spark, d).withColumn("token", 1 + F.col("frame_id") % cameras)
     zones = G.clip_zones(G.explode_zones(parsed_zones(spark, d)))
     return G.match_objects_to_zones(objects, zones.select("token", "zone_id", *"xywh"))
 
@@ -409,7 +427,7 @@ ZONED = """, clipped AS (
   SELECT token, CAST(zone_id AS INTEGER) AS zone_id, x AS x1, y AS y1, x + least(w, 100 - x) AS x2,
     y + least(h, 100 - y) AS y2 FROM zones),
 zoned AS (
-  SELECT o.*, b.token, b.zone_id FROM objects o JOIN clipped b ON o.frame_id % 150 = b.token
+  SELECT o.*, b.token, b.zone_id FROM objects o JOIN clipped b ON 1 + o.frame_id % (SELECT count(*) FROM customer) = b.token
   WHERE """ + SHARED + " > 0 AND " + SHARED + " * 100.0 >= 20 * (o.x2 - o.x1) * (o.y2 - o.y1))\n"
 
 
@@ -442,8 +460,8 @@ BY_ZONE = f"""SELECT frame_id, zone_id, row_number() OVER (PARTITION BY frame_id
 @query("", zoned_sql(BY_ZONE))
 def objects_by_zone(spark: SparkSession, d: str) -> DataFrame:
     lists = G.objects_by_zone(G.object_type_code(zone_matches(spark, d)))
-    rows = lists.select("frame_id", "zone_id", "part", F.posexplode("objects").alias("at", "o"))
-    place = F.col("part") * 1024 + F.col("at") + 1
+    rows = lists.select("frame_id", "zone_id", F.posexplode("objects").alias("at", "o"))
+    place = (F.col("at") + 1).cast("long")
     return rows.select("frame_id", "zone_id", place.alias("place"), "o.object_no", "o.type_code")
 
 
@@ -588,13 +606,26 @@ def detect_motion(spark: SparkSession, d: str) -> DataFrame:
     return D.detect_motion(V.clips(spark, d), clip_config(spark, d))
 
 
-RESULT_ROWS = "SELECT frame_id, zone_id, x1, y1, x2, y2, 0::BIGINT AS part FROM boxes"
+LOOKED = "SELECT DISTINCT event_id // 3 AS frame_id FROM events"
+RESULT_ROWS = f"""SELECT f.frame_id, r.n_zones, r.box_sum FROM ({LOOKED}) f JOIN (
+  SELECT f.frame_id, count(DISTINCT zone_id) AS n_zones, coalesce(sum(x1 + 1000 * y2), 0)::BIGINT AS box_sum
+  FROM ({LOOKED}) f LEFT JOIN boxes b ON f.frame_id = b.frame_id GROUP BY f.frame_id) r ON f.frame_id = r.frame_id"""
 
 
 @query("boxes", RESULT_ROWS)
 def motion_result_json(spark: SparkSession, d: str) -> DataFrame:
-    results = D.motion_result_json(V.boxes(spark, d))
-    return D.parse_motion_result(results).select("frame_id", "zone_id", *CORNERS, "part")
+    """One result per frame that was looked at, the frames past the last box among them."""
+    looked = V.table(spark, d, "events").select(F.expr("event_id div 3").alias("frame_id"))
+    results = D.motion_result_json(V.boxes(spark, d), frames=looked)
+    zones = F.from_json("result", D.RESULT_SCHEMA)["motion"]
+    boxes = F.flatten(F.transform(zones, lambda z: z["boxs"]))
+    total = F.aggregate(boxes, F.lit(0).cast("long"), lambda a, b: a + F.get(b, F.lit(0)) + 1000 * F.get(b, F.lit(3)))
+    return results.select("frame_id", F.size(zones).cast("long").alias("n_zones"), total.alias("box_sum"))
+
+
+@query("boxes", "SELECT frame_id, zone_id, x1, y1, x2, y2 FROM boxes")
+def motion_result_rows(spark: SparkSession, d: str) -> DataFrame:
+    return D.parse_motion_result(D.motion_result_json(V.boxes(spark, d))).select("frame_id", "zone_id", *CORNERS)
 
 
 @query(
@@ -656,12 +687,12 @@ def motion_events(spark: SparkSession, d: str) -> DataFrame:
     return E.motion_events(results).drop("utc_date")
 
 
-@query("", zoned_sql("SELECT frame_id, 0::BIGINT AS part, zone_id, count(*) AS n, CAST(sum(object_no) AS BIGINT) AS object_sum FROM zoned GROUP BY ALL"))
+@query("", zoned_sql("SELECT frame_id, zone_id, count(*) AS n, CAST(sum(object_no) AS BIGINT) AS object_sum FROM zoned GROUP BY ALL"))
 def object_events(spark: SparkSession, d: str) -> DataFrame:
     events = E.object_events(G.object_type_code(zone_matches(spark, d)))
-    rows = events.select("frame_id", "part", F.explode("objects").alias("zone_id", "o"))
+    rows = events.select("frame_id", F.explode("objects").alias("zone_id", "o"))
     add = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s + x["object_no"])
-    return rows.select("frame_id", "part", "zone_id", F.size("o").cast("long").alias("n"), add.alias("object_sum"))
+    return rows.select("frame_id", "zone_id", F.size("o").cast("long").alias("n"), add.alias("object_sum"))
 
 
 @query("stored", "SELECT object_key, CAST((expires_hours + 23) // 24 AS INTEGER) AS expires_days FROM stored_objects")

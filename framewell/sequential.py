@@ -4,8 +4,9 @@ Streams that fit ``block_rows`` are sorted inside their partition and fed batch
 batch and one state. Longer streams are cut into blocks of neighbouring rows: first the state each block starts with
 is settled, then all blocks run in parallel from their own start. To settle the states every block guesses that it
 starts afresh and is run again only while the state before it still changes (steps that forget their past settle
-in a few rounds); with ``guess=False`` a block waits for the true state of the one before it, which suits steps whose
-state never forgets. Either way the result is the one of the plain loop.
+in a few rounds). The result is the one of the plain loop. A step whose state never forgets has nothing to guess from;
+with ``guess=False`` each stream is walked once in its partition, whatever its length: one shuffle, one batch and one
+state in memory. Long histories of such a step run as a stream, with the state in the state store.
 """
 
 from __future__ import annotations
@@ -34,14 +35,16 @@ def in_order(
     probe: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes."""
-    return run_in_order(ordered(df, keys, order, block_rows, probe), step, schema, guess)
+    if not guess:
+        return run_in_order(Ordered(df, tuple(keys), tuple(order), 0, split=False), step, schema)
+    return run_in_order(ordered(df, keys, order, block_rows, probe), step, schema)
 
 
-def run_in_order(s: Ordered, step: Step, schema: str, guess: bool = True) -> DataFrame:
+def run_in_order(s: Ordered, step: Step, schema: str) -> DataFrame:
     """``in_order`` on streams whose length is known already."""
     df, keys, order = s.df, list(s.keys), list(s.order)
     if s.split:
-        return _run_blocks(s, _block_states(s, step, guess), step, schema)
+        return _run_blocks(s, _block_states(s, step), step, schema)
     # a fixed number, since partitions of well compressed pictures look small enough to be joined
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
@@ -73,7 +76,7 @@ def _streams_in(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.
             yield tuple(v[a] for v in named), pdf.iloc[a:b]
 
 
-def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
+def _block_states(s: Ordered, step: Step) -> DataFrame:
     """One row per block with the state its first row meets."""
     part = s.part
     kinds = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
@@ -102,7 +105,7 @@ def _block_states(s: Ordered, step: Step, guess: bool) -> DataFrame:
 
     while True:
         known = F.when(F.row_number().over(before) == 1, F.lit(b"")).otherwise(F.lag("end").over(before))
-        asked = states.withColumn("want", F.coalesce(known, F.lit(b"")) if guess else known)
+        asked = states.withColumn("want", F.coalesce(known, F.lit(b"")))
         todo = durable(asked.filter(F.col("want").isNotNull() & ~F.col("want").eqNullSafe(F.col("start"))))
         if todo.isEmpty():
             return states.select(*part, "start")

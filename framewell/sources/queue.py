@@ -10,9 +10,9 @@ MESSAGE_LIMIT = 262_144
 
 
 def queue_encode(df: DataFrame, message: Column, limit: int = MESSAGE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Add the Base64 ``body`` of a message and part the rows into sendable and too large ones."""
+    """Add the Base64 ``body`` of a message and part the rows into sendable ones and others: too large or without message."""
     bodies = df.withColumn("body", F.base64(message.cast("binary")))
-    fits = F.length("body") <= limit
+    fits = F.coalesce(F.length("body") <= limit, F.lit(False))
     return bodies.filter(fits), bodies.filter(~fits)
 
 

@@ -47,10 +47,12 @@ def read_kafka_records(spark: SparkSession, servers: str, topic: str, streaming:
     )
 
 
-def tail_logs(spark: SparkSession, path: str, streaming: bool = True, kind: str = "algorithm") -> DataFrame:
-    """Lines of the ``*.log`` files of a folder from their beginning, with file name and parsed level."""
+def tail_logs(
+    spark: SparkSession, path: str, streaming: bool = True, kind: str = "algorithm", files: str = "*.log"
+) -> DataFrame:
+    """Lines of the log files of a folder from their beginning, with file name and parsed level."""
     reader = spark.readStream if streaming else spark.read
-    lines = reader.option("pathGlobFilter", "*.log").text(path)
+    lines = reader.option("pathGlobFilter", files).text(path)
     return parse_log_lines(
         lines.select(F.col("value").alias("message"), F.col("_metadata.file_name").alias("file")), kind
     )

@@ -10,9 +10,13 @@ from framewell.operators import motion as D
 
 
 def prune(spark, *zones):
-    rows = [("cam", i + 1, z[0], *z[1:]) for i, z in enumerate(zones)]
-    df = spark.createDataFrame(rows, "token STRING, zone_no INT, zone_id INT, x INT, y INT, w INT, h INT")
-    return sorted(r.zone_id for r in G.prune_nested_zones(df).collect())
+    return sorted(r.zone_id for r in G.explode_zones(pruned(spark, zones)).collect())
+
+
+def pruned(spark, zones, n=None):
+    rows = [("cam", [(i + 1, *z) for i, z in enumerate(zones)], len(zones) if n is None else n)]
+    item = "STRUCT<zone_no: INT, id: INT, x: INT, y: INT, w: INT, h: INT>"
+    return G.prune_nested_zones(spark.createDataFrame(rows, f"token STRING, zones ARRAY<{item}>, n_zones INT"))
 
 
 def test_of_two_zones_the_outer_goes(spark):
@@ -38,11 +42,31 @@ def test_second_against_third_only_when_none_has_gone(spark):
 
 
 def test_zones_of_equal_id_count_once_with_the_last_rectangle(spark):
-    df = spark.createDataFrame(
-        [("cam", 1, 7, 1, 1, 5, 5), ("cam", 2, 7, 2, 2, 6, 6)],
-        "token STRING, zone_no INT, zone_id INT, x INT, y INT, w INT, h INT",
-    )
-    assert [tuple(r) for r in G.prune_nested_zones(df).select("zone_id", *"xywh").collect()] == [(7, 2, 2, 6, 6)]
+    df = G.explode_zones(pruned(spark, [(7, 1, 1, 5, 5), (7, 2, 2, 6, 6)]))
+    assert [tuple(r) for r in df.select("zone_id", *"xywh").collect()] == [(7, 2, 2, 6, 6)]
+
+
+def test_zones_named_but_not_described_count(spark):
+    # of two zones the outer would go; the configuration names three, so the inner one goes
+    two = [(1, 5, 0, 50, 50), (2, 10, 10, 20, 20)]
+    assert [r.zone_id for r in G.explode_zones(pruned(spark, two, 3)).collect()] == [1]
+    assert [r.zone_id for r in G.explode_zones(pruned(spark, two, 2)).collect()] == [2]
+    config = pruned(spark, [], 1).withColumn("sensitivity", F.lit(100))
+    assert D.watched_zones(config).count() == 0
+    assert [r.zone_id for r in D.watched_zones(config.withColumn("n_zones", F.lit(0))).collect()] == [D.WHOLE_PICTURE]
+
+
+def test_pruning_needs_no_shuffle(spark):
+    plan = pruned(spark, [(1, 0, 0, 5, 5)])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_pictures_without_size_stay(spark):
+    rows = [(1, 2, 2, bytearray([1, 2, 3, 4])), (2, None, 2, bytearray([9])), (3, 4, 4, bytearray(range(16))), (4, 4, 4, None)]
+    df = spark.createDataFrame(rows, "seq INT, width INT, height INT, luma BINARY").coalesce(1)
+    got = {r.seq: r for r in D.rescale_luma(df, 2, 2).collect()}
+    assert len(got) == 4 and got[2].width is None and bytes(got[2].luma) == b"\x09" and got[4].luma is None
+    assert (got[3].width, got[3].height, len(got[3].luma)) == (2, 2, 4) and bytes(got[1].luma) == b"\x01\x02\x03\x04"
 
 
 @pytest.mark.parametrize(
@@ -135,11 +159,12 @@ def test_expiry_days_round_up(spark):
     assert [r[0] for r in df.select(expiry_days(F.col("h"))).collect()] == [0, 1, 1, 2]
 
 
-def test_long_groups_are_nested_in_parts(spark):
+def test_groups_are_nested_in_the_parts_a_caller_gives(spark):
     boxes = spark.range(25).select(
         F.lit(1).alias("frame_id"), F.lit(2).alias("zone_id"), F.col("id").cast("int").alias("x1"),
         F.lit(0).alias("y1"), F.lit(50).alias("x2"), F.lit(9).alias("y2"),
     )
-    results = D.motion_result_json(boxes, chunk=10)
+    assert D.motion_result_json(boxes).count() == 1
+    results = D.motion_result_json(boxes, part=F.floor(F.col("x1") / 10))
     assert sorted(r.part for r in results.collect()) == [0, 1, 2]
     assert D.parse_motion_result(results).count() == 25
