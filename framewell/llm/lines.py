@@ -24,33 +24,57 @@ def row_keys(df: DataFrame) -> dict[str, Column]:
     return {"_key": F.xxhash64(*row), "_check": F.xxhash64(F.lit("row"), *reversed(row))}
 
 
-def masked_lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(_key, _check, doc_id, line, tokens, leaf)`` of all lines with enough tokens; tokens that hold a digit are fields.
-    The leaf is named by the number of tokens and the leading ones."""
-    lines = keyed.select(
-        "_key", "_check", F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "_text")
+def masked(tokens: Column) -> Column:
+    """Tokens that hold a digit are fields."""
+    return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
+
+
+def leaves(keyed: DataFrame, text: str) -> DataFrame:
+    """``(_key, _check, line, leaf)`` of all lines with enough tokens. A leaf is named by the number of tokens and the
+    leading ones."""
+    lines = keyed.select("_key", "_check", F.posexplode(F.split(text, "\n")).alias("line", "_text"))
+    tokens = lines.select("_key", "_check", "line", words(F.col("_text")).alias("_words"))
+    long = tokens.filter(F.size("_words") >= MIN_TOKENS)
+    return long.select(
+        "_key", "_check", "line", F.xxhash64(F.size("_words"), masked(F.slice("_words", 1, DEPTH))).alias("leaf")
     )
-    tokens = lines.select("_key", "_check", "doc_id", "line", words(F.col("_text")).alias("_words")).filter(
-        F.size("_words") >= MIN_TOKENS
+
+
+def busy_lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(_key, _check, doc_id, line, leaf, same, tokens)`` of the lines of leaves with at least :data:`MIN_DOCS` lines.
+
+    Leaves are found on hashes alone; only then do the numbers of the lines that matter meet the texts.
+    """
+    placed = stored(leaves(keyed, text), "leaves")
+    busy = stored(
+        placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"), "busy"
     )
-    masked = F.split(F.regexp_replace(F.array_join("_words", " "), r"[^ ]*[0-9][^ ]*", FIELD), " ")
-    tokens = tokens.select("_key", "_check", "doc_id", "line", masked.alias("tokens"))
-    return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
+    wanted = (
+        placed.join(busy, "leaf")
+        .groupBy("_key", "_check")
+        .agg(F.array_sort(F.collect_set(F.struct("line", "leaf"))).alias("_wanted"))
+    )
+    found = keyed.select("_key", "_check", F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(
+        wanted, ["_key", "_check"]
+    )
+    parts = found.select("_key", "_check", "doc_id", "_wanted", F.split("_text", "\n").alias("_parts"))
+    chosen = F.transform(
+        "_wanted", lambda w: F.struct(w["line"], w["leaf"], F.get("_parts", w["line"]).alias("text"))
+    )
+    rows = parts.select("_key", "_check", "doc_id", F.explode(chosen).alias("_l"))
+    tokens = rows.select("_key", "_check", "doc_id", "_l.line", "_l.leaf", masked(words(F.col("_l.text"))).alias("tokens"))
+    return stored(tokens.withColumn("same", F.sha2(F.array_join("tokens", " "), 256)), "lines")
 
 
 def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(_key, _check, doc_id, line, leaf, template)`` of the lines that fit a template with enough constant tokens.
 
     Below a leaf, a token is constant at its place if it stands there in at least :data:`MIN_DOCS` documents, else the
-    place is a field. Only lines of leaves with that many lines can hold such a token; all others end at the first,
-    hash-only aggregation. Equal lines are counted before the tokens are laid out, so a line that very many documents
-    share is one row from there on.
+    place is a field. Only lines of leaves with that many lines can hold such a token; all others end with the hashes.
+    Equal lines are counted before their tokens are laid out, so a line that very many documents share is one row from
+    there on.
     """
-    lines = masked_lines(keyed, doc_id, text)
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
-    near = stored(
-        lines.join(busy, "leaf", "left_semi").withColumn("same", F.sha2(F.array_join("tokens", " "), 256)), "lines"
-    )
+    near = busy_lines(keyed, doc_id, text)
     seen = near.select("leaf", "same", "_key", "_check").distinct().groupBy("leaf", "same").agg(F.count("*").alias("docs"))
     forms = near.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens"))
     placed = forms.join(seen, ["leaf", "same"]).select(

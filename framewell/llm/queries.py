@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from framewell.llm import bpe, embeddings, lines, mixing, quality, simhash, token_files, unigram, url_filters, warc
-from framewell.llm.registry import query
+from framewell.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from framewell.llm.tables import table
 
 #: The rules that the URL query judges by.
