@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from framewell.functions.boxes import idiv
 
@@ -28,6 +29,19 @@ def total_squares(luma: Column) -> Column:
     return F.aggregate(luma, F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)
 
 
+@F.pandas_udf(ArrayType(StructType().add("value", "integer").add("n", "long")))
+def level_counts(planes: pd.Series) -> pd.Series:
+    """Values of a plane with their number of pixels, in order of value; null for a null plane."""
+
+    def one(plane) -> list[dict] | None:
+        if plane is None:
+            return None
+        values, counts = np.unique(np.asarray(plane), return_counts=True)
+        return [{"value": v, "n": n} for v, n in zip(values.tolist(), counts.tolist())]
+
+    return planes.map(one)
+
+
 def row_arrays(luma: Column, width: int, height: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice(luma, r * width + 1, F.lit(width)))
 

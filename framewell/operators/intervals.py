@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewell.functions.pixels import column_sums, count_where, even_up, half, row_sums
+from framewell.functions.pixels import column_sums, count_where, even_up, half, level_counts, row_sums
 from framewell.operators.kernels import block_sums, interlace_sums
 from framewell.operators.retime import frame_sad
 from framewell.ordered import Ordered, join_per_key, ordered
@@ -216,27 +216,25 @@ def representative_frame(frames: DataFrame, n: int = 100, block_rows: int | None
     With b frames in the batch, count c and batch total S of a value, b * b times the squared error is a whole number:
     b * b * c * c - 2 * b * c * S summed over the frame's values, plus S * S summed over the batch's values.
     """
-    rows = _stream(frames.select(KEY, "pts", "seq", "luma"), block_rows).index("n").done()
-    rows = rows.withColumn("batch", F.floor(F.col("n") / n))
+    counted = frames.select(KEY, "pts", "seq", level_counts(F.col("luma")).alias("_h"))
+    rows = _stream(counted, block_rows).index("n").done().withColumn("batch", F.floor(F.col("n") / n))
     group = [KEY, "batch"]
-    counts = rows.select(*group, "n", F.explode("luma").alias("v")).groupBy(*group, "n", "v").agg(
-        F.count(F.lit(1)).alias("c")
+    levels = rows.select(*group, F.explode("_h").alias("_l"))
+    sums = levels.groupBy(*group, "_l.value").agg(F.sum("_l.n").alias("S"))
+    # at most 256 values of a batch meet in its row
+    whole = sums.groupBy(*group).agg(
+        F.sum(F.col("S") * F.col("S")).alias("_ss"), F.map_from_entries(F.collect_list(F.struct("value", "S"))).alias("_sums")
     )
-    sums = counts.groupBy(*group, "v").agg(F.sum("c").alias("S"))
-    both = counts.join(sums, [*group, "v"])
-    cross = both.groupBy(*group, "n").agg(
-        F.sum(F.col("c") * F.col("c")).alias("_cc"), F.sum(F.col("c") * F.col("S")).alias("_cs")
-    )
-    whole = sums.groupBy(*group).agg(F.sum(F.col("S") * F.col("S")).alias("_ss"))
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_b"))
-    err = cross.join(whole, group).join(sizes, group)
+    both = rows.join(whole.join(sizes, group), group)
+    none = F.lit(0).cast("long")
+    squares = F.aggregate("_h", none, lambda s, x: s + x["n"] * x["n"])
+    cross = F.aggregate("_h", none, lambda s, x: s + x["n"] * F.col("_sums")[x["value"]])
     b = F.col("_b").cast("decimal(38,0)")
-    exact = b * b * F.col("_cc") - 2 * b * F.col("_cs") + F.col("_ss")
-    err = err.withColumn("_e", exact)
-    best = err.groupBy(*group).agg(F.min(F.struct("_e", "n", "_b")).alias("_m"))
-    named = best.select(*group, F.col("_m.n").alias("n"), (F.col("_m._e") / (F.col("_m._b") * F.col("_m._b"))).cast(
-        "double").alias("sum_sq_err"))
-    return named.join(rows.select(*group, "n", "seq", "pts"), [*group, "n"])
+    scored = both.withColumn("_e", b * b * squares - 2 * b * cross + F.col("_ss"))
+    best = scored.groupBy(*group).agg(F.min(F.struct("_e", "n", "_b", "seq", "pts")).alias("_m"))
+    error = (F.col("_m._e") / (F.col("_m._b") * F.col("_m._b"))).cast("double")
+    return best.select(*group, "_m.n", error.alias("sum_sq_err"), "_m.seq", "_m.pts")
 
 
 TYPES = ["tff", "bff", "progressive", "undetermined"]

@@ -59,12 +59,13 @@ def sliding_histogram(
     """Per observation: count, min, max, mean and stddev of the last ``n`` observations of its metric.
 
     The last n rows are the head of the row's own chunk of n and the tail of the chunk before. Both are running
-    aggregates inside one chunk, so a row costs the same for any n and no task needs more than a chunk in order.
+    aggregates inside one chunk, so a row costs the same for any n and no task needs more than a chunk in order. The
+    spreads of head and tail are centred on their own means and joined by the distance of these.
     """
     rows = ordered(df.select(metric, "seq", "value"), [metric], ["seq"], block_rows).index("_i").done()
     rows = rows.withColumns({"_chunk": F.floor(F.col("_i") / n), "_pos": F.col("_i") % n})
     v = F.col("value").cast("double")
-    parts = {"n": F.count(v), "s": F.sum(v), "q": F.sum(v * v), "lo": F.min(v), "hi": F.max(v)}
+    parts = {"n": F.count(v), "s": F.sum(v), "q": F.var_pop(v), "lo": F.min(v), "hi": F.max(v)}
     chunk = Window.partitionBy(metric, "_chunk")
     head = chunk.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     tail = chunk.orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -80,7 +81,10 @@ def sliding_histogram(
         return F.col(f"h_{k}") + F.coalesce(F.col(f"t_{k}"), F.lit(0))
 
     count, mean = total("n"), total("s") / total("n")
-    spread = F.greatest(total("q") - total("s") * mean, F.lit(0.0))
+    part = {k: (F.coalesce(F.col(f"{k}_n"), F.lit(0)), F.coalesce(F.col(f"{k}_q"), F.lit(0.0))) for k in "ht"}
+    gap = F.try_divide("h_s", "h_n") - F.try_divide("t_s", "t_n")
+    between = F.coalesce(gap * gap * part["h"][0] * part["t"][0] / F.nullif(count, F.lit(0)), F.lit(0.0))
+    spread = part["h"][0] * part["h"][1] + part["t"][0] * part["t"][1] + between
     return both.select(
         metric,
         "seq",
@@ -199,11 +203,16 @@ def metric_reports(df: DataFrame, ts_seconds: str = "pts") -> DataFrame:
     return out
 
 
-def recent_series(series: DataFrame, metric: str, col: str, as_of_seconds: float) -> DataFrame:
-    """One column of one metric from rows (name, col, ts, value): its last 1024 rows, of these the last 60 minutes.
+def recent_series(series: DataFrame, metric: str, col: str, as_of_seconds: float | None = None) -> DataFrame:
+    """One column of one metric from rows (name, col, ts, value): its last 1024 rows, of these the last 60 minutes before
+    ``as_of_seconds``, or before the newest of them.
 
     An unknown column gives no rows. The newest rows are picked per partition before they meet.
     """
     rows = series.filter((F.col("name") == metric) & (F.col("col") == col))
     newest = rows.orderBy(F.col("ts").desc(), F.col("value")).limit(SERIES_ROWS)
-    return newest.filter(F.col("ts") >= as_of_seconds - 60 * SERIES_MINUTES)
+    if as_of_seconds is not None:
+        return newest.filter(F.col("ts") >= as_of_seconds - 60 * SERIES_MINUTES)
+    # at most SERIES_ROWS rows meet in this window
+    last = F.max("ts").over(Window.partitionBy("name"))
+    return newest.withColumn("_last", last).filter(F.col("ts") >= F.col("_last") - 60 * SERIES_MINUTES).drop("_last")

@@ -16,6 +16,7 @@ from framewell.functions.pixels import (
     adler32_bytes,
     digits,
     kth_smallest,
+    level_counts,
     pcm_bytes,
     share_position,
     total,
@@ -337,9 +338,9 @@ def stream_checksum(
 
 
 def level_histogram(frames: DataFrame, plane: str = "luma") -> DataFrame:
-    """Number of pixels of each value per frame; counted on the reading side before the shuffle."""
-    pixels = frames.select(KEY, "seq", F.explode(plane).alias("value"))
-    return pixels.groupBy(KEY, "seq", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Number of pixels of each value per frame, counted inside the row that holds the frame."""
+    levels = frames.select(KEY, "seq", F.explode(level_counts(F.col(plane))).alias("_l"))
+    return levels.select(KEY, "seq", F.col("_l.value").alias("value"), F.col("_l.n").alias("n"))
 
 
 def _pairs(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

@@ -759,25 +759,38 @@ def live_objects(spark: SparkSession, d: str) -> DataFrame:
     """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, event_ts)) AS interval_us, count(*) AS "recordCount",
          count(*) FILTER (behind_latest_ms > 300000) AS "receiveDelayedCount",
          count(*) FILTER (delay_ms > 60000) AS "dataDelayedCount",
-         count(*) FILTER (event_type = 'error') AS "s3FailureCount"
+         count(*) FILTER (event_type = 'error') AS "s3FailureCount",
+         count(*) FILTER (event_type = 'error' AND seq % 2 = 0) AS "sqsFailureCount",
+         count(*) FILTER (event_type <> 'error') AS "s3SuccessfulCount",
+         count(*) FILTER (event_type <> 'error' AND seq % 2 = 0) AS "sqsSuccessfulCount",
+         count(*) FILTER (seq % 3 = 0) AS "objectMotionCount",
+         count(*) FILTER (event_type = 'error' AND seq % 3 = 0) AS "objectErrorCount",
+         count(*) FILTER (delay_ms > 60000 AND seq % 3 = 0) AS "objectDataDelayedCount"
        FROM good GROUP BY 1""",
 )
 def interval_counters(spark: SparkSession, d: str) -> DataFrame:
-    names = ["recordCount", "receiveDelayedCount", "dataDelayedCount", "s3FailureCount"]
-    counted = M.interval_counters(counter_events(admitted(spark, d)), "1 hour", names)
-    return counted.select(V.epoch_micros(F.col("interval_start").cast("timestamp_ntz")).alias("interval_us"), *names)
+    counted = M.interval_counters(counter_events(admitted(spark, d)), "1 hour")
+    start = V.epoch_micros(F.col("interval_start").cast("timestamp_ntz"))
+    return counted.select(start.alias("interval_us"), *M.COUNTERS)
 
 
 def counter_events(rows: DataFrame) -> DataFrame:
     """Counter increments of admitted records: one row per counter a record touches."""
-    touched = F.array_compact(
-        F.array(
-            F.lit("recordCount"),
-            F.when(F.col("behind_latest_ms") > A.MAX_BATCH_LAG_MS, "receiveDelayedCount"),
-            F.when(F.col("delay_ms") > A.MAX_DATA_DELAY_MS["development"], "dataDelayedCount"),
-            F.when(F.col("event_type") == "error", "s3FailureCount"),
-        )
-    )
+    failed, late = F.col("event_type") == "error", F.col("delay_ms") > A.MAX_DATA_DELAY_MS["development"]
+    queued, seen = F.col("seq") % 2 == 0, F.col("seq") % 3 == 0
+    rules = {
+        "recordCount": F.lit(True),
+        "receiveDelayedCount": F.col("behind_latest_ms") > A.MAX_BATCH_LAG_MS,
+        "dataDelayedCount": late,
+        "s3FailureCount": failed,
+        "sqsFailureCount": failed & queued,
+        "s3SuccessfulCount": ~failed,
+        "sqsSuccessfulCount": ~failed & queued,
+        "objectMotionCount": seen,
+        "objectErrorCount": failed & seen,
+        "objectDataDelayedCount": late & seen,
+    }
+    touched = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
     return rows.select(
         F.col("event_ts").alias("ts"), F.explode(touched).alias("counter"), F.lit(1).cast("long").alias("amount")
     )
@@ -804,12 +817,12 @@ OBSERVED = """WITH observations AS (
     OBSERVED
     + """SELECT metric, seq, count(*) OVER w AS count, CAST(min(value) OVER w AS DOUBLE) AS min,
       CAST(max(value) OVER w AS DOUBLE) AS max, round(avg(value) OVER w, 6) AS mean,
-      round(coalesce(stddev_samp(value) OVER w, 0), 4) AS stddev
+      round(coalesce(stddev_samp(value) OVER w, 0), 6) AS stddev
     FROM observations WINDOW w AS (PARTITION BY metric ORDER BY seq ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)""",
 )
 def sliding_histogram(spark: SparkSession, d: str) -> DataFrame:
     out = M.sliding_histogram(observations(spark, d))
-    return out.withColumns({"mean": r6("mean"), "stddev": F.round("stddev", 4)})
+    return rounded(out, "mean", "stddev")
 
 
 QUANTILES = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p98": 0.98, "p99": 0.99, "p999": 0.999}
@@ -919,7 +932,7 @@ def metric_reports(spark: SparkSession, d: str) -> DataFrame:
     "",
     """WITH series AS (SELECT event_type AS name, 'value' AS col, epoch_us(ts) / 1e6::DOUBLE AS ts, value FROM events),
     newest AS (SELECT * FROM series WHERE name = 'error' ORDER BY ts DESC, value LIMIT 1024)
-    SELECT name, col, round(ts, 6) AS ts, value FROM newest WHERE ts >= epoch_us(TIMESTAMP '2024-01-30 23:50:00') / 1e6 - 3600""",
+    SELECT name, col, round(ts, 6) AS ts, value FROM newest WHERE ts >= (SELECT max(ts) FROM newest) - 3600""",
 )
 def recent_series(spark: SparkSession, d: str) -> DataFrame:
     series = V.table(spark, d, "events").select(
@@ -928,5 +941,4 @@ def recent_series(spark: SparkSession, d: str) -> DataFrame:
         (V.epoch_micros(F.col("ts")) / 1e6).alias("ts"),
         "value",
     )
-    as_of = 1706658600.0
-    return rounded(M.recent_series(series, "error", "value", as_of), "ts")
+    return rounded(M.recent_series(series, "error", "value"), "ts")
