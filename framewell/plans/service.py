@@ -160,12 +160,18 @@ def object_sink(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "stored",
-    """SELECT object_key, epoch_us(created) AS created_us, expires_hours FROM stored_objects
+    """SELECT object_key, epoch_us(created) AS created_us,
+         CASE WHEN object_key % 3 = 0 THEN expires_hours + 1000 ELSE expires_hours END AS expires_hours FROM stored_objects
        WHERE object_key IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)""",
 )
 def object_source(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "objects")
-    SO.object_sink(tagged_objects(spark, d).withColumn("body", F.lit("x").cast("binary")), path, grain="year")
+    objects = tagged_objects(spark, d).withColumn("body", F.lit("x").cast("binary"))
+    SO.object_sink(objects, path, grain="year")
+    # every third key is put again, and that put runs twice
+    again = objects.filter(F.col("object_key") % 3 == 0).withColumn("expires_hours", F.col("expires_hours") + 1000)
+    for _ in range(2):
+        SO.object_sink(again, path, put=1, grain="year")
     wanted = V.table(spark, d, "lineitem").filter(F.col("l_quantity") >= 40)
     rows = SO.object_source(spark, path, wanted.select(F.col("l_orderkey").alias("object_key")))
     return rows.select("object_key", V.epoch_micros(F.col("created")).alias("created_us"), "expires_hours")

@@ -1,31 +1,33 @@
-"""Object store as a Parquet table partitioned by retention tag and day."""
+"""Keyed object store as Parquet tables of puts, partitioned by retention tag and day."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.ordered import MAX_BROADCAST_ROWS
 
+def object_sink(df: DataFrame, path: str, put: int = 0, grain: str = "day") -> None:
+    """Put objects (object_key, created, expired tag, body) with their length, partitioned by tag and ``event_date``.
 
-def object_sink(df: DataFrame, path: str, mode: str = "append", grain: str = "day") -> None:
-    """Write objects (object_key, created, expired tag, body) with their length, partitioned by tag and ``event_date``.
-
-    ``event_date`` is the first day of the object's day, month or year. Rebalancing gives each (tag, date) a file, or
-    several of a sensible size when it is large.
+    Each put has a number and a folder of its own: a higher one replaces the objects of equal key, and a put that runs
+    again replaces itself. ``event_date`` is the first day of the object's day, month or year. Rebalancing gives each
+    (tag, date) a file, or several of a sensible size when it is large.
     """
     first_day = F.to_date(F.date_trunc(grain, F.col("created").cast("timestamp_ntz")))
     rows = df.withColumns({"length": F.length("body"), "event_date": first_day})
     rows = rows.hint("rebalance", "expired", "event_date")
-    rows.write.mode(mode).partitionBy("expired", "event_date").parquet(path)
+    rows.write.mode("overwrite").partitionBy("expired", "event_date").parquet(f"{path}/put={put}")
 
 
-def object_source(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Objects whose key is asked for.
+def newest_objects(objects: DataFrame) -> DataFrame:
+    """Of each key the object of the last put; of objects that one put brings twice the one created last."""
+    kept = [c for c in objects.columns if c not in ("object_key", "put")]
+    row = F.struct(*kept)
+    best = objects.groupBy("object_key").agg(F.max_by(row, F.struct("put", "created", row)).alias("_row"))
+    return best.select("object_key", "_row.*")
 
-    A short list of keys is broadcast; the check stops counting one row past the limit. A long list joins by shuffle.
-    """
+
+def object_source(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The current objects of the keys that are asked for; a key that repeats is asked once."""
     asked = keys.select("object_key").distinct()
-    if asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    return spark.read.parquet(path).join(asked, "object_key", "left_semi")
+    return newest_objects(spark.read.parquet(path).join(asked, "object_key", "left_semi"))

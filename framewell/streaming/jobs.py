@@ -53,9 +53,9 @@ def to_files(df: DataFrame, path: str, checkpoint: str, available_now: bool = Tr
 
 
 def to_object_store(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write a stream of tagged objects into the partitioned object table."""
+    """Put a stream of tagged objects into the object table; each batch is a put, so one that runs twice replaces itself."""
     writer = df.writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda batch, _: object_sink(batch, path))
+    writer = writer.foreachBatch(lambda batch, batch_id: object_sink(batch, path, put=batch_id))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -73,6 +73,11 @@ def to_results(df: DataFrame, table: str, checkpoint: str, available_now: bool =
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def compact_results(spark: SparkSession, table: str, out: str) -> None:
+    """Write the current items of a keyed table as the first batch of a new table, so that reads stop growing."""
+    read_results(spark, table).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+
 def read_results(spark: SparkSession, table: str) -> DataFrame:
     """The items of a keyed table: per key the highest version, of equal versions the one that came last."""
     return latest_results(spark.read.parquet(table), tie="batch")
