@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewell.operators import channels as H
 from framewell.operators import combine as C
+from framewell.operators import commands as K
 from framewell.operators import intervals as I
 from framewell.operators import retime as R
 from framewell.operators import stats as S
@@ -744,3 +746,105 @@ def sample_psnr(spark: SparkSession, d: str) -> DataFrame:
 def ssim(spark: SparkSession, d: str) -> DataFrame:
     f = V.frames(spark, d)
     return rounded(S.ssim(f, altered(f)), "ssim")
+
+
+# -- channel routing and commands ------------------------------------------------------------------------------------
+
+
+def placed_samples(spark: SparkSession, d: str) -> DataFrame:
+    return ordered(V.samples(spark, d), ["stream_id", "channel"], ["pts", "seq"]).index("n").done()
+
+
+PLACED = """, p AS (SELECT stream_id, channel, value,
+  row_number() OVER (PARTITION BY stream_id, channel ORDER BY pts, seq) - 1 AS n FROM samples)
+"""
+ROUNDED = "stream_id, CAST(channel AS INTEGER) AS channel, n, round(value, 6) AS value"
+
+
+@query(
+    "samples",
+    PLACED
+    + f"""SELECT {ROUNDED} FROM (SELECT stream_id, o AS channel, n, value FROM p
+      JOIN (VALUES (0, 1), (1, 0), (2, 1)) m(o, i) ON p.channel = m.i)""",
+)
+def channel_map(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(H.channel_map(placed_samples(spark, d), {0: 1, 1: 0, 2: 1}), "value")
+
+
+@query("samples", PLACED + "SELECT stream_id, n, round(value, 6) AS value FROM p WHERE channel = 1")
+def channel_split(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(H.channel_split(placed_samples(spark, d), [0, 1])[1], "value")
+
+
+SHORTEST = """, l AS (SELECT stream_id, min(len) AS len FROM (
+    SELECT stream_id, channel, max(n) + 1 AS len FROM p GROUP BY ALL) GROUP BY stream_id HAVING count(*) = 2)
+"""
+
+
+@query(
+    "samples",
+    PLACED
+    + SHORTEST
+    + f"""SELECT {ROUNDED} FROM (SELECT p.stream_id, 1 - channel AS channel, n, value FROM p JOIN l USING (stream_id)
+      WHERE n < len)""",
+)
+def channel_join(spark: SparkSession, d: str) -> DataFrame:
+    one = [p.withColumn("channel", F.lit(0)) for p in H.channel_split(placed_samples(spark, d), [0, 1]).values()]
+    return rounded(H.channel_join(one, {0: (1, 0), 1: (0, 0)}), "value")
+
+
+@query(
+    "samples",
+    PLACED + SHORTEST + f"SELECT {ROUNDED} FROM p JOIN l USING (stream_id) WHERE n < len",
+)
+def channel_merge(spark: SparkSession, d: str) -> DataFrame:
+    one = [p.withColumn("channel", F.lit(0)) for p in H.channel_split(placed_samples(spark, d), [0, 1]).values()]
+    return rounded(H.channel_merge(one, [1, 1]), "value")
+
+
+@query(
+    "samples",
+    PLACED
+    + f""", e AS (SELECT stream_id, channel, max(n) + 1 AS len FROM p GROUP BY ALL),
+    grid AS (SELECT stream_id, channel, unnest(range(len + 5)) AS n FROM e)
+    SELECT {ROUNDED.replace('value, 6', 'coalesce(value, 0), 6')} FROM (SELECT g.stream_id, g.channel, g.n, p.value FROM grid g
+      LEFT JOIN p ON g.stream_id = p.stream_id AND g.channel = p.channel
+        AND g.n - CASE g.channel WHEN 0 THEN 2 ELSE 5 END = p.n)""",
+)
+def channel_delay(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(H.channel_delay(placed_samples(spark, d), {0: 2, 1: 5}), "value")
+
+
+@query(
+    "samples",
+    PLACED
+    + f""", e AS (SELECT stream_id, channel, greatest(max(n) + 1, 12) AS len FROM p GROUP BY ALL),
+    grid AS (SELECT stream_id, channel, unnest(range(len)) AS n FROM e)
+    SELECT {ROUNDED.replace('value, 6', 'coalesce(value, 0), 6')} FROM grid LEFT JOIN p USING (stream_id, channel, n)""",
+)
+def pad_channels(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(H.pad(placed_samples(spark, d), whole=12), "value")
+
+
+def watch_times(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals per stream: eleven hours from the time of every fourth sample on, some of them without a sample inside."""
+    s = V.samples(spark, d).filter(F.col("seq") % 4 == 0)
+    start = F.floor("pts") + F.when(F.col("seq") % 8 == 0, 1).otherwise(0)
+    return s.select("stream_id", F.col("seq").alias("interval_no"), start.cast("double").alias("start")).withColumn(
+        "end", F.col("start") + 39600
+    )
+
+
+@query(
+    "samples",
+    """, w AS (SELECT stream_id, seq AS interval_no,
+      CAST(floor(pts) + CASE WHEN seq % 8 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS start FROM samples WHERE seq % 4 = 0),
+    enter AS (SELECT w.stream_id, interval_no, start, min(struct_pack(pts := s.pts, seq := s.seq)) AS r FROM w
+      JOIN samples s ON w.stream_id = s.stream_id AND s.pts >= start AND s.pts < start + 39600 GROUP BY ALL),
+    leave AS (SELECT e.stream_id, interval_no, min(struct_pack(pts := s.pts, seq := s.seq)) AS r FROM enter e
+      JOIN samples s ON e.stream_id = s.stream_id AND s.pts >= start + 39600 GROUP BY ALL)
+    SELECT stream_id, interval_no, 'enter' AS flag, round(r.pts, 6) AS pts, r.seq AS seq FROM enter
+    UNION ALL SELECT stream_id, interval_no, 'leave', round(r.pts, 6), r.seq FROM leave""",
+)
+def command_events(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(K.command_events(V.samples(spark, d), watch_times(spark, d)), "pts")

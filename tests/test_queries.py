@@ -30,11 +30,10 @@ BLOCKED = [
     "crop_bounds",
     "frame_signal_stats",
     "stream_checksum",
-    "group_frames",
     "keep_results",
-    "objects_by_zone",
     "sliding_histogram",
-    "motion_result_json",
+    "command_events",
+    "channel_delay",
 ]
 
 
