@@ -15,11 +15,11 @@ DOMAINS = {"good": "quality = 1 and toxic = 0", "low": "quality = 0 and toxic =
 SHARES = {"good": 1.0, "low": 0.25, "toxic": 0.25}
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their doc_id.
 SAMPLE = 20_000
-BUCKETS = 1 << 15
-#: Standard errors that the share of a feature must differ by between two domains to carry weight.
-SIGNIFICANT = 4.0
-#: Labelled documents of a domain that hold a feature, or would at the others' share, so that it can carry weight there.
-SUPPORT = 10
+#: Features that speak for a domain at most, the most significant ones.
+FEATURES = 64
+#: A feature speaks for a domain if its share of the domain's documents is higher than that of all others by so many
+#: standard errors and so many times, and if it stands in so many of the domain's labelled documents.
+SIGNIFICANT, TIMES, SUPPORT = 4.0, 4.0, 10
 #: Posteriors are whole numbers of this many parts.
 PARTS = 100
 TOLERANCE = 1e-5
@@ -32,9 +32,9 @@ def plain_words(text: Column) -> Column:
 
 
 def with_features(documents: DataFrame, text: str) -> DataFrame:
-    """The other columns of ``documents`` with ``n_tokens`` (words) and ``_buckets``: those of the distinct words, and of
-    three measures of the text (symbols, distinct words and length)."""
-    keep = [c for c in documents.columns if c not in (text, "n_tokens", "_buckets")]
+    """The other columns of ``documents`` with ``n_tokens`` (words) and ``_features``: the distinct words, and three
+    measures of the text (symbols, distinct words and length) as words that no text holds."""
+    keep = [c for c in documents.columns if c not in (text, "n_tokens", "_features")]
     full = F.coalesce(F.col(text), F.lit(""))
     split = documents.select(
         *keep, plain_words(F.col(text)).alias("_words"), F.regexp_count(full, F.lit("[#*$%&|<>]")).alias("_symbols")
@@ -47,51 +47,70 @@ def with_features(documents: DataFrame, text: str) -> DataFrame:
         F.concat(F.lit("\n distinct "), F.floor(10 * F.size("_words") / share).cast("string")),
         F.concat(F.lit("\n length "), F.length(F.bin("n_tokens")).cast("string")),
     )
-    buckets = F.transform(F.concat("_words", measures), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    return distinct.select(*keep, "n_tokens", buckets.alias("_buckets"))
+    return distinct.select(*keep, "n_tokens", F.concat("_words", measures).alias("_features"))
 
 
-def fit_classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, str], doc_id: str, text: str) -> list[list[float]]:
-    """Naive Bayes over feature presence: for each domain a list of its prior's logarithm and the weights of all buckets.
+class Classifier:
+    """Naive Bayes over the presence and absence of a few telling features; ``base`` has the scores of a text without any
+    of them, ``weights`` what each one adds, by domain."""
 
-    Fitted on at most :data:`SAMPLE` labelled documents. A bucket weighs in a domain only with enough support, and if its
-    share of documents differs from that of all others by :data:`SIGNIFICANT` standard errors: rare words do not add up to
-    noise, and a domain with very few labelled documents keeps its prior. The driver
-    gets one count for each bucket and domain, a number that does not depend on the documents. Without labelled documents
-    all domains are equally likely. Of several labels of a document the first by domain order counts.
+    def __init__(self, base: list[float], weights: dict[str, list[float]]) -> None:
+        self.base, self.weights = base, weights
+
+    def scores(self, features: Column) -> Column:
+        words = sorted(self.weights)
+        if not words:
+            return F.array(*[F.lit(b) for b in self.base])
+        listed = F.array(*[F.lit(w) for w in words])
+        found = F.transform(F.array_intersect(features, listed), lambda w: F.array_position(listed, w).cast("int") - 1)
+
+        def score(d: int) -> Column:
+            table = F.array(*[F.lit(self.weights[w][d]) for w in words])
+            return F.aggregate(found, F.lit(self.base[d]), lambda total, i: total + F.get(table, i))
+
+        return F.array(*[score(d) for d in range(len(self.base))])
+
+
+def fit_classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, str], doc_id: str, text: str) -> Classifier:
+    """Fit on at most :data:`SAMPLE` labelled documents.
+
+    The first domain is what a document is without features that speak for another one. Those are few and strong, so that
+    families of copies and long texts do not add up to an opinion. The driver gets at most :data:`FEATURES` features of
+    each domain. Without labelled documents all domains are equally likely. Of several labels of a document the first by
+    domain order counts.
     """
-    number = F.coalesce(*[F.when(F.expr(rule), F.lit(k)) for k, rule in enumerate(domains.values())])
+    k = len(domains)
+    number = F.coalesce(*[F.when(F.expr(rule), F.lit(d)) for d, rule in enumerate(domains.values())])
     known = labels.select(F.col(doc_id).alias("_id"), number.alias("_domain")).filter("_id is not null and _domain is not null")
     sample = known.groupBy("_id").agg(F.min("_domain").alias("_domain")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     chosen = documents.select(F.col(doc_id).alias("_id"), text).join(F.broadcast(sample), "_id")
-    buckets = with_features(chosen, text).select("_domain", F.array_distinct("_buckets").alias("_buckets"))
-    seen = buckets.select("_domain", F.explode(F.array_append("_buckets", F.lit(-1))).alias("b"))
-    counts = {(r["b"], r["_domain"]): r["n"] for r in seen.groupBy("b", "_domain").agg(F.count("*").alias("n")).collect()}
-    k = len(domains)
-    sizes = [counts.get((-1, d), 0) for d in range(k)]
+    rows = with_features(chosen, text).select("_domain", F.explode("_features").alias("feature"))
+    held = [F.count(F.when(F.col("_domain") == d, 1)).alias(f"n{d}") for d in range(k)]
+    counts = stored(rows.groupBy("feature").agg(*held), "features")
+    # each text has one measure of length, so these count the documents
+    sizes = list(counts.filter(F.col("feature").startswith("\n length ")).agg(*[F.coalesce(F.sum(f"n{d}"), F.lit(0)) for d in range(k)]).first())
     total = sum(sizes)
-    weights = [[math.log((sizes[d] + 1) / (total + k))] + [0.0] * BUCKETS for d in range(k)]
-    for b in {b for b, _ in counts if b >= 0}:
-        row = [counts.get((b, d), 0) for d in range(k)]
-        for d in range(k):
-            inside, outside = sizes[d], total - sizes[d]
-            p, q = (row[d] + 0.5) / (inside + 1), (sum(row) - row[d] + 0.5) / (outside + 1)
-            pooled = (sum(row) + 1) / (total + 2)
-            error = math.sqrt(pooled * (1 - pooled) * (1 / (inside + 1) + 1 / (outside + 1)))
-            if max(row[d], q * inside) >= SUPPORT and abs(p - q) > SIGNIFICANT * error:
-                weights[d][b + 1] = math.log(p / q)
-    return weights
-
-
-def with_posteriors(featured: DataFrame, weights: list[list[float]]) -> DataFrame:
-    """``featured`` without its buckets, with ``q``: the posteriors in whole parts of :data:`PARTS`, which the most likely
+    base = [math.log((n + 1) / (total + k)) for n in sizes]
+    weights: dict[str, list[float]] = {}
+    everywhere = sum(F.col(f"n{d}") for d in range(k))
+    for d in range(1, k):
+        inside, outside = sizes[d] + 1, total - sizes[d] + 1
+        n = F.col(f"n{d}")
+        p, q, pooled = (n + 0.5) / inside, (everywhere - n + 0.5) / outside, (everywhere + 1) / (total + 2)
+        z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / inside + 1 / outside))
+        scored = counts.filter(n >= SUPPORT).select("feature", p.alias("p"), q.alias("q"), z.alias("z"))
+        telling = scored.filter((F.col("z") > SIGNIFICANT) & (F.col("p") > TIMES * F.col("q")))
+        for r in telling.orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect():
+            absent = math.log((1 - r["p"]) / (1 - r["q"]))
+            base[d] += absent
+            weights.setdefault(r["feature"], [0.0] * k)[d] = math.log(r["p"] / r["q"]) - absent
+    return Classifier(base, weights)
+
+
+def with_posteriors(featured: DataFrame, classifier: Classifier) -> DataFrame:
+    """``featured`` without its features, with ``q``: the posteriors in whole parts of :data:`PARTS`, which the most likely
     domain (of equally likely ones the first) fills up to their sum."""
-
-    def score(row: list[float]) -> Column:
-        table = F.split(F.lit(",".join(f"{w:.6g}" for w in row[1:])), ",").cast("array<double>")
-        return F.aggregate("_buckets", F.lit(row[0]), lambda total, b: total + F.get(table, b))
-
-    scored = featured.withColumn("_scores", F.array(*[score(row) for row in weights])).drop("_buckets")
+    scored = featured.withColumn("_scores", classifier.scores(F.col("_features"))).drop("_features")
     top = F.array_max("_scores")
     scaled = scored.withColumn("_scores", F.transform("_scores", lambda s: F.exp(s - top)))
     total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x)
@@ -166,8 +185,8 @@ def mixture_rates(
     """
     added = ["n_tokens", "rate", "copies", *[f"p_{d}" for d in domains]]
     base = documents.drop(*added)
-    weights = fit_classifier(base, labels, domains, doc_id, text)
-    scored = stored(with_posteriors(with_features(base, text), weights), "posteriors")
+    classifier = fit_classifier(base, labels, domains, doc_id, text)
+    scored = stored(with_posteriors(with_features(base, text), classifier), "posteriors")
     history = fit_rates(scored, [shares[d] for d in domains])
     rated = scored.withColumn("rate", rate(F.col("q"), history))
     luck = F.pmod(F.xxhash64(F.lit("draw"), F.col(doc_id)), F.lit(1 << 20)) / (1 << 20)

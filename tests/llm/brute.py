@@ -137,7 +137,7 @@ def close_groups(prints):
     return {p: root(p) for p in prints}
 
 
-def mixture(rows, labels, shares=(1.0, 0.25, 0.25), buckets=1 << 15):
+def mixture(rows, labels, shares=(1.0, 0.25, 0.25)):
     """``rows`` of (doc_id, text), ``labels`` of (doc_id, quality, toxic): (n_tokens, parts, rate, copies) in order."""
     domain = {}
     for d, q, t in labels:
@@ -154,24 +154,28 @@ def mixture(rows, labels, shares=(1.0, 0.25, 0.25), buckets=1 << 15):
             f"\n distinct {10 * len(distinct) // max(n, 1)}",
             f"\n length {max(n.bit_length(), 1)}",
         ]
-        return n, [hash64(w) % buckets for w in distinct + more]
+        return n, distinct + more
 
     docs = [featured(t) for _, t in rows]
     size, seen = [0, 0, 0], defaultdict(lambda: [0, 0, 0])
-    for (d, _), (_, b) in zip(rows, docs):
+    for (d, _), (_, words) in zip(rows, docs):
         if d in domain:
             size[domain[d]] += 1
-            for x in set(b):
-                seen[x][domain[d]] += 1
+            for w in words:
+                seen[w][domain[d]] += 1
     total = sum(size)
     prior = [math.log((s + 1) / (total + 3)) for s in size]
     weight = [{}, {}, {}]
-    for x, row in seen.items():
-        for k in range(3):
-            a, b = size[k] + 1, total - size[k] + 1
+    for k in (1, 2):
+        a, b, found = size[k] + 1, total - size[k] + 1, []
+        for w, row in seen.items():
             p, q, pool = (row[k] + 0.5) / a, (sum(row) - row[k] + 0.5) / b, (sum(row) + 1) / (total + 2)
-            if max(row[k], q * size[k]) >= 10 and abs(p - q) > 4 * math.sqrt(pool * (1 - pool) * (1 / a + 1 / b)):
-                weight[k][x] = float(f"{math.log(p / q):.6g}")
+            z = (p - q) / math.sqrt(pool * (1 - pool) * (1 / a + 1 / b))
+            if row[k] >= 10 and z > 4 and p > 4 * q:
+                found.append((-z, w.encode(), w, p, q))
+        for _, _, w, p, q in sorted(found)[:64]:
+            prior[k] += math.log((1 - p) / (1 - q))
+            weight[k][w] = math.log(p / q) - math.log((1 - p) / (1 - q))
     parts = []
     for _, b in docs:
         s = [prior[k] + sum(weight[k].get(x, 0.0) for x in b) for k in range(3)]
