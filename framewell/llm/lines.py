@@ -104,11 +104,12 @@ def repeated_lines(templated: DataFrame) -> DataFrame:
     the first line of the smallest doc_id stays (nulls last, of equal ids the smaller row hash)."""
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_key", "_check", "line")
     by_document = templated.groupBy("leaf", "template", "_key", "_check").agg(F.min(first).alias("first"))
-    recurring = (
+    recurring = stored(  # both sides of the join below are dealt anew, so that it can split a hot template
         by_document.groupBy("leaf", "template")
         .agg(F.count("*").alias("docs"), F.min("first").alias("first"))
         .filter(F.col("docs") >= MIN_DOCS)
-        .drop("docs")
+        .drop("docs"),
+        "recurring",
     )
     dropped = templated.join(recurring, ["leaf", "template"]).filter(first > F.col("first"))
     return dropped.groupBy("_key", "_check").agg(F.collect_set("line").alias("lines"))

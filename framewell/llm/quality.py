@@ -18,8 +18,8 @@ FENCE = 3
 #: Measure: (SQL form over the statistics, slack above, slack below or None).
 MEASURES = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1L)", 200, None),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1L)", 250, None),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1L)", 200, None),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1L)", 500, None),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1L)", 300, None),
     "word_length": ("100 * word_chars div greatest(n_words, 1L)", 200, 200),
 }
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -97,8 +97,8 @@ picked AS (
 fences AS (
   SELECT lang, source,
     max(q75 + greatest(3 * (q75 - q25), 200)) FILTER (m = 'symbols') AS hi_symbols,
-    max(q75 + greatest(3 * (q75 - q25), 250)) FILTER (m = 'dup_lines') AS hi_dup_lines,
-    max(q75 + greatest(3 * (q75 - q25), 200)) FILTER (m = 'repeats') AS hi_repeats,
+    max(q75 + greatest(3 * (q75 - q25), 500)) FILTER (m = 'dup_lines') AS hi_dup_lines,
+    max(q75 + greatest(3 * (q75 - q25), 300)) FILTER (m = 'repeats') AS hi_repeats,
     max(q75 + greatest(3 * (q75 - q25), 200)) FILTER (m = 'word_length') AS hi_word_length,
     max(q25 - greatest(3 * (q75 - q25), 200)) FILTER (m = 'word_length') AS lo_word_length
   FROM picked GROUP BY lang, source)

@@ -68,7 +68,7 @@ def quality(rows):
                 if len(g) >= 200 or g is groups[(2, None, None, name)]
             )
             low, high = quartile(own, 1), quartile(own, 3)
-            slack = 250 if name == "dup_lines" else 200
+            slack = {"dup_lines": 500, "repeats": 300}.get(name, 200)
             kept &= v <= high + max(3 * (high - low), slack)
             kept &= name != "word_length" or v >= low - max(3 * (high - low), slack)
         out.append((s, bad, kept))
