@@ -397,7 +397,23 @@ def area_percent(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(spark, d).select("object_no", r6(B.area_percent(B.corners(), area)).alias("pct"))
 
 
-@query()
+MERGED = """, start AS (SELECT frame_id, list_sort(list(DISTINCT [x1, y1, x2, y2])) AS b FROM boxes GROUP BY frame_id),
+    merged AS (SELECT * FROM (WITH RECURSIVE walk(frame_id, cur, rest, done) AS (
+      SELECT frame_id, b[1], b[2:], CAST(NULL AS INTEGER[]) FROM start
+      UNION ALL
+      SELECT frame_id,
+        CASE WHEN hit > 0 THEN [least(cur[1], rest[hit][1]), least(cur[2], rest[hit][2]), greatest(cur[3], rest[hit][3]),
+          greatest(cur[4], rest[hit][4])] ELSE rest[1] END,
+        CASE WHEN hit > 0 THEN list_concat(rest[:hit - 1], rest[hit + 1:]) ELSE rest[2:] END,
+        CASE WHEN hit > 0 THEN NULL ELSE cur END
+      FROM (SELECT *, coalesce(list_position(list_transform(rest, lambda r: r[1] <= cur[3] AND r[2] <= cur[4]
+        AND r[4] >= cur[2]), true), 0) AS hit FROM walk WHERE cur IS NOT NULL))
+      SELECT frame_id, done FROM walk WHERE done IS NOT NULL))
+    SELECT frame_id, CAST(done[1] AS INTEGER) AS x1, CAST(done[2] AS INTEGER) AS y1, CAST(done[3] AS INTEGER) AS x2,
+      CAST(done[4] AS INTEGER) AS y2 FROM merged"""
+
+
+@query("boxes", MERGED)
 def merge_boxes(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_boxes(V.boxes(spark, d))
 

@@ -621,7 +621,31 @@ def frame_chroma_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "satavg", "hueavg").select("stream_id", "seq", *cols)
 
 
-@query()
+def _pixel(y: str, x: str) -> str:
+    return f"luma[({y}) * 8 + ({x}) + 1]"
+
+
+def _sticks_out(x: str, j: int) -> str:
+    up, mid, down = _pixel(f"k // 6 - {j}", x), _pixel("k // 6", x), _pixel(f"k // 6 + {j}", x)
+    return f"(abs({up} - {mid}) + abs({down} - {mid})) // 2 - abs({down} - {up}) > 4"
+
+
+def _three(j: int) -> str:
+    return " AND ".join(_sticks_out(f"k % 6 + {dx}", j) for dx in range(3))
+
+
+# k is 6 * line + column of the pixels that have both side neighbours, on pictures of 8 x 8 with chroma of 4 x 4
+FLAGS = f"""SELECT stream_id, seq, pts,
+  len(list_filter(range(6, 42), lambda k: ({_three(1)}) AND (k // 6 IN (1, 6) OR ({_three(2)})))) / 64.0::DOUBLE AS tout,
+  len(list_filter(range(4, 8), lambda y: list_sum(list_transform(range(8),
+    lambda x: abs({_pixel("y", "x")} - {_pixel("y - 4", "x")}))) < 8)) * 8 / 64.0::DOUBLE AS vrep,
+  len(list_filter(range(64), lambda i: luma[i + 1] NOT BETWEEN 16 AND 235
+    OR luma[i // 16 * 4 + i % 8 // 2 + 1] NOT BETWEEN 16 AND 240
+    OR luma[16 + i // 16 * 4 + i % 8 // 2 + 1] NOT BETWEEN 16 AND 240)) / 64.0::DOUBLE AS brng
+FROM frames"""
+
+
+@query("frames", FLAGS)
 def signal_flags(spark: SparkSession, d: str) -> DataFrame:
     return S.signal_flags(split_planes(V.planar_frames(spark, d)))
 
