@@ -32,7 +32,8 @@ def masked(tokens: Column) -> Column:
 def leaves(keyed: DataFrame, text: str) -> DataFrame:
     """``(_key, _check, line, leaf)`` of all lines with enough tokens. A leaf is named by the number of tokens and the
     leading ones."""
-    lines = keyed.select("_key", "_check", F.posexplode(F.split(text, "\n")).alias("line", "_text"))
+    # outer, since a plain explode would also split each text in a test of its size; a null text has no words
+    lines = keyed.select("_key", "_check", F.posexplode_outer(F.split(text, "\n")).alias("line", "_text"))
     tokens = lines.select("_key", "_check", "line", words(F.col("_text")).alias("_words"))
     long = tokens.filter(F.size("_words") >= MIN_TOKENS)
     return long.select(
@@ -61,7 +62,7 @@ def busy_lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     chosen = F.transform(
         "_wanted", lambda w: F.struct(w["line"], w["leaf"], F.get("_parts", w["line"]).alias("text"))
     )
-    rows = parts.select("_key", "_check", "doc_id", F.explode(chosen).alias("_l"))
+    rows = parts.select("_key", "_check", "doc_id", F.explode_outer(chosen).alias("_l"))
     tokens = rows.select("_key", "_check", "doc_id", "_l.line", "_l.leaf", masked(words(F.col("_l.text"))).alias("tokens"))
     return stored(tokens.withColumn("same", F.sha2(F.array_join("tokens", " "), 256)), "lines")
 

@@ -84,7 +84,8 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, s
     known = labels.select(F.col(doc_id).alias("_id"), number.alias("_domain")).filter("_id is not null and _domain is not null")
     sample = known.groupBy("_id").agg(F.min("_domain").alias("_domain")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     chosen = documents.select(F.col(doc_id).alias("_id"), text).join(F.broadcast(sample), "_id")
-    rows = with_features(chosen, text).select("_domain", F.explode("_features").alias("feature"))
+    # outer, since a plain explode would test the size of all features of all documents below the join
+    rows = with_features(chosen, text).select("_domain", F.explode_outer("_features").alias("feature"))
     held = [F.count(F.when(F.col("_domain") == d, 1)).alias(f"n{d}") for d in range(k)]
     counts = stored(rows.groupBy("feature").agg(*held), "features")
     # each text has one measure of length, so these count the documents
