@@ -89,7 +89,8 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domains: dict[str, s
     held = [F.count(F.when(F.col("_domain") == d, 1)).alias(f"n{d}") for d in range(k)]
     counts = stored(rows.groupBy("feature").agg(*held), "features")
     # each text has one measure of length, so these count the documents
-    sizes = list(counts.filter(F.col("feature").startswith("\n length ")).agg(*[F.coalesce(F.sum(f"n{d}"), F.lit(0)) for d in range(k)]).first())
+    measured = counts.filter(F.col("feature").startswith("\n length "))
+    sizes = list(measured.agg(*[F.coalesce(F.sum(f"n{d}"), F.lit(0)) for d in range(k)]).first())
     total = sum(sizes)
     base = [math.log((n + 1) / (total + k)) for n in sizes]
     weights: dict[str, list[float]] = {}

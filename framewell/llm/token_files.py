@@ -141,7 +141,9 @@ def read_tokens(folder: str, shards: DataFrame) -> DataFrame:
     return found.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenize_to_files(documents: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize_to_files(
+    documents: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Write ``documents`` by :func:`write_tokens` and return what :func:`read_tokens` reads back. Null and empty texts
     hold the end id alone; rows that repeat are written each; an empty table writes no shard."""
     return read_tokens(*write_tokens(documents, tokenizer_path, end_id, doc_id, text))
