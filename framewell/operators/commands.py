@@ -23,18 +23,21 @@ def command_events(rows: DataFrame, intervals: DataFrame, block_rows: int | None
         KEY, (-F.col("pts")).alias("_neg"), F.lit(0).alias("_kind"), (-F.col("seq")).alias("_nseq"), place.alias("_row"),
         F.lit(None).cast("struct<no: bigint, at_end: boolean, end: double>").alias("_mark"),
     )
-    ends = F.explode(F.array(F.struct(F.lit(False).alias("e"), "start"), F.struct(F.lit(True).alias("e"), F.col("end").alias("start"))))
-    marks = intervals.select(KEY, "interval_no", "end", ends.alias("_e")).select(
+    both_ends = F.array(
+        F.struct(F.lit(False).alias("e"), "start"), F.struct(F.lit(True).alias("e"), F.col("end").alias("start"))
+    )
+    mark = {"no": F.col("interval_no").cast("long"), "at_end": F.col("_e.e"), "end": F.col("end").cast("double")}
+    marks = intervals.select(KEY, "interval_no", "end", F.explode(both_ends).alias("_e")).select(
         KEY,
         (-F.col("_e.start")).alias("_neg"),
         F.lit(1).alias("_kind"),
         F.lit(0).alias("_nseq"),
         F.lit(None).cast(timed.schema["_row"].dataType).alias("_row"),
-        F.struct(F.col("interval_no").cast("long").alias("no"), F.col("_e.e").alias("at_end"), F.col("end").cast("double").alias("end")).alias("_mark"),
+        F.struct(*[c.alias(name) for name, c in mark.items()]).alias("_mark"),
     )
     # from the last time to the first, the row seen last is the next one in time
-    s = ordered(timed.unionByName(marks), [KEY], ["_neg", "_kind", "_nseq"], block_rows).running({"_next": ("last", F.col("_row"))})
-    found = s.done().filter(F.col("_mark").isNotNull())
+    s = ordered(timed.unionByName(marks), [KEY], ["_neg", "_kind", "_nseq"], block_rows)
+    found = s.running({"_next": ("last", F.col("_row"))}).done().filter(F.col("_mark").isNotNull())
     here = F.when(F.col("_next.pts") < F.col("_mark.end"), F.col("_next"))
     pair = found.groupBy(KEY, F.col("_mark.no").alias("interval_no")).agg(
         F.max(F.when(~F.col("_mark.at_end"), here)).alias("enter"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewell.functions.boxes import (
@@ -109,7 +109,10 @@ def prune_nested_zones(df: DataFrame, zones: str = "zones", n_zones: str = "n_zo
         return F.struct(last["x"].alias("x"), z["zone_no"].alias("zone_no"), z["id"].alias("id"), *place)
 
     blank = F.struct(
-        F.lit(0).alias("x"), F.lit(1 << 20).alias("zone_no"), F.lit(None).cast("int").alias("id"), *[F.lit(0).alias(c) for c in "ywh"]
+        F.lit(0).alias("x"),
+        F.lit(1 << 20).alias("zone_no"),
+        F.lit(None).cast("int").alias("id"),
+        *[F.lit(0).alias(c) for c in "ywh"],
     )
     named = F.transform(zones, last_of_id)
     missing = F.greatest(number - F.size(zones), F.lit(0)).cast("int")
