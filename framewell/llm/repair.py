@@ -6,55 +6,57 @@ import struct
 
 import numpy as np
 
-#: A round names pairs that occur at least so often in the shard.
-MIN_COUNT = 24
-MAX_ROUNDS = 8
-#: Pairs named in a round; the most frequent first.
-PAIRS_PER_ROUND = 4096
-#: The rounds end with the one that replaces a smaller share of the symbols.
-LEAST_SAVING = 0.04
-_SLOT_BITS = 16
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MAGIC = b"RPR1"
 
 
+def _apart(seq: np.ndarray) -> np.ndarray:
+    """All places of pairs but those of two equal symbols that overlap the counted one before."""
+    twin = seq[:-1] == seq[1:]
+    at = np.flatnonzero(twin)
+    run = np.ones(at.size, dtype=bool)
+    run[1:] = np.diff(at) != 1
+    first = np.maximum.accumulate(np.where(run, np.arange(at.size), 0))
+    apart = np.ones(twin.size, dtype=bool)
+    apart[at[(np.arange(at.size) - first) % 2 == 1]] = False
+    return apart
+
+
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     """``(symbols, rules)``: ``rules[i]`` are the two symbols of nonterminal ``terminals + i``.
 
-    In each round the most frequent neighbouring pairs get nonterminals and are replaced from left to right; where two
-    chosen pairs overlap, the left one is. Pairs are counted in hash slots. A slot counts the pair that was written there
-    last; another pair of the same slot has its turn in a later round. The rounds end when one saves little.
+    In each round all neighbouring pairs are counted, a run of one symbol by the pairs that fit into it side by side. A
+    place is replaced if its pair recurs and comes before both pairs that overlap it: the more frequent first, of equal ones
+    by a hash, so that copies of a passage are parted alike. The first pair of all keeps all its places, so each round names
+    one at least. The rounds end when no pair recurs.
     """
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(MAX_ROUNDS):
-        if seq.size < 2:
-            break
+    while seq.size > 1:
         code = seq[:-1].astype(np.uint64)
         code <<= np.uint64(32)
         code |= seq[1:]
-        slot = (code * _SPREAD >> np.uint64(64 - _SLOT_BITS)).astype(np.intp)
-        owner = np.zeros(1 << _SLOT_BITS, dtype=np.uint64)
-        owner[slot] = code
-        mine = owner[slot] == code
-        counts = np.bincount(slot[mine], minlength=owner.size)
-        chosen = np.flatnonzero(counts >= MIN_COUNT)
-        if not chosen.size:
+        at = np.flatnonzero(_apart(seq))
+        pairs, which, counts = np.unique(code[at], return_inverse=True, return_counts=True)
+        again = np.flatnonzero(counts > 1)
+        if not again.size:
             break
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:PAIRS_PER_ROUND]]
-        number = np.zeros(owner.size, dtype=np.uint32)
-        number[chosen] = terminals + len(rules) + np.arange(chosen.size)
-        new = number[slot]
-        at = np.flatnonzero((new > 0) & mine)
-        run = np.concatenate([[True], np.diff(at) != 1])
-        first = np.maximum.accumulate(np.where(run, np.arange(at.size), 0))
-        at = at[(np.arange(at.size) - first) % 2 == 0]
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in owner[chosen].tolist()]
+        order = again[np.lexsort((pairs[again] * _SPREAD, counts[again]))]
+        rank = np.zeros(pairs.size, dtype=np.int64)
+        rank[order] = np.arange(1, order.size + 1)
+        here = np.zeros(seq.size + 1, dtype=np.int64)
+        here[at + 1] = rank[which]
+        wins = (here[1:-1] > here[:-2]) & (here[1:-1] > here[2:])
+        pair = which[wins[at]]
+        at = at[wins[at]]
+        named = np.bincount(pair, minlength=pairs.size) > 1
+        name = np.zeros(pairs.size, dtype=np.uint32)
+        name[named] = terminals + len(rules) + np.arange(np.count_nonzero(named))
+        at, pair = at[named[pair]], pair[named[pair]]
+        rules += [(p >> 32, p & 0xFFFFFFFF) for p in pairs[named].tolist()]
         keep = np.ones(seq.size, dtype=bool)
         keep[at + 1] = False
-        seq[at] = new[at]
+        seq[at] = name[pair]
         seq = seq[keep]
-        if at.size < LEAST_SAVING * seq.size:
-            break
     return seq, np.array(rules, dtype=np.int64).reshape(-1, 2)
 
 

@@ -25,7 +25,7 @@ from framewell.session import scratch_path
 #: Distinct chunks whose ids a worker keeps.
 MEMO = 1_000_000
 #: A shard ends with the document that reaches so many ids.
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 20
 
 _SHARDS = pa.schema(
     [("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("start", pa.int64()), ("n_ids", pa.int64())]

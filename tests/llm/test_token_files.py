@@ -42,3 +42,18 @@ def test_files_give_back_all_documents(spark, sf_dir, monkeypatch):
         assert r.start == at and (last is None or r.doc_id >= last)
         at, last = at + r.n_tokens, r.doc_id
     assert token_files.tokenize_to_files(df.limit(0), PATH, 2).count() == 0
+
+
+def test_no_pair_recurs_in_the_symbols():
+    rng = random.Random(5)
+    phrases = [[rng.randrange(50_000) for _ in range(6)] for _ in range(3000)]
+    cases = [[1, 2, 3, 1, 2], [7] * 1001, [x for p in phrases * 2 for x in p], [rng.randrange(30) for _ in range(5000)]]
+    for ids in cases:
+        symbols, rules = repair.compress(np.array(ids, dtype="<u4"), 50_257)
+        last, places = {}, {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+            if last.get(pair) != i - 1:  # overlapping pairs of one symbol count once
+                last[pair] = i
+                places[pair] = places.get(pair, 0) + 1
+        assert max(places.values(), default=0) < 2
+        assert rules.size
