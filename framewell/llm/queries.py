@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewell.llm import bpe, embeddings, lines, mixing, quality, simhash, token_files, unigram, url_filters, warc
+from framewell.llm import (
+    bpe,
+    codes,
+    embeddings,
+    exact,
+    lines,
+    mixing,
+    negatives,
+    quality,
+    simhash,
+    token_files,
+    unigram,
+    url_filters,
+    warc,
+)
 from framewell.llm.registry import ORACLES, QUERIES, query  # noqa: F401
-from framewell.llm.tables import table
+from framewell.llm.tables import table, with_groups
 
 #: The rules that the URL query judges by.
 URL_RULES = [
@@ -213,3 +230,97 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mixing.mixture_rates(documents, table(spark, sf_dir, "labels"))
+
+
+EXACT_SQL = r"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY norm)
+"""
+
+
+@query(EXACT_SQL)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_copies(table(spark, sf_dir, "documents"), text_sha256=F.sha2("norm", 256))
+
+
+def _codes_sql() -> str:
+    """Six rounds and the last assignment, each a step over all distances."""
+    steps = [
+        """
+v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label,
+    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT n, part, e[part * (len(e) // 8) + 1 : (part + 1) * (len(e) // 8)] AS x FROM v, range(8) AS t(part)),
+book0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x AS c FROM parts WHERE n <= 16)"""
+    ]
+    for r in range(7):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT n, part, min(struct_pack(d := d, entry := entry)) AS best
+  FROM (SELECT n, part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN book{r} USING (part))
+  GROUP BY n, part)""")
+        if r < 6:
+            steps.append(f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.c, b.c) AS c
+  FROM book{r} b LEFT JOIN (
+    SELECT part, entry, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY pos) AS c
+    FROM (SELECT part, best.entry AS entry, pos, sum(x[pos])::BIGINT AS s, count(*) AS k
+      FROM near{r} JOIN parts USING (n, part), range(1, len(x) + 1) AS t(pos) GROUP BY ALL)
+    GROUP BY part, entry) m USING (part, entry))""")
+    steps.append("""
+coded AS (
+  SELECT n, string_agg(lpad(hex(best.entry), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM near6 GROUP BY n)""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book6) AS codebooks_sha256
+FROM v JOIN coded USING (n)
+"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    # one key for each label and one for null; sums of a label are taken before they meet its rows
+    keyed = coded.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")))
+    sums = keyed.groupBy("key").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
+    return with_groups(keyed, sums, "key", "n").select(
+        "vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other))::INTEGER AS rank,
+  s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+@query(NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, anchor=vec_id % 50 == 0)

@@ -25,6 +25,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of this subpackage in the shared folder, when a later one has taken its place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key is hot if it holds more than this part of the counted rows, so there are fewer hot keys than that.
+HOT_PARTS = 4096
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined with ``groups``, which has one row for each of some values of ``key`` and the number ``count`` of
+    rows that hold it.
+
+    Fewer than :data:`HOT_PARTS` keys can each hold more than that part of the rows; these are broadcast, so that a hot key
+    moves nowhere. The other keys are small and meet their rows by a shuffle; rows without a key take part in none.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_PARTS > total
+    near = rows.join(F.broadcast(groups.filter(hot)), key, "left")
+    far = rows.join(F.broadcast(groups.filter(hot).select(key)), key, "left_anti").filter(F.col(key).isNotNull())
+    settled = near.filter(F.col(key).isNull() | F.col(count).isNotNull())
+    return settled.unionByName(far.join(groups.filter(~hot), key, "left"))
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than white space; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
