@@ -6,88 +6,125 @@ import struct
 
 import numpy as np
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MAGIC = b"RPR1"
 
 
-def _apart(seq: np.ndarray) -> np.ndarray:
-    """All places of pairs but those of two equal symbols that overlap the counted one before."""
-    twin = seq[:-1] == seq[1:]
-    at = np.flatnonzero(twin)
-    run = np.ones(at.size, dtype=bool)
-    run[1:] = np.diff(at) != 1
-    first = np.maximum.accumulate(np.where(run, np.arange(at.size), 0))
-    apart = np.ones(twin.size, dtype=bool)
-    apart[at[(np.arange(at.size) - first) % 2 == 1]] = False
-    return apart
+def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``places`` of pairs of two equal symbols do not overlap the one before: of each run of places
+    that follow each other every second one, from the first on."""
+    run = np.ones(places.size, dtype=bool)
+    run[1:] = after[places[:-1]] != places[1:]
+    at = np.arange(places.size)
+    return (at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0
 
 
-def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(symbols, rules)``: ``rules[i]`` are the two symbols of nonterminal ``terminals + i``.
+def _recurring(code: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places whose code recurs, a number from zero on for each such code, and how many there are."""
+    _, which, counts = np.unique(code, return_inverse=True, return_counts=True)
+    again = counts > 1
+    number = np.cumsum(again, dtype=np.int32) - 1
+    kept = again[which]
+    return places[kept], number[which[kept]], int(np.count_nonzero(again))
 
-    In each round all neighbouring pairs are counted, a run of one symbol by the pairs that fit into it side by side. A
-    place is replaced if its pair recurs and comes before both pairs that overlap it: the more frequent first, of equal ones
-    by a hash, so that copies of a passage are parted alike. The first pair of all keeps all its places, so each round names
-    one at least. The rounds end when no pair recurs.
+
+def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(symbols, rules, lengths)``: ``rules[i]`` are the two symbols of nonterminal ``terminals + i``, which stands for
+    ``lengths[i]`` ids.
+
+    In each round the pairs that recur are counted, a run of one symbol by the pairs that fit into it side by side. A
+    place is replaced if its pair comes before both pairs that overlap it: the more frequent first, of equal ones
+    by the pair's number, so that copies of a passage are parted alike. The first pair of all keeps all its places, so each
+    round names one at least. The rounds end when no pair recurs.
+
+    The symbols are linked, and the lists hold the places of pairs that recur, with the number of the pair. A replaced place
+    changes the pairs beside it, and these hold a new symbol: they are new pairs, so only they are counted among themselves.
+    Other pairs lose places and gain none, so what no longer recurs is left for good.
     """
-    seq, rules = ids.astype(np.uint32), []
-    while seq.size > 1:
-        code = seq[:-1].astype(np.uint64)
-        code <<= np.uint64(32)
-        code |= seq[1:]
-        at = np.flatnonzero(_apart(seq))
-        pairs, which, counts = np.unique(code[at], return_inverse=True, return_counts=True)
-        again = np.flatnonzero(counts > 1)
-        if not again.size:
+    n = ids.size
+    seq = ids.astype(np.uint32)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    places, pair, numbers = _recurring(_codes(seq[:-1], seq[1:]), after[:-1] - 1)
+    rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(terminals, dtype=np.int64)
+    here = np.zeros(n + 2, dtype=np.int64)  # of the pair at each place; the last two are beyond both ends
+    gone = np.zeros(n, dtype=bool)
+    while places.size:
+        twin = np.flatnonzero(seq[places] == seq[after[places]])
+        twin = twin[np.argsort(places[twin])]
+        over = twin[~_apart(places[twin], after)]  # pairs of a run that overlap a counted one
+        counts = np.bincount(pair, minlength=numbers) - np.bincount(pair[over], minlength=numbers)
+        rank = (counts << 32) | (np.arange(numbers) * 0x9E3779B1 & 0xFFFFFFFF)  # an odd factor: no two are equal
+        rank[counts < 2] = 0
+        own = rank[pair]
+        own[over] = 0
+        here[places] = own
+        right = after[places]
+        wins = (own > here[right]) & (own > here[before[places]])
+        here[places] = 0
+        won = pair[wins]
+        named = np.bincount(won, minlength=numbers) > 1
+        if not named.any():
             break
-        order = again[np.lexsort((pairs[again] * _SPREAD, counts[again]))]
-        rank = np.zeros(pairs.size, dtype=np.int64)
-        rank[order] = np.arange(1, order.size + 1)
-        here = np.zeros(seq.size + 1, dtype=np.int64)
-        here[at + 1] = rank[which]
-        wins = (here[1:-1] > here[:-2]) & (here[1:-1] > here[2:])
-        pair = which[wins[at]]
-        at = at[wins[at]]
-        named = np.bincount(pair, minlength=pairs.size) > 1
-        name = np.zeros(pairs.size, dtype=np.uint32)
-        name[named] = terminals + len(rules) + np.arange(np.count_nonzero(named))
-        at, pair = at[named[pair]], pair[named[pair]]
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in pairs[named].tolist()]
-        keep = np.ones(seq.size, dtype=bool)
-        keep[at + 1] = False
-        seq[at] = name[pair]
-        seq = seq[keep]
-    return seq, np.array(rules, dtype=np.int64).reshape(-1, 2)
-
-
-def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
-    """Ids that each symbol stands for; a rule only names symbols older than itself."""
-    lengths = np.ones(terminals + len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[terminals + i] = lengths[a] + lengths[b]
-    return lengths
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Values below 2**24 in three bytes each."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
-    wide[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+        wins[wins] = named[won]
+        at, won, right = places[wins], pair[wins], right[wins]
+        name = np.cumsum(named) - 1
+        sample = np.zeros(numbers, dtype=np.int64)
+        sample[won] = at
+        two = np.stack([seq[sample[named]], seq[after[sample[named]]]], axis=1).astype(np.int64)
+        rules.append(two)
+        seq[at] = lengths.size + name[won]
+        lengths = np.concatenate([lengths, lengths[two].sum(axis=1)])
+        after[at] = beyond = after[right]
+        inner = beyond < n
+        before[beyond[inner]] = at[inner]
+        gone[right] = True
+        # pairs at and before a new symbol are new, all others keep their number while they recur
+        beside = np.zeros(n + 1, dtype=bool)
+        beside[at] = beside[before[at]] = True
+        stale = beside[:n] | gone
+        again = counts > 1
+        left = again[pair]
+        left &= ~stale[places]
+        fresh = np.flatnonzero(beside[:n]).astype(np.int32)
+        fresh = fresh[(after[fresh] < n) & ~gone[fresh]]
+        new, number, more = _recurring(_codes(seq[fresh], seq[after[fresh]]), fresh)
+        old = np.cumsum(again, dtype=np.int32) - 1
+        numbers = int(np.count_nonzero(again))
+        places = np.concatenate([places[left], new])
+        pair, numbers = np.concatenate([old[pair[left]], numbers + number]), numbers + more
+    return seq[~gone], np.concatenate(rules), lengths[terminals:]
+
+
+def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Both symbols of each pair in one number."""
+    return (left.astype(np.int64) << 32) | right
+
+
+def _width(symbols: int) -> int:
+    """Bytes of a symbol."""
+    return 3 if symbols <= 1 << 24 else 4
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 4), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
     return wide.view("<u4").reshape(-1).astype(np.int64)
 
 
 def pack_shard(ids: np.ndarray, ends: np.ndarray, names: np.ndarray, named: np.ndarray, terminals: int) -> bytes:
     """One shard: names of its documents (64-bit integers, and which are null), their ends in ids, the rules with their
     expansion lengths, the symbols."""
-    symbols, rules = compress(ids, terminals)
-    lengths = expansion_lengths(rules, terminals)[terminals:]
+    symbols, rules, lengths = compress(ids, terminals)
     head = struct.pack("<4sIQQQ", _MAGIC, terminals, ends.size, len(rules), symbols.size)
     columns = [names.astype("<i8"), ends.astype("<i8"), named.astype("u1")]
     columns = [c.tobytes() for c in columns]
-    return b"".join([head, *columns, _packed(rules.reshape(-1)), lengths.astype("<u4").tobytes(), _packed(symbols)])
+    width = _width(terminals + len(rules))
+    return b"".join(
+        [head, *columns, _packed(rules.reshape(-1), width), lengths.astype("<u4").tobytes(), _packed(symbols, width)]
+    )
 
 
 class Shard:
@@ -102,31 +139,35 @@ class Shard:
         self.ends = np.frombuffer(data, "<i8", docs, at + 8 * docs)
         self.named = np.frombuffer(data, "u1", docs, at + 16 * docs).astype(bool)
         at += 17 * docs
-        pairs = _unpacked(data[at : at + 6 * rules]).reshape(-1, 2)
-        at += 6 * rules
+        width = _width(terminals + rules)
+        self.rules = _unpacked(data[at : at + 2 * width * rules], width).reshape(-1, 2)
+        at += 2 * width * rules
         own = np.frombuffer(data, "<u4", rules, at).astype(np.int64)
         at += 4 * rules
-        self.symbols = _unpacked(data[at : at + 3 * symbols])
+        self.symbols = _unpacked(data[at : at + width * symbols], width)
+        self.terminals = terminals
         self.lengths = np.concatenate([np.ones(terminals, dtype=np.int64), own])
         self.stops = np.cumsum(self.lengths[self.symbols])
-        self.place = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.flat = np.empty(int(self.place[-1]), dtype="<u4")
-        self.flat[:terminals] = np.arange(terminals)
-        place = self.place.tolist()
-        for i, (a, b) in enumerate(pairs.tolist(), terminals):
-            middle = place[i] + place[a + 1] - place[a]
-            self.flat[place[i] : middle] = self.flat[place[a] : place[a + 1]]
-            self.flat[middle : place[i + 1]] = self.flat[place[b] : place[b + 1]]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """The ids ``start`` to ``stop`` of the shard."""
-        if stop <= start:
-            return np.empty(0, dtype="<u4")
+        """The ids ``start`` to ``stop`` of the shard.
+
+        The rules of the symbols that cover the range are descended level by level; the expansion length of a left half
+        tells where the right one starts, so halves outside the range are left and no other rule is touched.
+        """
+        out = np.empty(max(stop - start, 0), dtype="<u4")
+        if not out.size:
+            return out
         a = int(np.searchsorted(self.stops, start, side="right"))
         b = int(np.searchsorted(self.stops, stop, side="left")) + 1
         part = self.symbols[a:b]
-        size = self.lengths[part]
-        before = int(self.stops[a - 1]) if a else 0
-        ends = np.cumsum(size)
-        index = np.arange(int(ends[-1])) + np.repeat(self.place[part] - (ends - size), size)
-        return self.flat[index][start - before : stop - before]
+        place = self.stops[a:b] - self.lengths[part] - start
+        while part.size:
+            done = part < self.terminals
+            out[place[done]] = part[done]
+            halves, left = self.rules[part[~done] - self.terminals], place[~done]
+            place = np.concatenate([left, left + self.lengths[halves[:, 0]]])
+            part = halves.T.reshape(-1)
+            inside = (place < out.size) & (place + self.lengths[part] > 0)
+            part, place = part[inside], place[inside]
+        return out

@@ -112,33 +112,33 @@ def read_tokens(folder: str, shards: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of all documents from the files of ``shards``.
 
     ``start`` counts the ids of all documents before it. The parts' sums are one number for each part and are added up in
-    one task.
+    one task, and meet the few rows of shards before any document is read.
     """
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = shards.join(bases, "part").select("file", (F.col("base") + F.col("start")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, file, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(read_file(folder, file))
                 starts = np.concatenate([[0], shard.ends[:-1]])
-                sums = [zlib.crc32(shard.ids(a, z)) for a, z in zip(starts.tolist(), shard.ends.tolist(), strict=True)]
+                ids = shard.ids(0, int(shard.ends[-1]))
+                sums = [zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), shard.ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.names, mask=~shard.named),
-                        pa.array(np.full(starts.size, part, dtype=np.int32)),
                         pa.array(starts + start),
                         pa.array(shard.ends - starts),
                         pa.array(sums, pa.int64()),
                     ],
-                    names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     cores = shards.sparkSession.sparkContext.defaultParallelism  # shards are few rows of much work
-    spread = shards.select("part", "file", "start").repartition(cores, "file")
-    found = spread.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
-    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    spread = placed.repartition(cores, "file")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_files(

@@ -16,7 +16,7 @@ def test_grammar_round_trip_and_random_access():
     cases = [[], [5], [7] * 1000, [1, 2] * 500 + [2, 1] * 500, [x for _ in range(3000) for x in rng.choice(words)]]
     for ids in cases:
         a = np.array(ids, dtype="<u4")
-        symbols, rules = repair.compress(a, 50_257)
+        symbols, rules, _ = repair.compress(a, 50_257)
         data = repair.pack_shard(a, np.array([a.size]), np.array([3]), np.array([True]), 50_257)
         shard = repair.Shard(data)
         assert shard.ids(0, a.size).tolist() == ids
@@ -49,7 +49,7 @@ def test_no_pair_recurs_in_the_symbols():
     phrases = [[rng.randrange(50_000) for _ in range(6)] for _ in range(3000)]
     cases = [[1, 2, 3, 1, 2], [7] * 1001, [x for p in phrases * 2 for x in p], [rng.randrange(30) for _ in range(5000)]]
     for ids in cases:
-        symbols, rules = repair.compress(np.array(ids, dtype="<u4"), 50_257)
+        symbols, rules, _ = repair.compress(np.array(ids, dtype="<u4"), 50_257)
         last, places = {}, {}
         for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
             if last.get(pair) != i - 1:  # overlapping pairs of one symbol count once
