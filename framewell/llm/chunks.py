@@ -71,9 +71,9 @@ class ChunkMemo:
     def __init__(self, solve: Callable[[list[str]], list], limit: int = 400_000) -> None:
         self.solve, self.limit, self.known = solve, limit, {}
 
-    def run(self, texts: pa.Array) -> Iterator[tuple[int, list, np.ndarray]]:
-        """``(text number, values, codes)`` in order: ``values[c] for c in codes`` are those of the chunks of a segment.
-        A long text has several segments."""
+    def solved(self, texts: pa.Array) -> Iterator[tuple[list[int], list, np.ndarray, list[int]]]:
+        """For each group of segments the text numbers, the values of its distinct chunks, the codes of all its chunks and
+        the bounds of each segment among these."""
         for numbers, parts in groups(texts):
             keys, codes, bounds = _split(parts)
             values = list(map(self.known.get, keys))
@@ -85,9 +85,27 @@ class ChunkMemo:
                     values[i] = value
                 if room > 0:
                     self.known.update((keys[i], values[i]) for i in fresh[:room])
+            yield numbers, values, codes, bounds
+
+    def run(self, texts: pa.Array) -> Iterator[tuple[int, list, np.ndarray]]:
+        """``(text number, values, codes)`` in order: ``values[c] for c in codes`` are those of the chunks of a segment.
+        A long text has several segments."""
+        for numbers, values, codes, bounds in self.solved(texts):
             for i, a, b in zip(numbers, bounds[:-1], bounds[1:], strict=True):
                 yield i, values, codes[a:b]
 
+    def ids(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """``(text number, ids)`` of each segment, for values that are bytes of ids; a group is put together at once."""
+        for numbers, values, codes, bounds in self.solved(texts):
+            flat = np.frombuffer(b"".join(values), dtype="<u4")
+            sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+            starts, taken = np.cumsum(sizes) - sizes, sizes[codes]
+            stops = np.concatenate([[0], np.cumsum(taken)])
+            found = flat[np.arange(stops[-1]) + np.repeat(starts[codes] - stops[:-1], taken)]
+            edges = stops[bounds].tolist()
+            for i, a, b in zip(numbers, edges[:-1], edges[1:], strict=True):
+                yield i, found[a:b]
+
     def joined(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
         """``(text number, joined values)`` of each segment, for values that are bytes."""
         for i, values, codes in self.run(texts):

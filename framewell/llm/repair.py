@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 
 _MAGIC = b"RPR1"
 
@@ -18,13 +19,13 @@ def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0
 
 
-def _recurring(code: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The places whose code recurs, a number from zero on for each such code, and how many there are."""
-    _, which, counts = np.unique(code, return_inverse=True, return_counts=True)
-    again = counts > 1
+def _recurring(code: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places whose code recurs, a number from zero on for each such code, and the codes by number."""
+    which, codes = pd.factorize(code)  # by a hash table, in order of appearance
+    again = np.bincount(which, minlength=codes.size) > 1
     number = np.cumsum(again, dtype=np.int32) - 1
-    kept = again[which]
-    return places[kept], number[which[kept]], int(np.count_nonzero(again))
+    kept = np.flatnonzero(again[which])
+    return places[kept], number[which[kept]], codes[again]
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,33 +44,36 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
     n = ids.size
     seq = ids.astype(np.uint32)
     after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-    places, pair, numbers = _recurring(_codes(seq[:-1], seq[1:]), after[:-1] - 1)
+    places, pair, codes = _recurring(_codes(seq[:-1], seq[1:]), after[:-1] - 1)
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(terminals, dtype=np.int64)
     here = np.zeros(n + 2, dtype=np.int64)  # of the pair at each place; the last two are beyond both ends
     gone = np.zeros(n, dtype=bool)
     while places.size:
-        twin = np.flatnonzero(seq[places] == seq[after[places]])
-        twin = twin[np.argsort(places[twin])]
-        over = twin[~_apart(places[twin], after)]  # pairs of a run that overlap a counted one
-        counts = np.bincount(pair, minlength=numbers) - np.bincount(pair[over], minlength=numbers)
-        rank = (counts << 32) | (np.arange(numbers) * 0x9E3779B1 & 0xFFFFFFFF)  # an odd factor: no two are equal
+        two = np.stack([codes >> 32, codes & 0xFFFFFFFF], axis=1)
+        counts = np.bincount(pair, minlength=codes.size)
+        over = np.zeros(0, dtype=np.int64)  # pairs of a run of one symbol that overlap a counted one
+        if (equal := two[:, 0] == two[:, 1]).any():
+            twin = np.flatnonzero(equal[pair])
+            twin = twin[np.argsort(places[twin])]
+            over = twin[~_apart(places[twin], after)]
+            counts -= np.bincount(pair[over], minlength=codes.size)
+        rank = (counts << 32) | (np.arange(codes.size) * 0x9E3779B1 & 0xFFFFFFFF)  # an odd factor: no two are equal
         rank[counts < 2] = 0
         own = rank[pair]
         own[over] = 0
         here[places] = own
         right = after[places]
-        wins = (own > here[right]) & (own > here[before[places]])
+        wins = np.flatnonzero((own > here[right]) & (own > here[before[places]]))
         here[places] = 0
         won = pair[wins]
-        named = np.bincount(won, minlength=numbers) > 1
+        named = np.bincount(won, minlength=codes.size) > 1
         if not named.any():
             break
-        wins[wins] = named[won]
-        at, won, right = places[wins], pair[wins], right[wins]
+        kept = named[won]
+        wins, won = wins[kept], won[kept]
+        at, right = places[wins], right[wins]
         name = np.cumsum(named) - 1
-        sample = np.zeros(numbers, dtype=np.int64)
-        sample[won] = at
-        two = np.stack([seq[sample[named]], seq[after[sample[named]]]], axis=1).astype(np.int64)
+        two = two[named]
         rules.append(two)
         seq[at] = lengths.size + name[won]
         lengths = np.concatenate([lengths, lengths[two].sum(axis=1)])
@@ -82,15 +86,15 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
         beside[at] = beside[before[at]] = True
         stale = beside[:n] | gone
         again = counts > 1
-        left = again[pair]
-        left &= ~stale[places]
+        left = np.flatnonzero(again[pair] & ~stale[places])
         fresh = np.flatnonzero(beside[:n]).astype(np.int32)
         fresh = fresh[(after[fresh] < n) & ~gone[fresh]]
         new, number, more = _recurring(_codes(seq[fresh], seq[after[fresh]]), fresh)
         old = np.cumsum(again, dtype=np.int32) - 1
-        numbers = int(np.count_nonzero(again))
+        codes = codes[again]
         places = np.concatenate([places[left], new])
-        pair, numbers = np.concatenate([old[pair[left]], numbers + number]), numbers + more
+        pair = np.concatenate([old[pair[left]], np.int32(codes.size) + number])
+        codes = np.concatenate([codes, more])
     return seq[~gone], np.concatenate(rules), lengths[terminals:]
 
 

@@ -63,9 +63,9 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terminals, memo = _encoder(tokenizer_path)
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        for names, encoded in _shards(batches, memo, np.array([end_id], dtype="<u4").tobytes()):
-            ids = np.frombuffer(b"".join(encoded), dtype="<u4")
-            ends = np.cumsum([len(e) // 4 for e in encoded])
+        for names, encoded in _shards(batches, memo, np.array([end_id], dtype="<u4")):
+            ends = np.cumsum([sum(p.size for p in parts) for parts in encoded])
+            ids = np.concatenate([p for parts in encoded for p in parts])
             known = np.array([n is not None for n in names])
             data = pack_shard(ids, ends, np.array([n or 0 for n in names]), known, terminals)
             name = write_file(folder, f"part-{part:06d}-{shard:06d}", ".ids", [data])
@@ -78,17 +78,17 @@ def write_tokens(
     return folder, stored(rows, "shards")
 
 
-def _shards(batches: Iterator[pa.RecordBatch], memo: ChunkMemo, end: bytes) -> Iterator[tuple[list, list[bytes]]]:
-    """Names and encoded texts of whole documents, about a shard at a time."""
+def _shards(batches: Iterator[pa.RecordBatch], memo: ChunkMemo, end: np.ndarray) -> Iterator[tuple[list, list[list]]]:
+    """Names and encoded texts of whole documents, about a shard at a time; a text is a list of pieces."""
     names: list = []
-    encoded: list[bytes] = []
+    encoded: list[list] = []
     size = 0
     for b in batches:
         ids = b.column(0).to_pylist()
         for i, parts in _texts(b.column(1), memo):
             names.append(ids[i])
-            encoded.append(b"".join([*parts, end]))
-            size += len(encoded[-1]) // 4
+            encoded.append([*parts, end])
+            size += sum(p.size for p in encoded[-1])
             if size >= SHARD_IDS:
                 yield names, encoded
                 names, encoded, size = [], [], 0
@@ -96,14 +96,14 @@ def _shards(batches: Iterator[pa.RecordBatch], memo: ChunkMemo, end: bytes) -> I
         yield names, encoded
 
 
-def _texts(texts: pa.Array, memo: ChunkMemo) -> Iterator[tuple[int, list[bytes]]]:
+def _texts(texts: pa.Array, memo: ChunkMemo) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Each text number with the ids of its segments."""
     at, parts = 0, []
-    for i, packed in memo.joined(texts):
+    for i, ids in memo.ids(texts):
         if i != at:
             yield at, parts
             at, parts = i, []
-        parts.append(packed)
+        parts.append(ids)
     if len(texts):
         yield at, parts
 
