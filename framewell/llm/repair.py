@@ -115,7 +115,7 @@ def _packed(values: np.ndarray, width: int) -> bytes:
 def _unpacked(data: bytes, width: int) -> np.ndarray:
     wide = np.zeros((len(data) // width, 4), dtype=np.uint8)
     wide[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
-    return wide.view("<u4").reshape(-1).astype(np.int64)
+    return wide.view("<u4").reshape(-1).astype(np.int64 if width == 4 else np.int32)
 
 
 def pack_shard(ids: np.ndarray, ends: np.ndarray, names: np.ndarray, named: np.ndarray, terminals: int) -> bytes:
@@ -144,7 +144,7 @@ class Shard:
         self.named = np.frombuffer(data, "u1", docs, at + 16 * docs).astype(bool)
         at += 17 * docs
         width = _width(terminals + rules)
-        self.rules = _unpacked(data[at : at + 2 * width * rules], width).reshape(-1, 2)
+        self.left, self.right = _unpacked(data[at : at + 2 * width * rules], width).reshape(-1, 2).T.copy()
         at += 2 * width * rules
         own = np.frombuffer(data, "<u4", rules, at).astype(np.int64)
         at += 4 * rules
@@ -152,6 +152,8 @@ class Shard:
         self.terminals = terminals
         self.lengths = np.concatenate([np.ones(terminals, dtype=np.int64), own])
         self.stops = np.cumsum(self.lengths[self.symbols])
+        small = np.int32 if not self.stops.size or self.stops[-1] < 1 << 31 else np.int64
+        self.lengths = self.lengths.astype(small)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids ``start`` to ``stop`` of the shard.
@@ -165,13 +167,16 @@ class Shard:
         a = int(np.searchsorted(self.stops, start, side="right"))
         b = int(np.searchsorted(self.stops, stop, side="left")) + 1
         part = self.symbols[a:b]
-        place = self.stops[a:b] - self.lengths[part] - start
+        place = (self.stops[a:b] - self.lengths[part] - start).astype(self.lengths.dtype)
+        clipped = place[0] < 0 or self.stops[b - 1] > stop
         while part.size:
-            done = part < self.terminals
+            named = part >= self.terminals
+            done, rest = np.flatnonzero(~named), np.flatnonzero(named)
             out[place[done]] = part[done]
-            halves, left = self.rules[part[~done] - self.terminals], place[~done]
-            place = np.concatenate([left, left + self.lengths[halves[:, 0]]])
-            part = halves.T.reshape(-1)
-            inside = (place < out.size) & (place + self.lengths[part] > 0)
-            part, place = part[inside], place[inside]
+            rule, place = part[rest] - self.terminals, place[rest]
+            left, right = self.left[rule], self.right[rule]
+            part, place = np.concatenate([left, right]), np.concatenate([place, place + self.lengths[left]])
+            if clipped:
+                inside = (place < out.size) & (place + self.lengths[part] > 0)
+                part, place = part[inside], place[inside]
         return out
