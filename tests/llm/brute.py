@@ -200,3 +200,28 @@ def mixture(rows, labels, shares=(1.0, 0.25, 0.25)):
 
 def digest(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def five_words(text):
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def similar_firsts(rows):
+    """doc_ids of the smallest of each group, over all pairs."""
+    sets = [five_words(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                group[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(least.values())
