@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewell.functions.tokens import expiry_days
 from framewell.operators.geometry import objects_by_zone
 from framewell.operators.motion import RESULT_SCHEMA
+from framewell.sources.objects import newest_objects, object_versions, purge
 
 # Retention rules (day key, days kept) as deployed and in the development set-up, and the default key.
 RULES = {
@@ -70,34 +71,29 @@ def expired_objects(objects: DataFrame, rules: DataFrame, as_of: datetime.date |
     return rows.filter(F.date_add(F.to_date("created"), F.col("days")) <= F.lit(as_of).cast("date"))
 
 
-def live_objects(
-    spark: SparkSession, path: str, rules: list[tuple[str, int]], as_of: datetime.date | str, grain: str = "day"
-) -> DataFrame:
-    """What a purge leaves of the object table, whose ``event_date`` has the given grain.
-
-    An object is gone when its tag's days have passed. What the rules say about tag and date is also put as a filter
-    on the partition columns alone, so partitions that have wholly expired are never listed for reading. An object whose
-    tag or day is not known stays.
-    """
-    day, tag = F.lit(as_of).cast("date"), F.col("expired").cast("string")
-    gone, whole = F.lit(False), F.lit(False)
+def _passed(rules: list[tuple[str, int]], as_of: datetime.date | str) -> tuple[Column, Column]:
+    """Whether an object's days have passed, and whether its partition can hold such an object: its ``event_date`` is the
+    first day of what it holds, whatever the grain. An object whose tag or day is not known stays."""
+    tag, day = F.col("expired").cast("string"), F.lit(as_of).cast("date")
+    gone, reached = F.lit(False), F.lit(False)
     for key, days in rules:
         last = F.date_sub(day, days)
         gone = gone | ((tag == key) & (F.to_date("created") <= last))
-        past = F.col("event_date") <= last if grain == "day" else F.col("event_date") < F.trunc(last, grain)
-        whole = whole | ((tag == key) & past)
-    kept = ~F.coalesce(whole, F.lit(False)) & ~F.coalesce(gone, F.lit(False))
-    return spark.read.parquet(path).filter(kept)
+        reached = reached | ((tag == key) & (F.col("event_date") <= last))
+    return gone, F.coalesce(reached, F.lit(False))
+
+
+def live_objects(
+    spark: SparkSession, path: str, rules: list[tuple[str, int]], as_of: datetime.date | str
+) -> DataFrame:
+    """The current objects of the table whose days have not passed. An object that has expired stays gone, also where the
+    put that it replaced would still have time."""
+    gone, _ = _passed(rules, as_of)
+    return newest_objects(object_versions(spark, path)).filter(~F.coalesce(gone, F.lit(False)))
 
 
 def purge_expired(
-    spark: SparkSession,
-    path: str,
-    out: str,
-    rules: list[tuple[str, int]],
-    as_of: datetime.date | str,
-    grain: str = "day",
+    spark: SparkSession, path: str, rules: list[tuple[str, int]], as_of: datetime.date | str
 ) -> None:
-    """Write the live objects of one table to a new place, keeping its partitions."""
-    live = live_objects(spark, path, rules, as_of, grain).hint("rebalance", "expired", "event_date")
-    live.write.mode("overwrite").partitionBy("expired", "event_date").parquet(out)
+    """Remove the objects of the table whose days have passed; puts and purges may follow in any order."""
+    purge(spark, path, *_passed(rules, as_of))

@@ -769,10 +769,39 @@ def expired_objects_development(spark: SparkSession, d: str) -> DataFrame:
 def live_objects(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "objects")
     SO.object_sink(tagged_objects(spark, d).withColumn("body", F.lit("x").cast("binary")), path, grain="year")
-    rows = E.live_objects(spark, path, E.RULES["deployed"], "1998-06-15", grain="year")
+    rows = E.live_objects(spark, path, E.RULES["deployed"], "1998-06-15")
     return rows.select("object_key", F.col("expired").cast("string").alias("expired"))
 
 
+#: Puts of the store: all objects; every third again, made later and with the tag of one day; a purge; every seventh again.
+@query(
+    "stored",
+    f"""SELECT object_key, expired, put, epoch_us(created) AS created_us FROM (
+      SELECT object_key, {TAG} AS expired, 0 AS put, created FROM stored_objects
+      UNION ALL SELECT object_key, '1', 1, created + INTERVAL 20 DAY FROM stored_objects WHERE object_key % 3 = 0
+      UNION ALL SELECT object_key, '30', 2, created FROM stored_objects WHERE object_key % 7 = 0)
+    WHERE put = 2 OR (put = CASE WHEN object_key % 3 = 0 THEN 1 ELSE 0 END AND object_key % 7 <> 0
+      AND CAST(created AS DATE) + CAST(expired AS INTEGER) > DATE '1996-03-01')""",
+)
+def purged_objects(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "objects")
+    objects = tagged_objects(spark, d).select("object_key", "created", "expired")
+
+    def put(rows: DataFrame, number: int) -> None:
+        body = F.lit(str(number)).cast("binary")
+        SO.object_sink(rows.withColumn("body", body), path, put=number, grain="year")
+
+    put(objects, 0)
+    later = F.col("created") + F.expr("INTERVAL 20 DAY")
+    put(objects.filter("object_key % 3 = 0").withColumns({"created": later, "expired": F.lit("1")}), 1)
+    E.purge_expired(spark, path, E.RULES["deployed"], "1996-03-01")
+    put(objects.filter("object_key % 7 = 0").withColumn("expired", F.lit("30")), 2)
+    rows = SO.object_source(spark, path, objects.select("object_key"))
+    return rows.select(
+        "object_key", "expired", F.col("body").cast("string").cast("int").alias("put"), V.epoch_micros(F.col("created")).alias("created_us")
+    )
+
+
 # -- metrics -----------------------------------------------------------------------------------------------------------
 
 
