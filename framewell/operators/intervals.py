@@ -102,7 +102,7 @@ def trim_silence(
     """
     squares = F.sum(F.col("value") * F.col("value"))
     s = _stream(samples, block_rows).sliding(window, {"_sq": squares})
-    s = s.columns({"_loud": F.sqrt(F.col("_sq") / window) > threshold}).map(lambda df: df.drop("_sq"))
+    s = s.columns({"_loud": F.sqrt(F.col("_sq") / window) > threshold}).drop("_sq")
     s = s.index("_n").running({"_off": ("sum", F.when(F.col("_loud"), 0).otherwise(1))})
     rows = s.done()
     loud = rows.filter("_loud").groupBy(KEY, "_off").agg(F.min("_n").alias("_a"), F.count(F.lit(1)).alias("_c"))
@@ -271,7 +271,7 @@ def interlace_class(
     s = _stream(frames.select(KEY, "pts", "seq", "luma"), block_rows)
     s = s.shift({"_p": F.col("luma")}, 1).shift({"_x": F.col("luma")}, -1)
     m = _interlace_measure(width, height)(F.coalesce("_p", "luma"), F.col("luma"), F.coalesce("_x", "luma"))
-    s = s.columns({"_m": m}).map(lambda d: d.drop("_p", "_x", "luma"))
+    s = s.columns({"_m": m}).drop("_p", "_x", "luma")
     a0, a1, delta, g0, g1 = (F.col(f"_m.{c}") for c in ("a0", "a1", "delta", "g0", "g1"))
     single = (
         F.when(a0 > interlace * a1, "tff")
@@ -280,32 +280,27 @@ def interlace_class(
         .otherwise("undetermined")
     )
     repeated = F.when(g0 > repeat * g1, "top").when(g1 > repeat * g0, "bottom").otherwise("neither")
-    rows = s.columns({"single": single, "repeated": repeated}).done("_m")
-    voted = in_order(rows, [KEY], ["pts", "seq"], _vote, _vote_schema(rows), block_rows)
-    s = _stream(voted, block_rows)
+    s = s.columns({"single": single, "repeated": repeated}).drop("_m")
+    s = _voted(s)
     totals = {f"total_{t}": ("sum", F.when(F.col("multiple") == t, 1).otherwise(0)) for t in TYPES}
     totals |= {f"total_repeat_{r}": ("sum", F.when(F.col("repeated") == r, 1).otherwise(0)) for r in REPEATS}
     return s.running(totals).done()
 
 
-def _vote_schema(rows: DataFrame) -> str:
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return ", ".join([*fields, "multiple STRING"])
-
-
-def _vote(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
-    unknown = TYPES.index("undetermined")
-    seen = list(state) if state else [unknown] * 5
-    past, decided = seen[:4], seen[4]
-    out = []
-    for name in pdf["single"]:
-        past = [TYPES.index(name), *past[:3]]
-        known = [t for t in past if t != unknown]
-        agreed = len(known) if len(set(known)) == 1 else 0
-        if agreed > (0 if decided == unknown else 2):
-            decided = known[0]
-        out.append(TYPES[decided])
-    return pdf.assign(multiple=out), bytes([*past, decided])
+def _voted(s: Ordered) -> Ordered:
+    """Add ``multiple``, the type voted by the last four single results.
+
+    The determined ones among them vote if they agree. Three or four votes decide whatever was decided before, fewer only
+    while nothing is decided. So the last strong vote stands, before it the first vote of all.
+    """
+    unknown = F.lit("undetermined")
+    s = s.shifts({f"_s{k}": (F.col("single"), k) for k in (1, 2, 3)})
+    votes = F.filter(F.array("single", "_s1", "_s2", "_s3"), lambda t: t != unknown)
+    agreed = F.when(F.size(F.array_distinct("_votes")) == 1, F.get("_votes", F.lit(0)))
+    s = s.columns({"_votes": votes}).columns({"_any": agreed, "_strong": F.when(F.size("_votes") >= 3, agreed)})
+    s = s.running({"_first": ("first", F.col("_any")), "_last": ("last", F.col("_strong"))})
+    s = s.columns({"multiple": F.coalesce("_last", "_first", unknown)})
+    return s.drop("_s1", "_s2", "_s3", "_votes", "_any", "_strong", "_first", "_last")
 
 
 def crop_bounds(

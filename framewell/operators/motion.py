@@ -139,7 +139,7 @@ def background_mask(df: DataFrame, block_rows: int | None = None) -> DataFrame:
         return pd.DataFrame(out, columns=["token", "zone_id", "frame_no", "mask"]), zone.dump()
 
     schema = "token STRING, zone_id INT, frame_no BIGINT, mask BINARY"
-    return in_order(df, ["token", "zone_id"], ["frame_no"], step, schema, block_rows, guess=False)
+    return in_order(df, ["token", "zone_id"], ["frame_no"], step, schema)
 
 
 def _zone_mask(zone: ZoneDetector, r) -> np.ndarray | None:
@@ -202,7 +202,7 @@ def zone_motion_boxes(regions: DataFrame, block_rows: int | None = None) -> Data
         return _zone_boxes(zone, pdf), zone.dump()
 
     keys, order = ["token", "zone_id"], ["frame_no"]
-    return in_order(regions, keys, order, step, BOX_SCHEMA, block_rows, guess=False)
+    return in_order(regions, keys, order, step, BOX_SCHEMA)
 
 
 def report_motion(boxes: DataFrame) -> DataFrame:

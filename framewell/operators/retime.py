@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewell.ordered import Ordered, explode_range, ordered
-from framewell.sequential import in_order
+from framewell.sequential import in_order, scan
 
 KEY = "stream_id"
 
@@ -30,24 +32,58 @@ def select_rows(df: DataFrame, expr: str, block_rows: int | None = None) -> Data
     return with_timeline(df, block_rows).done().filter(F.expr(expr).cast("double") != 0)
 
 
+def _successors(pts: np.ndarray, gap: float) -> np.ndarray:
+    """Position of the first row at least ``gap`` after each row, the number of rows where there is none."""
+    n = pts.size
+    at = np.arange(n)
+    after = np.maximum(np.searchsorted(pts, pts + gap), at + 1)
+    while (early := (after < n) & (pts[np.minimum(after, n - 1)] - pts < gap)).any():  # last digits of pts + gap
+        after[early] += 1
+    while (late := (after > at + 1) & (pts[after - 1] - pts >= gap)).any():
+        after[late] -= 1
+    return after
+
+
+def _last_selected(pts: np.ndarray, gap: float) -> np.ndarray:
+    """Position of the last selected row for each row as the first one, by doubling of the way along the successors."""
+    way = _successors(pts, gap)
+    way = np.where(way < pts.size, way, np.arange(pts.size))
+    while (way[way] != way).any():
+        way = way[way]
+    return way
+
+
 def select_with_gap(df: DataFrame, gap: float, block_rows: int | None = None) -> DataFrame:
     """The first row of a stream, then each row at least ``gap`` after the last selected one.
 
-    A selection depends on the one before, so the rows of a stream are walked in order.
+    A block says for each place where the selection can enter it which row is selected last; neighbouring entries that end
+    alike are one, so this is short. From the entries of the blocks all of them select at once.
     """
 
-    def step(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
-        last = struct.unpack("d", state)[0] if state else None
-        pts = pdf["pts"].to_numpy()
-        keep = []
-        for i, p in enumerate(pts):
-            if last is None or p - last >= gap:
-                keep.append(i)
-                last = p
-        return pdf.iloc[keep], state if last is None else struct.pack("d", last)
+    def ends(rows: pa.Table) -> bytes:
+        pts = rows.column("pts").to_numpy()
+        last = _last_selected(pts, gap)
+        turn = np.append(np.flatnonzero(last[1:] != last[:-1]), pts.size - 1)
+        return np.stack([pts[turn], pts[last[turn]]]).astype("<f8").tobytes()
+
+    def advance(state: bytes, block: bytes) -> bytes:
+        reach, last = np.frombuffer(block, "<f8").reshape(2, -1)
+        fits = reach - struct.unpack("d", state)[0] >= gap if state else np.ones(reach.size, dtype=bool)
+        return struct.pack("d", last[fits.argmax()]) if fits.any() else state
+
+    def step(rows: pa.Table, state: bytes) -> pa.Table:
+        pts = rows.column("pts").to_numpy()
+        fits = pts - struct.unpack("d", state)[0] >= gap if state else np.ones(pts.size, dtype=bool)
+        chosen = np.zeros(pts.size + 1, dtype=bool)
+        chosen[fits.argmax() if fits.any() else -1] = True
+        way = np.append(_successors(pts, gap), pts.size)
+        while (way[chosen] < pts.size).any():
+            chosen[way[chosen]] = True
+            way = way[way]
+        return rows.filter(pa.array(chosen[:-1]))
 
-    timed = df.filter(F.col("pts").isNotNull())
-    return in_order(timed, [KEY], ["pts", "seq"], step, df.schema, block_rows)
+    timed = ordered(df.filter(F.col("pts").isNotNull()), [KEY], ["pts", "seq"], block_rows)
+    return scan(timed, ends, advance, step, df.schema)
 
 
 def route_rows(df: DataFrame, expr: str, n: int) -> DataFrame:
@@ -78,7 +114,7 @@ def scene_score(df: DataFrame, width: int = 8, height: int = 8, block_rows: int
     s = _stream(df, block_rows).shift({"_prev": _whole_blocks(F.col("luma"), width, height)})
     pixels = (width // 8 * 8) * (height // 8 * 8)
     change = frame_sad(_whole_blocks(F.col("luma"), width, height), F.col("_prev")) / pixels
-    s = s.columns({"mafd": F.when(F.col("_prev").isNotNull(), change)}).map(lambda d: d.drop("_prev"))
+    s = s.columns({"mafd": F.when(F.col("_prev").isNotNull(), change)}).drop("_prev")
     s = s.shift({"_before": F.coalesce("mafd", F.lit(0.0))})
     least = F.least(F.col("mafd"), F.abs(F.col("mafd") - F.col("_before"))) / 100
     score = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)), F.lit(0.0))
@@ -103,7 +139,7 @@ def trim(
     begun = [F.col("_n") >= start_frame] if start_frame is not None else []
     begun += [F.col("pts") >= start_pts] if start_pts is not None else []
     if begun:
-        s = s.map(lambda d: d.filter(_any(begun)))
+        s = s.only(_any(begun))
     if duration is not None:
         s = s.running({"_first": ("first", F.col("pts"))})
     inside = [F.col("_n") < end_frame] if end_frame is not None else []
@@ -111,7 +147,7 @@ def trim(
     inside += [F.col("pts") - F.col("_first") < duration] if duration is not None else []
     if inside:
         s = s.running({"_over": ("max", F.when(_any(inside), 0).otherwise(1))})
-        s = s.map(lambda d: d.filter(F.col("_over") == 0))
+        s = s.only(F.col("_over") == 0)
     return s.done("_n", "_first", "_over")
 
 
@@ -164,24 +200,24 @@ def dejudder(df: DataFrame, cycle: int = 4, ticks: str = "ticks", block_rows: in
     """Add ``new_ticks``: times of rows in arrival order smoothed over a cycle, in units of 1 / (2 * cycle) tick.
 
     A time is the one before plus a step made of the times up to cycle + 1 rows back, so it is a running sum of steps.
-    When a clock jumps backwards the times before the jump are moved to the new clock; only then, which one look at
-    the data tells, the steps come from walking the rows in order.
+    When a clock jumps backwards the times before the jump are moved to the new clock; the steps of streams with such a
+    jump, and of no others, come from walking their rows in order.
     """
-    s = ordered(df, [KEY], ["seq"], block_rows).index("_n")
-    s = s.shift({"_p1": F.col(ticks)}, 1).shift({"_pc": F.col(ticks)}, cycle)
-    s = s.shift({"_pc1": F.col(ticks)}, cycle + 1).shift({"_pc2": F.col(ticks)}, cycle + 2)
+    s = ordered(df, [KEY], ["seq"], block_rows)
     p = F.col(ticks)
-    if s.df.filter(p < F.col("_pc2")).isEmpty():
-        step = (cycle - 1) * (F.col("_pc1") - F.col("_p1")) + (cycle + 1) * (p - F.col("_pc"))
-        s = s.columns({"_step": step})
-    else:
-        rows = _smoothing_steps(df, cycle, ticks, block_rows)
-        s = ordered(rows, [KEY], ["seq"], block_rows).index("_n")
+    back = {"_p1": 1, "_pc": cycle, "_pc1": cycle + 1, "_pc2": cycle + 2}
+    s = s.index("_n").shifts({name: (p, k) for name, k in back.items()})
+    rows = s.totals({"_jumps": F.max(F.coalesce(p < F.col("_pc2"), F.lit(False)))}).done()
+    step = (cycle - 1) * (F.col("_pc1") - F.col("_p1")) + (cycle + 1) * (p - F.col("_pc"))
+    kept = [*df.columns, "_n"]
+    steady = rows.filter(~F.col("_jumps")).withColumn("_step", step).select(*kept, "_step")
+    walked = _smoothing_steps(rows.filter("_jumps").select(*kept), cycle, ticks, block_rows)
+    s = ordered(steady.unionByName(walked), [KEY], ["seq"], block_rows, probe=df)
     early = F.col("_n") < cycle + 2
     s = s.columns({"_base": F.when(F.col("_n") == cycle + 1, p * (2 * cycle)).when(~early, F.col("_step"))})
     s = s.running({"_sum": ("sum", F.col("_base"))})
     new = F.when(early, p * (2 * cycle)).otherwise(F.col("_sum")).cast("long")
-    return s.columns({"new_ticks": new}).done("_n", "_p1", "_pc", "_pc1", "_pc2", "_step", "_base", "_sum")
+    return s.columns({"new_ticks": new}).done("_n", "_step", "_base", "_sum")
 
 
 def _smoothing_steps(df: DataFrame, cycle: int, ticks: str, block_rows: int | None) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from framewell.functions.pixels import (
 from framewell.operators.kernels import outlier_pixels, out_of_range_pixels, repeated_line_pixels, ssim as ssim_kernel
 from framewell.operators.retime import frame_sad
 from framewell.ordered import Ordered, ordered, same_keys
-from framewell.sequential import run_in_order
+from framewell.sequential import scan
 
 KEY = "stream_id"
 # Full power of 16-bit samples, the level reported for silence, and the smallest normal double, which
@@ -129,24 +130,42 @@ def _channel_sums(s: Ordered) -> DataFrame:
     return out.withColumnsRenamed({"min": "lo", "max": "hi"})
 
 
-def _power_range(s: Ordered, length: float, rate: float) -> DataFrame:
-    """Lowest and highest decayed power per channel, once the decay has had five time constants to settle."""
+def _decayed(powers: np.ndarray, mult: float) -> np.ndarray:
+    """Running sums in which all earlier terms are multiplied by ``mult`` at each step, by doubling of the reach."""
+    out, reach = powers.copy(), 1
+    while reach < out.size and mult > 0:
+        out[reach:] += mult * out[:-reach]
+        reach, mult = 2 * reach, mult * mult
+    return out
+
+
+def _power_range(samples: DataFrame, length: float, rate: float, block_rows: int | None) -> DataFrame:
+    """Lowest and highest decayed power per channel, once the decay has had five time constants to settle. A block takes a
+    power to ``mult ** n`` times it plus a constant; samples without a value count as none."""
     mult, settle = math.exp(-1 / length / rate), int(5 * length * rate + 0.5)
 
-    def step(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
-        power = struct.unpack("d", state)[0] if state else 0.0
-        powers = []
-        for square in (np.square(pdf["value"].to_numpy()) * (1.0 - mult)).tolist():
-            power = power * mult + square
-            powers.append(power)
-        settled = np.array(powers)[pdf["_n"].to_numpy() >= settle]
-        some = slice(0, min(1, len(settled)))
-        out = {k: pdf[k].iloc[some].to_numpy() for k in CHANNEL}
-        out |= {"_low": np.sort(settled)[some], "_high": -np.sort(-settled)[some]}
-        return pd.DataFrame(out), struct.pack("d", power)
-
-    kinds = ", ".join(f"{k} {s.df.schema[k].dataType.simpleString()}" for k in CHANNEL)
-    parts = run_in_order(s.index("_n"), step, f"{kinds}, _low DOUBLE, _high DOUBLE")
+    def powers(rows: pa.Table) -> np.ndarray:
+        return _decayed(np.square(rows.column("value").to_numpy()) * (1.0 - mult), mult)
+
+    def taken(rows: pa.Table) -> bytes:
+        return struct.pack("qd", rows.num_rows, powers(rows)[-1])
+
+    def advance(state: bytes, block: bytes) -> bytes:
+        (n, power), (more, constant) = struct.unpack("qd", state or bytes(16)), struct.unpack("qd", block)
+        return struct.pack("qd", n + more, power * mult**more + constant)
+
+    def step(rows: pa.Table, state: bytes) -> pa.Table:
+        n, power = struct.unpack("qd", state or bytes(16))
+        found = powers(rows) + power * mult ** np.arange(1.0, rows.num_rows + 1)
+        settled = found[max(settle - n, 0) :]
+        first = rows.select(CHANNEL).slice(0, min(1, settled.size))
+        low, high = (pa.array([f(settled)] if settled.size else [], pa.float64()) for f in (np.min, np.max))
+        return first.append_column("_low", low).append_column("_high", high)
+
+    some = samples.select(*CHANNEL, "pts", "seq", "value").filter(F.col("value").isNotNull())
+    s = ordered(some, CHANNEL, ["pts", "seq"], block_rows)
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in CHANNEL)
+    parts = scan(s, taken, advance, step, f"{kinds}, _low DOUBLE, _high DOUBLE")
     return parts.groupBy(*CHANNEL).agg(F.min("_low").alias("min_power"), F.max("_high").alias("max_power"))
 
 
@@ -155,7 +174,7 @@ def signal_stats(
 ) -> DataFrame:
     """Per channel: offset, extremes, levels in dB, crest and flat factor and the number of peaks."""
     s = _channels(samples, block_rows)
-    both = _same_channel(_channel_sums(s), _power_range(s, length, rate), "left")
+    both = _same_channel(_channel_sums(s), _power_range(samples, length, rate, block_rows), "left")
     mean_square = F.col("sx2") / F.col("n")
     both = both.withColumns(
         {"max_power": F.coalesce("max_power", mean_square), "min_power": F.coalesce("min_power", mean_square)}

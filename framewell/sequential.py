@@ -1,12 +1,11 @@
 """Steps that must see a stream row by row, with a state handed on as bytes.
 
-Streams that fit ``block_rows`` are sorted inside their partition and fed batch by batch, so a task holds one Arrow
-batch and one state. Longer streams are cut into blocks of neighbouring rows: first the state each block starts with
-is settled, then all blocks run in parallel from their own start. To settle the states every block guesses that it
-starts afresh and is run again only while the state before it still changes (steps that forget their past settle
-in a few rounds). The result is the one of the plain loop. A step whose state never forgets has nothing to guess from;
-with ``guess=False`` each stream is walked once in its partition, whatever its length: one shuffle, one batch and one
-state in memory. Long histories of such a step run as a stream, with the state in the state store.
+A stream is sorted inside its partition and fed batch by batch, so a task holds one Arrow batch and one state, whatever
+the length of the stream. With ``block_rows`` long streams are cut into blocks of neighbouring rows: first the state each
+block starts with is settled, then all blocks run in parallel from their own start. To settle the states every block
+guesses that it starts afresh and is run again only while the state before it still changes (steps that forget their past
+settle in a few rounds). The result is the one of the plain loop. A step whose state never forgets has nothing to guess
+from; long histories of such a step run as a stream, with the state in the state store.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +25,57 @@ from framewell.session import durable
 Step = Callable[[pd.DataFrame, bytes], tuple[pd.DataFrame, bytes]]
 
 
-def in_order(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    step: Step,
+def scan(
+    s: Ordered,
+    summary: Callable[[pa.Table], bytes],
+    advance: Callable[[bytes, bytes], bytes],
+    step: Callable[[pa.Table, bytes], pa.Table],
     schema: str,
-    block_rows: int | None = None,
-    guess: bool = True,
-    probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes."""
-    if not guess:
-        return run_in_order(Ordered(df, tuple(keys), tuple(order), 0, split=False), step, schema)
-    return run_in_order(ordered(df, keys, order, block_rows, probe), step, schema)
+    """Run ``step(rows, state) -> rows`` over each block of each stream from the state that the rows before it leave.
+
+    ``summary`` says in a few bytes what a block of sorted rows does to any state, ``advance(state, summary)`` does it; the
+    first state is empty bytes. So the states that blocks start from come from one small row for each block, and all
+    blocks run at once, in one plan. A task holds one block of a long stream, or a short stream.
+    """
+    keys, part, order = list(s.keys), s.part, [(c, "ascending") for c in s.order]
+    kinds = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in part)
+
+    def place(rows: pa.Table, names: list[str]) -> dict[str, pa.Array]:
+        return {c: rows.column(c).combine_chunks().slice(0, 1) for c in names}
+
+    def summed(rows: pa.Table) -> pa.Table:
+        rows = _sorted(rows, order)
+        return pa.table({**place(rows, part), "_sum": pa.array([summary(rows)], pa.binary())})
+
+    def started(blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by(BLOCK)
+        states = [b""]
+        for one in blocks.column("_sum").to_pylist()[:-1]:
+            states.append(advance(states[-1], one))
+        return pa.table({**{c: blocks.column(c) for c in part}, "_state": pa.array(states, pa.binary())})
 
+    def stepped(rows: pa.Table) -> pa.Table:
+        state = rows.column("_start")[0].as_py() or b""
+        return step(_sorted(rows.drop_columns(["_start", BLOCK]), order), state)
 
-def run_in_order(s: Ordered, step: Step, schema: str) -> DataFrame:
-    """``in_order`` on streams whose length is known already."""
-    df, keys, order = s.df, list(s.keys), list(s.order)
-    if s.split:
+    sums = s.long(*[F.col(c) for c in s.df.columns]).groupBy(*part).applyInArrow(summed, f"{named}, _sum binary")
+    starts = sums.groupBy(*keys).applyInArrow(started, f"{named}, _state binary")
+    rows = s._carry(s.df, starts, {"_start": F.col("_state")})
+    return rows.groupBy(*part).applyInArrow(stepped, schema)
+
+
+def _sorted(rows: pa.Table, order: list[tuple[str, str]]) -> pa.Table:
+    """Rows in order, nulls first."""
+    return rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, block_rows: int | None = None) -> DataFrame:
+    """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes."""
+    if block_rows is not None:
+        s = ordered(df, keys, order, block_rows)
+        s = s.columns({BLOCK: F.coalesce(BLOCK, F.lit(0))})
         return _run_blocks(s, _block_states(s, step), step, schema)
     # a fixed number, since partitions of well compressed pictures look small enough to be joined
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

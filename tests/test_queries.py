@@ -4,7 +4,7 @@ import pytest
 from check import compare, connect
 
 import __spark_entry__ as entry_module
-from framewell.ordered import BLOCK_ROWS_CONF
+import framewell.ordered
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
@@ -52,12 +52,9 @@ def test_query(spark, con, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", BLOCKED)
-def test_query_in_blocks(spark, con, sf_dir, name):
-    spark.conf.set(BLOCK_ROWS_CONF, "20")
-    try:
-        got = QUERIES[name](spark, sf_dir).toPandas()
-    finally:
-        spark.conf.unset(BLOCK_ROWS_CONF)
+def test_query_in_blocks(spark, con, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(framewell.ordered, "BLOCK_ROWS", 20)
+    got = QUERIES[name](spark, sf_dir).toPandas()
     assert compare(got, con.execute(ORACLES[name]).df()) == ""
 
 
