@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 from framewell.functions.boxes import idiv
 
@@ -42,6 +42,16 @@ def level_counts(planes: pd.Series) -> pd.Series:
     return planes.map(one)
 
 
+@F.pandas_udf(BinaryType())
+def level_vector(planes: pd.Series) -> pd.Series:
+    """Number of pixels of each value from 0 to 255, as 256 little-endian 32-bit integers."""
+    sizes = np.array([0 if p is None else len(p) for p in planes])
+    values = np.concatenate([np.zeros(0, dtype=np.int64), *(p for p in planes if p is not None)]).astype(np.int64)
+    place = np.repeat(np.arange(sizes.size), sizes) * 256 + values
+    counts = np.bincount(place, minlength=256 * sizes.size).astype("<u4").reshape(-1, 256)
+    return pd.Series([row.tobytes() for row in counts], dtype=object)
+
+
 def row_arrays(luma: Column, width: int, height: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice(luma, r * width + 1, F.lit(width)))
 

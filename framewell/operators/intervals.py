@@ -6,10 +6,11 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewell.functions.pixels import column_sums, count_where, even_up, half, level_counts, row_sums
+from framewell.functions.pixels import column_sums, count_where, even_up, half, level_vector, row_sums
 from framewell.operators.kernels import block_sums, interlace_sums
 from framewell.operators.retime import frame_sad
 from framewell.ordered import Ordered, join_per_key, ordered
@@ -213,28 +214,28 @@ def drop_one_per_cycle(
 def representative_frame(frames: DataFrame, n: int = 100, block_rows: int | None = None) -> DataFrame:
     """Per batch of n frames the one whose histogram is nearest to the mean of the batch, the first of equals.
 
-    With b frames in the batch, count c and batch total S of a value, b * b times the squared error is a whole number:
-    b * b * c * c - 2 * b * c * S summed over the frame's values, plus S * S summed over the batch's values.
+    A frame is a vector of 256 counts; those of a batch, at most ``n``, meet in one group. With b frames in the batch, count
+    c and batch total S of a value, b * b times the squared error is the whole number (b * c - S)**2 summed over the values.
+    A null picture counts as one without pixels.
     """
-    counted = frames.select(KEY, "pts", "seq", level_counts(F.col("luma")).alias("_h"))
+    counted = frames.select(KEY, "pts", "seq", level_vector(F.col("luma")).alias("_h"))
     rows = _stream(counted, block_rows).index("n").done().withColumn("batch", F.floor(F.col("n") / n))
-    group = [KEY, "batch"]
-    levels = rows.select(*group, F.explode("_h").alias("_l"))
-    sums = levels.groupBy(*group, "_l.value").agg(F.sum("_l.n").alias("S"))
-    # at most 256 values of a batch meet in its row
-    whole = sums.groupBy(*group).agg(
-        F.sum(F.col("S") * F.col("S")).alias("_ss"), F.map_from_entries(F.collect_list(F.struct("value", "S"))).alias("_sums")
-    )
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_b"))
-    both = rows.join(whole.join(sizes, group), group)
-    none = F.lit(0).cast("long")
-    squares = F.aggregate("_h", none, lambda s, x: s + x["n"] * x["n"])
-    cross = F.aggregate("_h", none, lambda s, x: s + x["n"] * F.col("_sums")[x["value"]])
-    b = F.col("_b").cast("decimal(38,0)")
-    scored = both.withColumn("_e", b * b * squares - 2 * b * cross + F.col("_ss"))
-    best = scored.groupBy(*group).agg(F.min(F.struct("_e", "n", "_b", "seq", "pts")).alias("_m"))
-    error = (F.col("_m._e") / (F.col("_m._b") * F.col("_m._b"))).cast("double")
-    return best.select(*group, "_m.n", error.alias("sum_sq_err"), "_m.seq", "_m.pts")
+
+    def nearest(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("n")
+        counts = np.frombuffer(b"".join(batch.column("_h").to_pylist()), dtype="<u4").reshape(batch.num_rows, -1)
+        size, most = batch.num_rows, int(counts.sum(axis=1).max())
+        exact = np.int64 if (size * most) ** 2 < 1 << 62 else object
+        counts = counts.astype(exact)
+        apart = size * counts - counts.sum(axis=0)
+        errors = (apart * apart).sum(axis=1)
+        i = int(errors.argmin())
+        one = batch.slice(i, 1).select([KEY, "batch", "n", "seq", "pts"])
+        return one.add_column(3, "sum_sq_err", pa.array([int(errors[i]) / (size * size)], pa.float64()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"{KEY} {kinds[KEY]}, batch long, n long, sum_sq_err double, seq {kinds['seq']}, pts {kinds['pts']}"
+    return rows.groupBy(KEY, "batch").applyInArrow(nearest, schema)
 
 
 TYPES = ["tff", "bff", "progressive", "undetermined"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewell.ordered import ordered, same_keys
+from framewell.ordered import BLOCK_ROWS, ordered, same_keys
 
 # Observations a histogram keeps, rows a series keeps, and minutes of a series shown.
 HISTOGRAM_SIZE, SERIES_ROWS, SERIES_MINUTES = 2000, 1024, 60
@@ -96,6 +100,67 @@ def sliding_histogram(
     )
 
 
+def sliding_summary(
+    df: DataFrame, n: int = HISTOGRAM_SIZE, metric: str = "metric", block_rows: int | None = None
+) -> DataFrame:
+    """Per observation with a value all columns of a summary over the last ``n`` observations of its metric, itself included.
+
+    A metric is cut into chunks of neighbouring rows; each takes the last n - 1 rows before it along, and a task holds one
+    chunk, whatever the length of the metric. Inside, the window is a sorted list that each row enters and leaves by
+    binary search.
+    """
+    rows = df.filter(F.col("value").isNotNull()).select(metric, "seq", F.col("value").cast("double").alias("value"))
+    size = max(n, block_rows or BLOCK_ROWS)
+    placed = ordered(rows, [metric], ["seq"], block_rows).index("_i").done()
+    own, place = F.floor(F.col("_i") / size), F.col("_i") % size
+    chunks = F.when(place >= size - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = placed.withColumn("_chunk", F.explode(chunks)).withColumn("_context", F.col("_chunk") != own)
+
+    def summed(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("_i")
+        before = int(np.count_nonzero(chunk.column("_context").to_numpy()))
+        found = window_statistics(chunk.column("value").to_numpy(), n, before)
+        kept = chunk.slice(before)
+        if before == chunk.num_rows:
+            found = {name: np.zeros(0) for name in SUMMARY}
+        out = {metric: kept.column(metric), "seq": kept.column("seq"), **found}
+        return pa.table({**out, "count": pa.array(found["count"], pa.int64())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"`{metric}` {kinds[metric]}, seq {kinds['seq']}, count long, " + ", ".join(f"{c} double" for c in SUMMARY[1:])
+    return dealt.groupBy(metric, "_chunk").applyInArrow(summed, schema)
+
+
+def window_statistics(values: np.ndarray, n: int, skip: int = 0) -> dict[str, np.ndarray]:
+    """Summary of the last ``n`` values at each place from ``skip`` on; sums are taken about the mean of all values."""
+    held, quantiles = [], list(QUANTILES.values())
+    places = np.arange(skip, values.size)
+    ends, found = [], np.zeros((places.size, len(quantiles)))
+    for i, v in enumerate(values.tolist()):
+        if i >= n:
+            held.pop(bisect_left(held, float(values[i - n])))
+        insort(held, v)
+        if i >= skip:
+            ends.append((held[0], held[-1]))
+            for k, q in enumerate(quantiles):
+                at = q * (len(held) + 1)
+                low = int(at)
+                if 1 <= low < len(held):
+                    found[i - skip, k] = held[low - 1] + (at - low) * (held[low] - held[low - 1])
+                else:
+                    found[i - skip, k] = held[0] if low < 1 else held[-1]
+    centre = values.mean() if values.size else 0.0
+    sums = np.concatenate([[0.0], np.cumsum(values - centre)])
+    squares = np.concatenate([[0.0], np.cumsum(np.square(values - centre))])
+    start, count = np.maximum(places + 1 - n, 0), np.minimum(places + 1, n)
+    total, square = sums[places + 1] - sums[start], squares[places + 1] - squares[start]
+    spread = np.maximum(square - total * total / count, 0) / np.maximum(count - 1, 1)
+    low, high = np.array(ends, dtype=float).reshape(-1, 2).T
+    spread[low == high] = 0  # what is left there is rounding
+    out = {"count": count, "min": low, "max": high, "mean": centre + total / count, "stddev": np.sqrt(spread)}
+    return out | dict(zip(QUANTILES, found.T))
+
+
 def last_rows(df: DataFrame, n: int, metric: str = "metric", order: str = "seq") -> DataFrame:
     """The last n rows per metric, cut down inside salted parts before the rows of a metric meet."""
     salted = df.withColumn("_salt", F.pmod(F.hash(order), F.lit(SALTS)))

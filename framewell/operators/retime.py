@@ -86,6 +86,14 @@ def select_with_gap(df: DataFrame, gap: float, block_rows: int | None = None) ->
     return scan(timed, ends, advance, step, df.schema)
 
 
+def select_with_previous(df: DataFrame, gap: float, block_rows: int | None = None) -> DataFrame:
+    """The rows of :func:`select_with_gap` with ``selected_n``, their number among the selected ones, and ``prev_selected_n``
+    and ``prev_selected_pts`` of the row selected before."""
+    numbered = ordered(df.filter(F.col("pts").isNotNull()), [KEY], ["pts", "seq"], block_rows).index("n").done()
+    s = ordered(select_with_gap(numbered, gap, block_rows), [KEY], ["pts", "seq"], block_rows).index("selected_n")
+    return s.shift({"prev_selected_n": F.col("n"), "prev_selected_pts": F.col("pts")}).done()
+
+
 def route_rows(df: DataFrame, expr: str, n: int) -> DataFrame:
     """Rows with the output number an expression gives: 0 drops, NaN and negative go to 0, else ceil - 1, at most n - 1."""
     value = F.expr(expr).cast("double")

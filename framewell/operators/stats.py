@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.functions.boxes import idiv
+from framewell.functions.checksums import ADLER_BASE, adler_before, adler_sums, crc32_before
 from framewell.functions.pixels import (
     adler32,
     adler32_bytes,
@@ -356,6 +357,31 @@ def stream_checksum(
     return tree.select(KEY, F.col("h").alias("checksum"))
 
 
+def concatenated_checksum(
+    df: DataFrame, algo: str = "crc32", data: str = "data", block_rows: int | None = None
+) -> DataFrame:
+    """CRC-32 or Adler-32 per stream over the bytes of all its packets in order, as if they were one.
+
+    Each packet is summed by itself; what its bytes do to the sum of the whole depends on the number of bytes behind it
+    alone, so packets add up in any order.
+    """
+    length = F.length(data).cast("long")
+    first, second = adler_sums(F.col(data))
+    own = {"crc32": {"_crc": F.crc32(data)}, "adler32": {"_s1": first, "_s2": second}}[algo]
+    rows = df.filter(F.col(data).isNotNull()).select(KEY, "pts", "seq", length.alias("_n"), *[c.alias(n) for n, c in own.items()])
+    s = ordered(rows, [KEY], ["pts", "seq"], block_rows, probe=df.select(KEY, "pts", "seq"))
+    s = s.running({"_end": ("sum", F.col("_n"))}).totals({"_all": F.sum("_n")})
+    placed, after = s.done(), F.col("_all") - F.col("_end")
+    if algo == "crc32":
+        sums = placed.withColumn("_part", crc32_before("_crc", after)).groupBy(KEY).agg(F.bit_xor("_part").alias("_sum"))
+        return sums.select(KEY, F.lower(F.lpad(F.hex("_sum"), 8, "0")).alias("checksum"))
+    sums = placed.groupBy(KEY).agg(
+        F.sum("_s1").alias("_a"), F.sum(adler_before(F.col("_s1"), F.col("_s2"), after)).alias("_b"), F.sum("_n").alias("_size")
+    )
+    a, b = (1 + F.col("_a")) % ADLER_BASE, (F.col("_size") + F.col("_b")) % ADLER_BASE
+    return sums.select(KEY, F.lower(F.lpad(F.hex(b * 65536 + a), 8, "0")).alias("checksum"))
+
+
 def level_histogram(frames: DataFrame, plane: str = "luma") -> DataFrame:
     """Number of pixels of each value per frame, counted inside the row that holds the frame."""
     levels = frames.select(KEY, "seq", F.explode(level_counts(F.col(plane))).alias("_l"))

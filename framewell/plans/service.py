@@ -901,6 +901,19 @@ def histogram_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.histogram_summary(observations(spark, d)), "min", "max", "mean", "stddev", *QUANTILES)
 
 
+@query(
+    "",
+    OBSERVED
+    + f"""SELECT metric, seq, count, round(v[1], 6) AS min, round(v[len(v)], 6) AS max, round(mean, 6) AS mean,
+      round(stddev, 6) AS stddev, {", ".join(f"round({quantile_sql(q)}, 6) AS {n}" for n, q in QUANTILES.items())} FROM (
+      SELECT metric, seq, count(*) OVER w AS count, list_sort(list(value::DOUBLE) OVER w) AS v, avg(value) OVER w AS mean,
+        coalesce(stddev_samp(value) OVER w, 0) AS stddev FROM observations
+      WINDOW w AS (PARTITION BY metric ORDER BY seq ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW))""",
+)
+def sliding_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.sliding_summary(observations(spark, d)), "min", "max", "mean", "stddev", *QUANTILES)
+
+
 def rates_sql(source: str) -> str:
     return f"""per_minute AS (SELECT metric, CAST(floor(pts / 60) AS BIGINT) AS minute, count(*) AS c FROM {source} GROUP BY ALL),
     rates AS (SELECT metric, minute, CAST(sum(c) OVER (PARTITION BY metric ORDER BY minute) AS BIGINT) AS count,

@@ -57,6 +57,25 @@ def select_with_gap(spark: SparkSession, d: str) -> DataFrame:
     return R.select_with_gap(V.samples(spark, d), 259200.0).select("stream_id", "seq")
 
 
+@query(
+    "samples",
+    """, ranked AS (SELECT stream_id, seq, pts, row_number() OVER (PARTITION BY stream_id ORDER BY pts, seq) AS i FROM samples),
+    steps AS (SELECT a.stream_id, a.i, min(b.i) AS next FROM ranked a JOIN ranked b
+      ON a.stream_id = b.stream_id AND b.pts >= a.pts + 259200 GROUP BY a.stream_id, a.i),
+    picked AS (SELECT stream_id, i FROM ranked WHERE i = 1),
+    chain AS (SELECT * FROM steps)
+    SELECT r.stream_id, r.seq, r.i - 1 AS n, row_number() OVER v - 1 AS selected_n, lag(r.i - 1) OVER v AS prev_selected_n,
+      round(lag(r.pts) OVER v, 6) AS prev_selected_pts FROM (WITH RECURSIVE walk(stream_id, i) AS (
+        SELECT stream_id, i FROM picked
+        UNION ALL SELECT w.stream_id, s.next FROM walk w JOIN chain s ON s.stream_id = w.stream_id AND s.i = w.i)
+      SELECT * FROM walk) k JOIN ranked r ON r.stream_id = k.stream_id AND r.i = k.i
+    WINDOW v AS (PARTITION BY r.stream_id ORDER BY r.i)""",
+)
+def select_with_previous(spark: SparkSession, d: str) -> DataFrame:
+    out = R.select_with_previous(V.samples(spark, d), 259200.0)
+    return rounded(out, "prev_selected_pts").select("stream_id", "seq", "n", "selected_n", "prev_selected_n", "prev_selected_pts")
+
+
 @query(
     "samples",
     """SELECT seq, CAST(CASE WHEN e < 0 THEN 0 ELSE least(ceil(e) - 1, 2) END AS INTEGER) AS out_no FROM (
@@ -433,29 +452,49 @@ def representative_frame(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("stream_id", "batch", "seq", "sum_sq_err")
 
 
-@query()
-def interlace_class(spark: SparkSession, d: str) -> DataFrame:
-    return I.interlace_class(V.frames(spark, d))
-
-
-@query(
-    "frames",
-    f""", t AS (SELECT stream_id, seq, luma AS c, coalesce(lag(luma) OVER w, luma) AS p, coalesce(lead(luma) OVER w, luma) AS x
+FIELDS = f""", t AS (SELECT stream_id, seq, luma AS c, coalesce(lag(luma) OVER w, luma) AS p, coalesce(lead(luma) OVER w, luma) AS x
       FROM frames {LINE}),
     v AS (SELECT stream_id, seq, (i // 8) % 2 AS odd, c[i + 1] AS cv, p[i + 1] AS pv, x[i + 1] AS xv, c[i - 7] + c[i + 9] AS ends
       FROM t, LATERAL (SELECT unnest(range(16, 48)) AS i)),
     s AS (SELECT stream_id, seq, sum(abs(ends - 2 * CASE WHEN odd = 0 THEN pv ELSE xv END)) AS a0,
       sum(abs(ends - 2 * CASE WHEN odd = 1 THEN pv ELSE xv END)) AS a1, sum(abs(ends - 2 * cv)) AS delta,
       sum(CASE WHEN odd = 1 THEN 2 * abs(cv - pv) ELSE 0 END) AS g0, sum(CASE WHEN odd = 0 THEN 2 * abs(cv - pv) ELSE 0 END) AS g1
-      FROM v GROUP BY stream_id, seq)
-    SELECT stream_id, seq, CASE WHEN a0 > 1.04::DOUBLE * a1 THEN 'tff' WHEN a1 > 1.04::DOUBLE * a0 THEN 'bff'
+      FROM v GROUP BY stream_id, seq),
+    fields AS (SELECT stream_id, seq, CASE WHEN a0 > 1.04::DOUBLE * a1 THEN 'tff' WHEN a1 > 1.04::DOUBLE * a0 THEN 'bff'
         WHEN a1 > 1.5::DOUBLE * delta THEN 'progressive' ELSE 'undetermined' END AS single,
-      CASE WHEN g0 > 3 * g1 THEN 'top' WHEN g1 > 3 * g0 THEN 'bottom' ELSE 'neither' END AS repeated FROM s""",
-)
+      CASE WHEN g0 > 3 * g1 THEN 'top' WHEN g1 > 3 * g0 THEN 'bottom' ELSE 'neither' END AS repeated FROM s)"""
+
+
+@query("frames", FIELDS + " SELECT * FROM fields")
 def interlace_single(spark: SparkSession, d: str) -> DataFrame:
     return I.interlace_class(V.frames(spark, d)).select("stream_id", "seq", "single", "repeated")
 
 
+def _totals_sql(name: str, column: str, values: list[str]) -> str:
+    return ", ".join(f"CAST(sum(CASE WHEN {column} = '{v}' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS {name}_{v}" for v in values)
+
+
+@query(
+    "frames",
+    FIELDS
+    + f""", o AS (SELECT f.*, r.pts, row_number() OVER (PARTITION BY stream_id ORDER BY r.pts, seq) AS n
+      FROM fields f JOIN frames r USING (stream_id, seq))
+    SELECT stream_id, seq, round(pts, 6) AS pts, single, repeated, multiple, {_totals_sql('total', 'multiple', I.TYPES)},
+      {_totals_sql('total_repeat', 'repeated', I.REPEATS)}
+    FROM (WITH RECURSIVE walk(stream_id, n, past, multiple) AS (
+        SELECT stream_id, n, [single], single FROM o WHERE n = 1
+        UNION ALL SELECT stream_id, n, past, CASE
+            WHEN len(list_distinct(votes)) = 1 AND len(votes) > CASE WHEN before = 'undetermined' THEN 0 ELSE 2 END
+            THEN votes[1] ELSE before END
+          FROM (SELECT *, list_filter(past, lambda t: t <> 'undetermined') AS votes
+            FROM (SELECT o.stream_id, o.n, list_prepend(o.single, w.past)[1:4] AS past, w.multiple AS before
+              FROM walk w JOIN o ON o.stream_id = w.stream_id AND o.n = w.n + 1)))
+      SELECT o.*, walk.multiple FROM walk JOIN o USING (stream_id, n)) {LINE}""",
+)
+def interlace_class(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(I.interlace_class(V.frames(spark, d)), "pts")
+
+
 EDGES = """, lines AS (
   SELECT stream_id, seq, n, 'y' AS axis, py AS line_no, sum(v) // 8 > 24 AS bright FROM pixel_pairs GROUP BY ALL
   UNION ALL SELECT stream_id, seq, n, 'x', px, sum(v) // 8 > 24 FROM pixel_pairs GROUP BY ALL),
@@ -572,7 +611,15 @@ def signal_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stream_id", "channel", "n", *CLOSED, "peak_count")
 
 
-@query()
+@query(
+    "samples",
+    f""", l AS (SELECT stream_id, channel, list(round(value * 20) / 20 ORDER BY pts, seq) AS v FROM samples GROUP BY ALL),
+    p AS (SELECT stream_id, channel, v, list_transform(range(11, len(v) + 1), lambda k: list_reduce(
+        list_prepend(0::DOUBLE, v[1:k]), lambda p, x: p * exp(-0.5::DOUBLE) + (1 - exp(-0.5::DOUBLE)) * x * x)) AS powers FROM l),
+    r AS (SELECT stream_id, channel, coalesce(list_max(powers), list_avg(list_transform(v, lambda x: x * x))) AS high,
+      coalesce(list_min(powers), list_avg(list_transform(v, lambda x: x * x))) AS low FROM p)
+    SELECT stream_id, channel, {db_sql('sqrt(high)')} AS rms_peak_db, {db_sql('sqrt(low)')} AS rms_trough_db FROM r""",
+)
 def signal_rms_range(spark: SparkSession, d: str) -> DataFrame:
     out = S.signal_stats(coarse_samples(spark, d), length=0.5, rate=4.0)
     return rounded(out, "rms_peak_db", "rms_trough_db").select("stream_id", "channel", "rms_peak_db", "rms_trough_db")
@@ -716,6 +763,30 @@ def stream_checksum(spark: SparkSession, d: str) -> DataFrame:
     return S.stream_checksum(S.packets(V.frames(spark, d), 0.04))
 
 
+BYTES = """, b AS (SELECT stream_id, flatten(list(luma ORDER BY pts, seq)) AS d FROM frames GROUP BY stream_id)"""
+
+
+@query(
+    "frames",
+    BYTES
+    + """ SELECT stream_id, lower(lpad(hex(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, d::BIGINT[]), lambda c, x:
+        list_reduce(list_prepend(xor(c, x), range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)
+      ))), 8, '0')) AS checksum FROM b""",
+)
+def stream_crc32(spark: SparkSession, d: str) -> DataFrame:
+    return S.concatenated_checksum(S.packets(V.frames(spark, d), 0.04), "crc32")
+
+
+@query(
+    "frames",
+    BYTES
+    + """ SELECT stream_id, lower(lpad(hex((((len(d) + list_sum(list_transform(d, lambda x, i: x * (len(d) - i + 1)))) % 65521) * 65536
+        + (1 + list_sum(d)) % 65521)::BIGINT), 8, '0')) AS checksum FROM b""",
+)
+def stream_adler32(spark: SparkSession, d: str) -> DataFrame:
+    return S.concatenated_checksum(S.packets(V.frames(spark, d), 0.04), "adler32")
+
+
 @query(
     "frames",
     "SELECT stream_id, seq, CAST(v AS INTEGER) AS value, count(*) AS n FROM pixels GROUP BY stream_id, seq, v",
