@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.tables import stored, words
+from framewell.llm.tables import shielded, stored, words
 
 #: Leading tokens that lead to a leaf of the tree, after the number of tokens.
 DEPTH = 3
@@ -116,6 +116,7 @@ def repeated_lines(templated: DataFrame) -> DataFrame:
     return dropped.groupBy("_key", "_check").agg(F.collect_set("line").alias("lines"))
 
 
+@shielded
 def drop_template_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with ``text`` less the lines whose template recurs, and ``n_lines, n_dropped``.
 
@@ -123,8 +124,7 @@ def drop_template_lines(documents: DataFrame, doc_id: str = "doc_id", text: str
     keep their rows, even if no line is left. A null text stays null and has no lines. Wholly equal rows count as one
     document and lose the same lines, so the first of them stays whole in each. Columns with the added names are replaced.
     """
-    base = documents.drop("n_lines", "n_dropped")
-    keyed = base.withColumns(row_keys(base))
+    keyed = documents.withColumns(row_keys(documents))
     dropped = stored(repeated_lines(line_templates(keyed, doc_id, text)), "dropped_lines")
     parts = F.split(F.col(text), "\n")
     found = keyed.join(dropped, ["_key", "_check"], "left").withColumn("_parts", F.when(F.col("lines").isNotNull(), parts))
@@ -133,7 +133,7 @@ def drop_template_lines(documents: DataFrame, doc_id: str = "doc_id", text: str
     whole = F.when(F.col("lines").isNull(), F.col(text)).otherwise(rest)
     n = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     return found.select(
-        *[whole.alias(c) if c == text else F.col(c) for c in base.columns],
+        *[whole.alias(c) if c == text else F.col(c) for c in documents.columns],
         n.cast("long").alias("n_lines"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"),
     )

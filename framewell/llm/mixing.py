@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.tables import stored
+from framewell.llm.tables import shielded, stored
 
 #: Domains with the condition on the labelled table; the first that holds names a document's domain.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "low": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
@@ -168,6 +168,7 @@ def fit_rates(posteriors: DataFrame, shares: list[float]) -> list[list[float]]:
     return history
 
 
+@shielded
 def mixture_rates(
     documents: DataFrame,
     labels: DataFrame,
@@ -185,19 +186,18 @@ def mixture_rates(
     no tokens and a posterior from the prior and their measures. A null doc_id has a fixed hash. Repeated rows are drawn
     alike. An empty table has no rows.
     """
-    added = ["n_tokens", "rate", "copies", *[f"p_{d}" for d in domains]]
-    base = documents.drop(*added)
-    classifier = fit_classifier(base, labels, domains, doc_id, text)
-    scored = stored(with_posteriors(with_features(base, text), classifier), "posteriors")
+    classifier = fit_classifier(documents, labels, domains, doc_id, text)
+    scored = stored(with_posteriors(with_features(documents, text), classifier), "posteriors")
     history = fit_rates(scored, [shares[d] for d in domains])
     rated = scored.withColumn("rate", rate(F.col("q"), history))
     luck = F.pmod(F.xxhash64(F.lit("draw"), F.col(doc_id)), F.lit(1 << 20)) / (1 << 20)
     copies = F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    keep = [c for c in base.columns if c != text]
+    keep = [c for c in documents.columns if c != text]
     shown = [(F.get("q", F.lit(d)) / PARTS).alias(f"p_{name}") for d, name in enumerate(domains)]
     return rated.select(*keep, "n_tokens", *shown, "rate", copies.cast("long").alias("copies"))
 
 
+@shielded
 def mix(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with each row as often as :func:`mixture_rates` draws it. Draws meet their rows by two 64-bit hashes
     of the whole row."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewell.llm.tables import WORD, stored, words
+from framewell.llm.tables import WORD, shielded, stored, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -167,6 +167,7 @@ def adaptive_thresholds(stats: DataFrame, lang: str = "lang", source: str = "sou
     return chosen.groupBy("_lang", "_source").agg(*fences)
 
 
+@shielded
 def judge_quality(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``documents`` without the text, with the statistics, ``base_failed`` and ``kept``.
 
@@ -192,6 +193,7 @@ def judge_quality(documents: DataFrame, text: str = "text", lang: str = "lang",
     ).select(*[stats[c] for c in stats.columns], (~F.col("base_failed") & within).alias("kept"))
 
 
+@shielded
 def keep_good(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``documents`` that :func:`judge_quality` keeps, with their columns unchanged. Verdicts meet their rows
     by two 64-bit hashes of the whole row; rows that repeat have equal verdicts."""

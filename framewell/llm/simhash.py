@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewell.llm.components import connected_components, spanning_links
-from framewell.llm.tables import LOWER, UPPER, stored
+from framewell.llm.tables import LOWER, UPPER, shielded, stored
 
 SHINGLE = 3
 DISTANCE = 3
@@ -141,6 +141,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
 
 
+@shielded
 def keep_first(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one row of each group of near-duplicates: that of the smallest doc_id, nulls last; of equal ids
     the one with the smaller hash of the row. Of wholly equal rows one stays."""

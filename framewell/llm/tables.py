@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,35 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Parameters of operators that name a column of the documents.
+ROLES = ("doc_id", "text", "lang", "source", "url")
+
+
+def shielded(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator on documents work under column names of its own, so that no column of the caller clashes with one
+    inside. Columns come back under their names; those that have the name of a column that the operator adds are replaced."""
+    form = inspect.signature(fn)
+
+    @functools.wraps(fn)
+    def run(documents: DataFrame, *args, **kwargs) -> DataFrame:
+        given = form.bind(documents, *args, **kwargs)
+        given.apply_defaults()
+        roles = {r: given.arguments[r] for r in ROLES if r in given.arguments}
+        inner = {c: f"u{i}_" for i, c in enumerate(documents.columns)}
+        outer = {n: c for c, n in inner.items()}
+        named = {c: inner[c] for c in roles.values()}
+        for k, (name, value) in enumerate(given.arguments.items()):
+            if k and isinstance(value, DataFrame):  # another table that shares the documents' id
+                given.arguments[name] = value.withColumnsRenamed(named)
+        given.arguments.update({r: named[c] for r, c in roles.items()})
+        given.arguments[next(iter(form.parameters))] = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+        found = fn(*given.args, **given.kwargs)
+        added = {c for c in found.columns if c not in outer}
+        return found.select(*[F.col(c).alias(outer.get(c, c)) for c in found.columns if outer.get(c) not in added])
+
+    return run
+
+
 #: A key is hot if it holds more than this part of the counted rows, so there are fewer hot keys than that.
 HOT_PARTS = 4096
 

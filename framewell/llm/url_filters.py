@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.tables import lower_ascii
+from framewell.llm.tables import lower_ascii, shielded
 
 #: Hexadecimal digits of the digest that the join compares first.
 PREFIX_DIGITS = 8
@@ -27,6 +27,7 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.encode(F.concat(host, path), "UTF-8"), 256)
 
 
+@shielded
 def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``urls`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
