@@ -34,6 +34,11 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return codes, scale, np.linalg.norm(unit - back, axis=1), np.linalg.norm(back, axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component is near one and no square leaves the doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs of rows of ``x`` and ``y`` with a cosine of at least ``threshold``; ``same``: one tile with
     itself, each pair once.
@@ -41,6 +46,7 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) ->
     For unit u = s·q + e and v = t·r + f the product u·v differs from s·t·(q·r) by at most |s·q||f| + |e|. Products of int8
     codes are sums below 2**24 up to 1 040 dimensions, which single precision holds exactly; longer vectors take double.
     """
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (q, s, e, n), (r, t, f, _) = quantised(x / nx[:, None]), quantised(y / ny[:, None])
     wide = np.float32 if x.shape[1] <= 1040 else np.float64

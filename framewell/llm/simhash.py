@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewell.llm.components import connected_components, spanning_links
-from framewell.llm.tables import LOWER, UPPER, shielded, stored
+from framewell.llm.tables import LOWER, UPPER, shielded, stored, with_groups
 
 SHINGLE = 3
 DISTANCE = 3
@@ -130,13 +130,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     returned each. Copies share a fingerprint and are one node of the link graph, however many they are.
     """
     prints = stored(with_fingerprints(documents.select(F.col(doc_id).alias("doc_id"), text), text), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = link_fingerprints(nodes.select("fp"))
     firsts = linked.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     labels = linked.join(firsts, "component").select("fp", "component_id")
-    known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    known = stored(known, "components")  # both sides of the next join are dealt anew, so that it can split a hot fingerprint
-    return prints.join(known, "fp", "left").select(
+    known = nodes.join(labels, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return with_groups(prints, stored(known, "components"), "fp", "n").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -61,3 +61,11 @@ def test_bounds_hold_and_no_pair_is_missed():
     assert (np.abs(u @ u.T - near) <= length[:, None] * error + error[:, None] + 1e-12).all()
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.93, 1)))}
     assert set(zip(*embeddings.linked_pairs(x, x, 0.93, True))) == want and want
+
+
+def test_very_large_and_very_small_vectors_link(spark):
+    base = [[1.0, 1.0], [1.0, 1.1], [1.0, -1.0]]
+    rows = [(10 * k + i, [x * size for x in v], k) for k, size in enumerate((1.0, 1e200, 1e-200, 1e-310)) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {10 * k + i: (1, 10 * k) if i < 2 else (0, 10 * k + 2) for k in range(4) for i in range(3)}
