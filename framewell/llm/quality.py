@@ -11,17 +11,21 @@ from framewell.llm.tables import WORD, shielded, stored, words
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Groups with fewer documents than this take the sketch merged over their language, then over all documents.
-MIN_GROUP = 200
-#: A document is odd beyond a quartile by more than this many quartile distances and more than the slack of the measure.
-FENCE = 3
-#: Measure: (SQL form over the statistics, slack above, slack below or None).
+#: A group's quantiles are blended with those of its parent (language, then all documents), which count as so many documents.
+PARENT_WEIGHT = 100
+#: A fence by spread lies so many times the distance from median to quartile beyond the quartile.
+FENCE = 6
+#: Measure: (SQL form over the statistics, how its fence is found, rate that is never odd). A measure that most documents have
+#: has a fence ``above`` or on ``both`` sides by spread. Of one that few documents have the quartiles are zero: its fence is the
+#: ``tail``, the quantile 0.995 of the group. Most texts have no symbol at all and the tail of many groups is junk, so symbols
+#: take the spread and a rate below which they are never odd.
 MEASURES = {
-    "symbols": ("1000 * n_symbols div greatest(n_words, 1L)", 200, None),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1L)", 500, None),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1L)", 300, None),
-    "word_length": ("100 * word_chars div greatest(n_words, 1L)", 200, 200),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1L)", "above", 200),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1L)", "tail", 0),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1L)", "tail", 0),
+    "word_length": ("100 * word_chars div greatest(n_words, 1L)", "both", 0),
 }
+QUANTILES = ["q250", "q500", "q750", "q995"]
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -102,20 +106,36 @@ def quantile_sketches(stats: DataFrame, groups: list[str], measures: dict[str, s
     return rows.groupBy(*groups, "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """``(*groups, measure, n, q25, q75)``: the bins of the first and third quartile by rank."""
+def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """``(*groups, measure, n, q250, q500, q750, q995)``: values by rank, the lower two as the lowest value of their bin, the
+    upper two as the highest."""
     keys = [*groups, "measure"]
     w = Window.partitionBy(*keys)
     ranked = sketches.withColumns(
-        {"_below": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)}
+        {
+            "_below": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)),
+            "_all": F.sum("n").over(w),
+            "_top": F.expr("bin + shiftleft(1L, greatest(length(bin(bin)) - 6, 0)) - 1"),
+        }
     )
+
+    def at(rank: int, value: str) -> Column:
+        return F.min(F.when(1000 * F.col("_below") >= rank * F.col("_all"), F.col(value))).alias(f"q{rank}")
+
     return ranked.groupBy(*keys).agg(
-        F.max("_all").alias("n"),
-        F.min(F.when(4 * F.col("_below") >= F.col("_all"), F.col("bin"))).alias("q25"),
-        F.min(F.when(4 * F.col("_below") >= 3 * F.col("_all"), F.col("bin"))).alias("q75"),
+        F.max("_all").alias("n"), at(250, "bin"), at(500, "bin"), at(750, "_top"), at(995, "_top")
     )
 
 
+def blended(child: str, parent: str) -> list[Column]:
+    """Quantiles of ``child`` drawn towards those of ``parent``, the less the more documents the child has."""
+    n = F.col(f"{child}.n")
+    return [
+        F.floor((n * F.col(f"{child}.{q}") + PARENT_WEIGHT * F.col(f"{parent}.{q}")) / (n + PARENT_WEIGHT)).alias(q)
+        for q in QUANTILES
+    ]
+
+
 def adaptive_thresholds(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per language and source, nulls being a group of their own, with ``hi_<measure>`` and ``lo_<measure>``."""
     passing = stats.filter(~F.col("base_failed"))
@@ -135,35 +155,31 @@ def adaptive_thresholds(stats: DataFrame, lang: str = "lang", source: str = "sou
         .groupBy("_g.level", "_g.lang", "_g.source", "measure", "bin")
         .agg(F.sum("n").alias("n"))
     )
-    found = quartiles(merged, ["level", "lang", "source"])
+    found = quantiles(merged, ["level", "lang", "source"])
     own = found.filter("level = 0").drop("level").alias("g0")
-    by_lang = found.filter("level = 1").alias("g1")
-    overall = found.filter("level = 2").alias("g2")
-    joined = own.join(
-        by_lang, (F.col("g0.measure") == F.col("g1.measure")) & F.col("g0.lang").eqNullSafe(F.col("g1.lang"))
-    ).join(overall, F.col("g0.measure") == F.col("g2.measure"))
-
-    def pick(q: str) -> Column:
-        return (
-            F.when(F.col("g0.n") >= MIN_GROUP, F.col(f"g0.{q}"))
-            .when(F.col("g1.n") >= MIN_GROUP, F.col(f"g1.{q}"))
-            .otherwise(F.col(f"g2.{q}"))
-        )
-
-    chosen = joined.select(
+    by_lang = (
+        found.filter("level = 1").alias("g1")
+        .join(found.filter("level = 2").alias("g2"), F.col("g1.measure") == F.col("g2.measure"))
+        .select("g1.lang", "g1.measure", *blended("g1", "g2"))
+        .alias("p")
+    )
+    chosen = own.join(
+        by_lang, (F.col("g0.measure") == F.col("p.measure")) & F.col("g0.lang").eqNullSafe(F.col("p.lang"))
+    ).select(
         F.col("g0.lang").alias("_lang"),
         F.col("g0.source").alias("_source"),
         F.col("g0.measure").alias("measure"),
-        pick("q25").alias("q25"),
-        pick("q75").alias("q75"),
+        *blended("g0", "p"),
     )
-    spread = FENCE * (F.col("q75") - F.col("q25"))
+    above = F.col("q750") + FENCE * (F.col("q750") - F.col("q500"))
     fences = []
-    for m, (_, above, below) in MEASURES.items():
+    for m, (_, kind, never) in MEASURES.items():
         here = F.col("measure") == m
-        fences.append(F.max(F.when(here, F.col("q75") + F.greatest(spread, F.lit(above)))).alias(f"hi_{m}"))
-        if below is not None:
-            fences.append(F.max(F.when(here, F.col("q25") - F.greatest(spread, F.lit(below)))).alias(f"lo_{m}"))
+        high = F.col("q995") if kind == "tail" else above + never
+        fences.append(F.max(F.when(here, high)).alias(f"hi_{m}"))
+        if kind == "both":
+            low = F.col("q250") - FENCE * (F.col("q500") - F.col("q250"))
+            fences.append(F.max(F.when(here, low)).alias(f"lo_{m}"))
     return chosen.groupBy("_lang", "_source").agg(*fences)
 
 
@@ -172,9 +188,9 @@ def judge_quality(documents: DataFrame, text: str = "text", lang: str = "lang",
     """``documents`` without the text, with the statistics, ``base_failed`` and ``kept``.
 
     A document is rejected by the base rules (too few words, too many words in repeated windows), or if one of its
-    measures lies beyond the fence of its language and source: the quartile plus the larger of three quartile distances
-    and the slack. The quartiles come from the sketches of all documents that pass the base rules. Null and empty texts
-    fail the base rules. A null language or source is a group of its own; repeated rows are judged and counted each.
+    measures lies beyond the fence of its language and source (see :data:`MEASURES`). The quantiles come from the sketches of all
+    documents that pass the base rules, each group's blended with its parent's by counts. Null and empty texts fail the base
+    rules. A null language or source is a group of its own; repeated rows are judged and counted each.
     """
     extra = [c for c in documents.columns if c not in (text, *STATISTICS, "n_lines", "base_failed", "kept")]
     stats = stored(
@@ -182,9 +198,9 @@ def judge_quality(documents: DataFrame, text: str = "text", lang: str = "lang",
     )
     limits = adaptive_thresholds(stats, lang, source)
     within = F.lit(True)
-    for m, (form, _, below) in MEASURES.items():
+    for m, (form, kind, _) in MEASURES.items():
         within = within & F.coalesce(F.expr(form) <= F.col(f"hi_{m}"), F.lit(True))
-        if below is not None:
+        if kind == "both":
             within = within & F.coalesce(F.expr(form) >= F.col(f"lo_{m}"), F.lit(True))
     return stats.join(
         limits,

@@ -99,26 +99,32 @@ levels AS (
   UNION ALL SELECT 1, lang, NULL, m, bin, count(*) FROM bins GROUP BY ALL
   UNION ALL SELECT 2, NULL, NULL, m, bin, count(*) FROM bins GROUP BY ALL),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bin) AS below,
+  SELECT *, bin + (1::BIGINT << greatest(length(bin(bin)) - 6, 0)::BIGINT) - 1 AS top,
+    sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bin) AS below,
     sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM levels),
-quart AS (
-  SELECT level, lang, source, m, max(total) AS n, min(bin) FILTER (4 * below >= total) AS q25,
-    min(bin) FILTER (4 * below >= 3 * total) AS q75
+quant AS (
+  SELECT level, lang, source, m, max(total)::BIGINT AS n, min(bin) FILTER (4 * below >= total) AS q250,
+    min(bin) FILTER (2 * below >= total) AS q500, min(top) FILTER (4 * below >= 3 * total) AS q750,
+    min(top) FILTER (1000 * below >= 995 * total) AS q995
   FROM ranked GROUP BY level, lang, source, m),
-picked AS (
-  SELECT a.lang, a.source, a.m,
-    CASE WHEN a.n >= 200 THEN a.q25 WHEN b.n >= 200 THEN b.q25 ELSE c.q25 END AS q25,
-    CASE WHEN a.n >= 200 THEN a.q75 WHEN b.n >= 200 THEN b.q75 ELSE c.q75 END AS q75
-  FROM quart a JOIN quart b ON a.m = b.m AND a.lang IS NOT DISTINCT FROM b.lang AND b.level = 1
-  JOIN quart c ON a.m = c.m AND c.level = 2 WHERE a.level = 0),
+by_lang AS (
+  SELECT b.lang, b.m, (b.n * b.q250 + 100 * c.q250) // (b.n + 100) AS q250,
+    (b.n * b.q500 + 100 * c.q500) // (b.n + 100) AS q500, (b.n * b.q750 + 100 * c.q750) // (b.n + 100) AS q750,
+    (b.n * b.q995 + 100 * c.q995) // (b.n + 100) AS q995
+  FROM quant b JOIN quant c ON b.m = c.m AND b.level = 1 AND c.level = 2),
+blended AS (
+  SELECT a.lang, a.source, a.m, (a.n * a.q250 + 100 * b.q250) // (a.n + 100) AS q250,
+    (a.n * a.q500 + 100 * b.q500) // (a.n + 100) AS q500, (a.n * a.q750 + 100 * b.q750) // (a.n + 100) AS q750,
+    (a.n * a.q995 + 100 * b.q995) // (a.n + 100) AS q995
+  FROM quant a JOIN by_lang b ON a.m = b.m AND a.lang IS NOT DISTINCT FROM b.lang AND a.level = 0),
 fences AS (
   SELECT lang, source,
-    max(q75 + greatest(3 * (q75 - q25), 200)) FILTER (m = 'symbols') AS hi_symbols,
-    max(q75 + greatest(3 * (q75 - q25), 500)) FILTER (m = 'dup_lines') AS hi_dup_lines,
-    max(q75 + greatest(3 * (q75 - q25), 300)) FILTER (m = 'repeats') AS hi_repeats,
-    max(q75 + greatest(3 * (q75 - q25), 200)) FILTER (m = 'word_length') AS hi_word_length,
-    max(q25 - greatest(3 * (q75 - q25), 200)) FILTER (m = 'word_length') AS lo_word_length
-  FROM picked GROUP BY lang, source)
+    max(q750 + 6 * (q750 - q500) + 200) FILTER (m = 'symbols') AS hi_symbols,
+    max(q995) FILTER (m = 'dup_lines') AS hi_dup_lines,
+    max(q995) FILTER (m = 'repeats') AS hi_repeats,
+    max(q750 + 6 * (q750 - q500)) FILTER (m = 'word_length') AS hi_word_length,
+    max(q250 - 6 * (q500 - q250)) FILTER (m = 'word_length') AS lo_word_length
+  FROM blended GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   CASE WHEN base_failed THEN false ELSE coalesce(1000 * n_symbols // n_words <= hi_symbols
     AND 1000 * n_dup_lines // greatest(n_lines, 1) <= hi_dup_lines

@@ -56,21 +56,28 @@ def quality(rows):
                 for g in ((0, lang, source), (1, lang, None), (2, None, None)):
                     groups[(*g, name)].append(v)
 
-    def quartile(values, k):
-        return sorted(values)[math.ceil(k * len(values) / 4) - 1]
+    ranks = (250, 500, 750, 995)
 
+    def quantiles(g):
+        values = sorted(groups[g])
+        low = [values[-(-k * len(values) // 1000) - 1] for k in ranks]
+        return len(values), [v + (1 << max(v.bit_length() - 6, 0)) - 1 if k > 500 else v for v, k in zip(low, ranks)]
+
+    def blend(n, own, parent):
+        return [(n * a + 100 * b) // (n + 100) for a, b in zip(own, parent)]
+
+    found = {g: quantiles(g) for g in groups}
     out = []
     for (_, _, lang, source), s, bad in zip(rows, stats, failed):
         kept = not bad
         for name, v in measures(s).items() if kept else ():
-            own = next(
-                g for g in (groups[(0, lang, source, name)], groups[(1, lang, None, name)], groups[(2, None, None, name)])
-                if len(g) >= 200 or g is groups[(2, None, None, name)]
-            )
-            low, high = quartile(own, 1), quartile(own, 3)
-            slack = {"dup_lines": 500, "repeats": 300}.get(name, 200)
-            kept &= v <= high + max(3 * (high - low), slack)
-            kept &= name != "word_length" or v >= low - max(3 * (high - low), slack)
+            up = blend(*found[(1, lang, None, name)], found[(2, None, None, name)][1])
+            q25, q50, q75, tail = blend(*found[(0, lang, source, name)], up)
+            if name in ("dup_lines", "repeats"):
+                kept &= v <= tail
+            else:
+                kept &= v <= q75 + 6 * (q75 - q50) + (200 if name == "symbols" else 0)
+            kept &= name != "word_length" or v >= q25 - 6 * (q50 - q25)
         out.append((s, bad, kept))
     return out
 

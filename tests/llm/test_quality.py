@@ -36,9 +36,42 @@ def test_sketches_merge_and_bound_the_error(spark):
     values = [int(rng.expovariate(1 / 900)) for _ in range(3000)]
     df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "v long, part int")
     parts = quality.quantile_sketches(df, ["part"], {"m": "v"})
-    whole = quality.quartiles(parts.groupBy("measure", "bin").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"), []).first()
-    direct = quality.quartiles(quality.quantile_sketches(df, [], {"m": "v"}), []).first()
+    whole = quality.quantiles(parts.groupBy("measure", "bin").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"), []).first()
+    direct = quality.quantiles(quality.quantile_sketches(df, [], {"m": "v"}), []).first()
     assert whole == direct
-    for q, k in (("q25", 750), ("q75", 2250)):
+    for q, k in (("q250", 750), ("q500", 1500), ("q750", 2250), ("q995", 2985)):
         true = sorted(values)[k - 1]
-        assert true - true / 32 <= whole[q] <= true
+        assert true - true / 32 <= whole[q] <= true + true / 32
+
+
+def prose(rng, n, length):
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=max(1, round(rng.gauss(length, 1))))) for _ in range(n))
+
+
+def test_every_measure_rejects_and_differs_between_groups(spark):
+    rng = random.Random(4)
+    rows = []
+    for source, length, busy in (("a", 5, 0.02), ("b", 8, 0.3)):
+        for _ in range(500):
+            lines = [prose(rng, 9, length) for _ in range(10)]
+            if rng.random() < busy:
+                lines[1] = lines[0]  # one line in ten again, nine words in the same window twice
+            if source == "b":
+                lines = [" ".join(w + "#" * (rng.random() < 0.3) for w in x.split(" ")) for x in lines]
+            rows.append((len(rows), "\n".join(lines), "en", source))
+    odd = {
+        "symbols": "\n".join(prose(rng, 9, 5) + " ##########" for _ in range(10)),
+        "dup_lines": "\n".join([x for x in (prose(rng, 7, 5) for _ in range(12)) for _ in range(2)]),
+        "repeats": "\n".join([prose(rng, 60, 5), "start " + (again := prose(rng, 12, 5)), "end " + again]),
+        "long words": prose(rng, 60, 14),
+        "short words": prose(rng, 60, 1),
+    }
+    ids = {name: len(rows) + k for k, name in enumerate(odd)}
+    rows += [(ids[name], text, "en", "a") for name, text in odd.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality.text_statistics(df).drop("text").withColumn("base_failed", quality.base_failed())
+    a, b = (r.asDict() for r in quality.adaptive_thresholds(stats).orderBy("_source").collect())
+    assert all(a[f] != b[f] for f in a if f.startswith(("hi_", "lo_")))
+    judged = {r.doc_id: r for r in quality.judge_quality(df).collect()}
+    assert all(not judged[i].base_failed and not judged[i].kept for i in ids.values())
+    assert sum(judged[i].kept for i in range(1000)) >= 960
