@@ -9,10 +9,11 @@ from framewell.llm.tables import shielded, stored, words
 
 #: Leading tokens that lead to a leaf of the tree, after the number of tokens.
 DEPTH = 3
-#: Documents in which a token must stand at a place of a leaf to be constant there, and a template to be dropped.
+#: Lines that a leaf must hold; documents in which a token must stand at a place of a leaf to be constant there, and in which a
+#: template must stand to be dropped.
 MIN_DOCS = 10
-#: Tokens of a line at least; shorter lines have no template.
-MIN_TOKENS = 3
+#: Lines of so many words on are passages: they recur if documents of two different texts hold them word by word.
+PASSAGE = 50
 #: Percent of a line's tokens that must be constant.
 CONSTANT_PERCENT = 60
 FIELD = "<*>"
@@ -29,32 +30,81 @@ def masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
 
 
-def leaves(keyed: DataFrame, text: str) -> DataFrame:
-    """``(_key, _check, line, leaf)`` of all lines with enough tokens. A leaf is named by the number of tokens and the
-    leading ones."""
+def leaves(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(_key, _check, doc_id, line, n, leaf, wild, same, twin, whole)`` of all lines with words.
+
+    A leaf is named by the number of tokens and the leading ones. ``wild`` has the leaves that a line falls into when one of
+    its leading tokens goes to the wildcard child of its node; lines of fewer tokens than :data:`DEPTH` have no leaf, only
+    their words. ``same`` and ``twin`` are hashes of the words with their digits, ``whole`` of the document's text.
+    """
     # outer, since a plain explode would also split each text in a test of its size; a null text has no words
-    lines = keyed.select("_key", "_check", F.posexplode_outer(F.split(text, "\n")).alias("line", "_text"))
-    tokens = lines.select("_key", "_check", "line", words(F.col("_text")).alias("_words"))
-    long = tokens.filter(F.size("_words") >= MIN_TOKENS)
-    return long.select(
-        "_key", "_check", "line", F.xxhash64(F.size("_words"), masked(F.slice("_words", 1, DEPTH))).alias("leaf")
+    lines = keyed.select(
+        "_key",
+        "_check",
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.col(text)).alias("whole"),
+        F.posexplode_outer(F.split(text, "\n")).alias("line", "_text"),
+    )
+    ids = ["_key", "_check", "doc_id", "line", "whole"]
+    split = lines.select(*ids, words(F.col("_text")).alias("_words")).filter(F.size("_words") > 0)
+    lead = split.withColumns({"n": F.size("_words"), "_lead": masked(F.slice("_words", 1, DEPTH))})
+    deep = F.col("n") >= DEPTH
+
+    def wild(place: int) -> Column:
+        return F.xxhash64("n", F.transform("_lead", lambda w, i: F.when(i == place, FIELD).otherwise(w)))
+
+    return lead.select(
+        *ids,
+        "n",
+        F.when(deep, F.xxhash64("n", "_lead")).alias("leaf"),
+        F.when(deep, F.array_distinct(F.array(*[wild(place) for place in range(DEPTH)]))).alias("wild"),
+        F.xxhash64("n", "_words").alias("same"),
+        F.xxhash64(F.lit("twin"), "_words").alias("twin"),
     )
 
 
-def busy_lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(_key, _check, doc_id, line, leaf, same, tokens)`` of the lines of leaves with at least :data:`MIN_DOCS` lines.
+def placed_lines(found: DataFrame) -> DataFrame:
+    """``(_key, _check, line, leaf)`` of the lines whose leaf holds at least :data:`MIN_DOCS` lines.
 
-    Leaves are found on hashes alone; only then do the numbers of the lines that matter meet the texts.
+    A line whose own leaf holds fewer has a leading token that few lines hold there. It goes to the first of its wildcard
+    leaves that is a leaf of other lines already or that so many of such lines share.
     """
-    placed = stored(leaves(keyed, text), "leaves")
-    busy = stored(
-        placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"), "busy"
+    deep = found.filter(F.col("leaf").isNotNull()).select("_key", "_check", "line", "leaf", "wild")
+    own = deep.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
+    busy = stored(own, "busy")
+    rare = stored(
+        deep.join(busy, "leaf", "left_anti").select("_key", "_check", "line", F.posexplode("wild").alias("way", "leaf")), "rare"
     )
-    wanted = (
-        placed.join(busy, "leaf")
-        .groupBy("_key", "_check")
-        .agg(F.array_sort(F.collect_set(F.struct("line", "leaf"))).alias("_wanted"))
+    shared = rare.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
+    nodes = stored(busy.union(shared).distinct(), "nodes")
+    first = F.min(F.struct("way", "leaf"))["leaf"].alias("leaf")
+    caught = rare.join(nodes, "leaf").groupBy("_key", "_check", "line").agg(first)
+    return deep.join(busy, "leaf").select("_key", "_check", "line", "leaf").unionByName(caught)
+
+
+def exact_lines(found: DataFrame) -> DataFrame:
+    """Lines whose words enough other lines have, digits included, as rows of :func:`line_templates`: the template of such a line
+    is the line itself, at any length."""
+    enough = (F.col("lines") >= MIN_DOCS) | ((F.col("n") >= PASSAGE) & (F.col("lines") > 1))
+    often = found.groupBy("same", "twin").agg(F.count("*").alias("lines"), F.min("n").alias("n")).filter(enough)
+    again = stored(often.select("same", "twin"), "exact_leaves")
+    return found.join(again, ["same", "twin"]).select(
+        "_key",
+        "_check",
+        "doc_id",
+        "line",
+        F.col("same").alias("leaf"),
+        F.concat(F.lit("="), F.col("twin").cast("string")).alias("template"),
+        F.when(F.col("n") >= PASSAGE, F.col("whole")).alias("whole"),
     )
+
+
+def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(_key, _check, doc_id, line, leaf, same, tokens)`` of the ``placed`` lines.
+
+    Leaves are found on hashes alone; only then do the numbers of the lines that matter meet the texts.
+    """
+    wanted = placed.groupBy("_key", "_check").agg(F.array_sort(F.collect_set(F.struct("line", "leaf"))).alias("_wanted"))
     found = keyed.select("_key", "_check", F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(
         wanted, ["_key", "_check"]
     )
@@ -68,14 +118,16 @@ def busy_lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(_key, _check, doc_id, line, leaf, template)`` of the lines that fit a template with enough constant tokens.
+    """``(_key, _check, doc_id, line, leaf, template, whole)`` of the lines that fit a template with enough constant tokens, and
+    of those that recur word by word; a line may be in both. ``whole`` tells the texts of passages apart.
 
     Below a leaf, a token is constant at its place if it stands there in at least :data:`MIN_DOCS` documents, else the
     place is a field. Only lines of leaves with that many lines can hold such a token; all others end with the hashes.
     Equal lines are counted before their tokens are laid out, so a line that very many documents share is one row from
     there on.
     """
-    near = busy_lines(keyed, doc_id, text)
+    found = stored(leaves(keyed, doc_id, text), "leaves")
+    near = busy_lines(keyed, placed_lines(found), doc_id, text)
     seen = near.select("leaf", "same", "_key", "_check").distinct().groupBy("leaf", "same").agg(F.count("*").alias("docs"))
     forms = near.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens"))
     placed = forms.join(seen, ["leaf", "same"]).select(
@@ -97,19 +149,22 @@ def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
         .select("leaf", "same", F.array_join("_tokens", " ").alias("template"))
     )
     templates = stored(templates, "templates")
-    return near.join(templates, ["leaf", "same"]).select("_key", "_check", "doc_id", "line", "leaf", "template")
+    ids = ["_key", "_check", "doc_id", "line", "leaf", "template"]
+    fitting = near.join(templates, ["leaf", "same"]).select(*ids, F.lit(None).cast("long").alias("whole"))
+    return fitting.unionByName(exact_lines(found))
 
 
 def repeated_lines(templated: DataFrame) -> DataFrame:
-    """``(_key, _check, lines)``: the line numbers to drop. Of each template that at least :data:`MIN_DOCS` documents hold,
-    the first line of the smallest doc_id stays (nulls last, of equal ids the smaller row hash)."""
+    """``(_key, _check, lines)``: the line numbers to drop. Of each template that at least :data:`MIN_DOCS` documents hold, and of
+    each passage in two different texts, the first line of the smallest doc_id stays (nulls last, of equal ids the smaller row
+    hash). The first line of a template is also the first of its copies, so one always stays."""
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_key", "_check", "line")
-    by_document = templated.groupBy("leaf", "template", "_key", "_check").agg(F.min(first).alias("first"))
+    by_document = templated.groupBy("leaf", "template", "_key", "_check").agg(F.min(first).alias("first"), F.max("whole").alias("whole"))
     recurring = stored(  # both sides of the join below are dealt anew, so that it can split a hot template
         by_document.groupBy("leaf", "template")
-        .agg(F.count("*").alias("docs"), F.min("first").alias("first"))
-        .filter(F.col("docs") >= MIN_DOCS)
-        .drop("docs"),
+        .agg(F.count("*").alias("docs"), F.min("first").alias("first"), (F.min("whole") < F.max("whole")).alias("texts"))
+        .filter((F.col("docs") >= MIN_DOCS) | F.col("texts"))
+        .select("leaf", "template", "first"),
         "recurring",
     )
     dropped = templated.join(recurring, ["leaf", "template"]).filter(first > F.col("first"))
@@ -120,9 +175,11 @@ def repeated_lines(templated: DataFrame) -> DataFrame:
 def drop_template_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with ``text`` less the lines whose template recurs, and ``n_lines, n_dropped``.
 
-    A line is the text between line feeds. Lines of fewer than :data:`MIN_TOKENS` tokens stay, as do blank ones. Documents
-    keep their rows, even if no line is left. A null text stays null and has no lines. Wholly equal rows count as one
-    document and lose the same lines, so the first of them stays whole in each. Columns with the added names are replaced.
+    A line is the text between line feeds. Blank lines stay. A line of fewer than :data:`DEPTH` tokens or of constant digits recurs
+    word by word, in :data:`MIN_DOCS` documents as any other; a passage (:data:`PASSAGE` words) in two documents whose texts differ,
+    so copies of one document are left to the dedup of documents. Documents keep their rows, even if no line is left. A null
+    text stays null and has no lines. Wholly equal rows count as one document and lose the same lines, so the first of them
+    stays whole in each. Columns with the added names are replaced.
     """
     keyed = documents.withColumns(row_keys(documents))
     dropped = stored(repeated_lines(line_templates(keyed, doc_id, text)), "dropped_lines")

@@ -17,7 +17,7 @@ PARENT_WEIGHT = 100
 FENCE = 6
 #: Measure: (SQL form over the statistics, how its fence is found, rate that is never odd). A measure that most documents have
 #: has a fence ``above`` or on ``both`` sides by spread. Of one that few documents have the quartiles are zero: its fence is the
-#: ``tail``, the quantile 0.995 of the group. Most texts have no symbol at all and the tail of many groups is junk, so symbols
+#: ``tail``, the quantile 0.998 of the group. Most texts have no symbol at all and the tail of many groups is junk, so symbols
 #: take the spread and a rate below which they are never odd.
 MEASURES = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1L)", "above", 200),
@@ -25,7 +25,7 @@ MEASURES = {
     "repeats": ("1000 * n_repeat_words div greatest(n_words, 1L)", "tail", 0),
     "word_length": ("100 * word_chars div greatest(n_words, 1L)", "both", 0),
 }
-QUANTILES = ["q250", "q500", "q750", "q995"]
+QUANTILES = ["q250", "q500", "q750", "q998"]
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -107,7 +107,7 @@ def quantile_sketches(stats: DataFrame, groups: list[str], measures: dict[str, s
 
 
 def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """``(*groups, measure, n, q250, q500, q750, q995)``: values by rank, the lower two as the lowest value of their bin, the
+    """``(*groups, measure, n, q250, q500, q750, q998)``: values by rank, the lower two as the lowest value of their bin, the
     upper two as the highest."""
     keys = [*groups, "measure"]
     w = Window.partitionBy(*keys)
@@ -123,7 +123,7 @@ def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
         return F.min(F.when(1000 * F.col("_below") >= rank * F.col("_all"), F.col(value))).alias(f"q{rank}")
 
     return ranked.groupBy(*keys).agg(
-        F.max("_all").alias("n"), at(250, "bin"), at(500, "bin"), at(750, "_top"), at(995, "_top")
+        F.max("_all").alias("n"), at(250, "bin"), at(500, "bin"), at(750, "_top"), at(998, "_top")
     )
 
 
@@ -175,7 +175,7 @@ def adaptive_thresholds(stats: DataFrame, lang: str = "lang", source: str = "sou
     fences = []
     for m, (_, kind, never) in MEASURES.items():
         here = F.col("measure") == m
-        high = F.col("q995") if kind == "tail" else above + never
+        high = F.col("q998") if kind == "tail" else above + never
         fences.append(F.max(F.when(here, high)).alias(f"hi_{m}"))
         if kind == "both":
             low = F.col("q250") - FENCE * (F.col("q500") - F.col("q250"))

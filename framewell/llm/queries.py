@@ -105,23 +105,23 @@ ranked AS (
 quant AS (
   SELECT level, lang, source, m, max(total)::BIGINT AS n, min(bin) FILTER (4 * below >= total) AS q250,
     min(bin) FILTER (2 * below >= total) AS q500, min(top) FILTER (4 * below >= 3 * total) AS q750,
-    min(top) FILTER (1000 * below >= 995 * total) AS q995
+    min(top) FILTER (1000 * below >= 998 * total) AS q998
   FROM ranked GROUP BY level, lang, source, m),
 by_lang AS (
   SELECT b.lang, b.m, (b.n * b.q250 + 100 * c.q250) // (b.n + 100) AS q250,
     (b.n * b.q500 + 100 * c.q500) // (b.n + 100) AS q500, (b.n * b.q750 + 100 * c.q750) // (b.n + 100) AS q750,
-    (b.n * b.q995 + 100 * c.q995) // (b.n + 100) AS q995
+    (b.n * b.q998 + 100 * c.q998) // (b.n + 100) AS q998
   FROM quant b JOIN quant c ON b.m = c.m AND b.level = 1 AND c.level = 2),
 blended AS (
   SELECT a.lang, a.source, a.m, (a.n * a.q250 + 100 * b.q250) // (a.n + 100) AS q250,
     (a.n * a.q500 + 100 * b.q500) // (a.n + 100) AS q500, (a.n * a.q750 + 100 * b.q750) // (a.n + 100) AS q750,
-    (a.n * a.q995 + 100 * b.q995) // (a.n + 100) AS q995
+    (a.n * a.q998 + 100 * b.q998) // (a.n + 100) AS q998
   FROM quant a JOIN by_lang b ON a.m = b.m AND a.lang IS NOT DISTINCT FROM b.lang AND a.level = 0),
 fences AS (
   SELECT lang, source,
     max(q750 + 6 * (q750 - q500) + 200) FILTER (m = 'symbols') AS hi_symbols,
-    max(q995) FILTER (m = 'dup_lines') AS hi_dup_lines,
-    max(q995) FILTER (m = 'repeats') AS hi_repeats,
+    max(q998) FILTER (m = 'dup_lines') AS hi_dup_lines,
+    max(q998) FILTER (m = 'repeats') AS hi_repeats,
     max(q750 + 6 * (q750 - q500)) FILTER (m = 'word_length') AS hi_word_length,
     max(q250 - 6 * (q500 - q250)) FILTER (m = 'word_length') AS lo_word_length
   FROM blended GROUP BY lang, source)
@@ -184,13 +184,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = r"""
 WITH l AS (
-  SELECT doc_id, line, regexp_extract_all(part, '[^\x20\x09-\x0D]+') AS w
-  FROM (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS part
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+  SELECT doc_id, line, whole, regexp_extract_all(part, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, whole, unnest(range(len(p))) AS line, unnest(p) AS part
+    FROM (SELECT doc_id, md5(text) AS whole, string_split(text, chr(10)) AS p FROM documents))),
 m AS (
   SELECT doc_id, line, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM l WHERE len(w) >= 3),
-k AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS same FROM m),
+named AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS same FROM m),
+own AS (SELECT leaf FROM named GROUP BY leaf HAVING count(*) >= 10),
+rare AS (
+  SELECT doc_id, line, t, same, unnest([1, 2, 3]) AS way, len(t) || unnest([
+    ' <*> ' || t[2] || ' ' || t[3], ' ' || t[1] || ' <*> ' || t[3], ' ' || t[1] || ' ' || t[2] || ' <*>']) AS leaf
+  FROM named WHERE leaf NOT IN (FROM own)),
+nodes AS (
+  FROM own UNION SELECT leaf FROM (SELECT DISTINCT doc_id, line, leaf FROM rare) GROUP BY leaf HAVING count(*) >= 10),
+k AS (
+  SELECT doc_id, line, t, leaf, same FROM named WHERE leaf IN (FROM own)
+  UNION ALL SELECT doc_id, line, any_value(t), min_by(leaf, way), any_value(same)
+  FROM rare WHERE leaf IN (FROM nodes) GROUP BY doc_id, line),
 seen AS (SELECT leaf, same, count(DISTINCT doc_id) AS docs, any_value(t) AS t FROM k GROUP BY leaf, same),
 placed AS (SELECT leaf, same, docs, unnest(range(len(t))) AS place, unnest(t) AS token FROM seen),
 fixed AS (
@@ -206,8 +217,14 @@ templated AS (
 recurring AS (
   SELECT leaf, template, min(struct_pack(d := doc_id, l := line)) AS first
   FROM templated GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
+exact AS (
+  SELECT array_to_string(w, ' ') AS line_text, min(struct_pack(d := doc_id, l := line)) AS first
+  FROM l WHERE len(w) > 0 GROUP BY 1
+  HAVING count(DISTINCT doc_id) >= 10 OR (any_value(len(w)) >= 50 AND count(DISTINCT whole) >= 2)),
 dropped AS (
   SELECT doc_id, line FROM templated t JOIN recurring r ON t.leaf = r.leaf AND t.template = r.template
+  WHERE struct_pack(d := doc_id, l := line) > first
+  UNION SELECT doc_id, line FROM l JOIN exact ON array_to_string(w, ' ') = line_text
   WHERE struct_pack(d := doc_id, l := line) > first),
 kept AS (
   SELECT l.doc_id, string_agg(l.part, chr(10) ORDER BY l.line) FILTER (d.line IS NULL) AS text,

@@ -56,7 +56,7 @@ def quality(rows):
                 for g in ((0, lang, source), (1, lang, None), (2, None, None)):
                     groups[(*g, name)].append(v)
 
-    ranks = (250, 500, 750, 995)
+    ranks = (250, 500, 750, 998)
 
     def quantiles(g):
         values = sorted(groups[g])
@@ -84,31 +84,46 @@ def quality(rows):
 
 def drop_lines(rows):
     """``rows`` of (doc_id, text): (text, n_lines, n_dropped) in order; doc_ids are distinct or their rows equal."""
-    lines, holders = [], defaultdict(set)
+    lines, holders, leaf_lines, exact = [], defaultdict(set), Counter(), defaultdict(list)
     for i, (d, text) in enumerate(rows):
         for k, line in enumerate((text or "").split("\n") if text is not None else ()):
-            words = WORDS.findall(line)
+            words = tuple(WORDS.findall(line))
+            if words:
+                exact[words].append((d is None, d or 0, k, i))
             if len(words) >= 3:
                 masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
                 lines.append((i, d, k, masked))
                 holders[masked].add((d, text))
+                leaf_lines[len(masked), masked[:3]] += 1
+
+    def ways(masked):
+        return [(len(masked), tuple("<*>" if i == p else w for i, w in enumerate(masked[:3]))) for p in range(3)]
+
+    busy = {leaf for leaf, n in leaf_lines.items() if n >= 10}
+    rare = Counter(w for *_, m in lines if (len(m), m[:3]) not in busy for w in set(ways(m)))
+    nodes = busy | {leaf for leaf, n in rare.items() if n >= 10}
+    leaf_of = {}
+    for masked in holders:
+        own = len(masked), masked[:3]
+        leaf_of[masked] = own if own in busy else next((w for w in ways(masked) if w in nodes), None)
     support = Counter()
     for masked, docs in holders.items():
         for p, w in enumerate(masked):
-            support[(len(masked), masked[:3], p, w)] += len(docs)
+            support[(leaf_of[masked], p, w)] += len(docs)
     forms = {}
     for masked in holders:
-        leaf = len(masked), masked[:3]
-        form = tuple(w if w != "<*>" and support[(*leaf, p, w)] >= 10 else "<*>" for p, w in enumerate(masked))
-        if 100 * sum(w != "<*>" for w in form) >= 60 * len(form):
+        leaf = leaf_of[masked]
+        form = tuple(w if w != "<*>" and support[(leaf, p, w)] >= 10 else "<*>" for p, w in enumerate(masked))
+        if leaf and 100 * sum(w != "<*>" for w in form) >= 60 * len(form):
             forms[masked] = leaf, form
     found = defaultdict(list)
     for i, d, k, masked in lines:
         if masked in forms:
             found[forms[masked]].append((d is None, d or 0, k, i))
     gone = defaultdict(set)
-    for places in found.values():
-        if len({rows[i] for *_, i in places}) >= 10:
+    passages = {id(p) for words, p in exact.items() if len(words) >= 50 and len({rows[i][1] for *_, i in p}) > 1}
+    for places in [*found.values(), *exact.values()]:
+        if len({rows[i] for *_, i in places}) >= 10 or id(places) in passages:
             first = min(places)[:3]
             for *place, i in places:
                 if tuple(place) != first:
