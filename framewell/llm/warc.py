@@ -23,6 +23,8 @@ from framewell.session import scratch_path
 REVISIT_BYTES = 100
 #: Lines of an index block.
 BLOCK_LINES = 1000
+#: Captures that a task looks up, and bytes of archives that a task reads back.
+LOOKUPS, READ_BYTES = 200_000, 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 _FOOTER = "<QQ"
 _LOW = -(1 << 63)
@@ -96,8 +98,11 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         .filter("n > 1")
         .drop("n")
     )
-    first = F.when(F.col("size") >= REVISIT_BYTES, F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
+    # small payloads have no response to refer to; a key of their own spreads them, though many share a digest
+    own = F.concat("digest", F.lit(" "), F.xxhash64("page_id", "url").cast("string"))
+    keyed = rows.withColumn("_key", F.when(F.col("size") >= REVISIT_BYTES, F.col("digest")).otherwise(own))
+    first = F.col("first")
+    return keyed.join(firsts.withColumnRenamed("digest", "_key"), "_key", "left").select(
         *rows.columns, F.when(~F.col("page_id").eqNullSafe(first), first).alias("refers_to")
     )
 
@@ -217,14 +222,15 @@ class CaptureIndex:
         return found
 
 
-def look_up(folder: str, shards: DataFrame, queries: DataFrame) -> DataFrame:
+def look_up(folder: str, shards: DataFrame, queries: DataFrame, parts: int) -> DataFrame:
     """Captures of the distinct ``queries(key, page_id)`` by the index: ``(page_id, file, at, length)``.
 
     The list of shards, one row for each range of keys that :func:`write_index` dealt, goes to all tasks. Queries come in
-    key order, so a task reads each of its blocks once.
+    key order, so a task reads each of its blocks once. They are dealt to ``parts`` tasks, since their few bytes do not tell the
+    work.
     """
     top = sorted((r.key, r.page_id, r.shard) for r in shards.collect())
-    ordered = queries.distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = queries.distinct().repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(folder, top)
@@ -238,10 +244,10 @@ def look_up(folder: str, shards: DataFrame, queries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "page_id long, file string, at long, length long")
 
 
-def read_records(folder: str, captures: DataFrame) -> DataFrame:
+def read_records(folder: str, captures: DataFrame, parts: int) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` read by range from the archives, in file
-    order. Size and digest of a response are those of the payload read, of a revisit those it states."""
-    ordered = captures.repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    order by ``parts`` tasks. Size and digest of a response are those of the payload read, of a revisit those it states."""
+    ordered = captures.repartitionByRange(parts, "file", "at").sortWithinPartitions("file", "at")
 
     def number(urn: str | None) -> int | None:
         digits = (urn or "")[len("<urn:page:") : -1]
@@ -284,4 +290,7 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
     captures = stored(write_archives(with_revisits(pages, page_id, url, html), folder), "captures")
     shards = write_index(captures, folder)
     queries = pages.select(surt(F.col(url)).alias("key"), F.col(page_id).cast("long").alias("page_id"))
-    return read_records(folder, look_up(folder, shards, queries))
+    lines, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    least = pages.sparkSession.sparkContext.defaultParallelism
+    found = stored(look_up(folder, shards, queries, max(least, lines // LOOKUPS)), "found")
+    return read_records(folder, found, max(least, size // READ_BYTES))

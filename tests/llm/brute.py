@@ -159,6 +159,27 @@ def close_groups(prints):
     return {p: root(p) for p in prints}
 
 
+def nearest_rates(tokens, p, shares, ridge=1e-6):
+    """Rates nearest to one that leave the least squared gaps: the zero set is settled by trial, one document set at a time."""
+    base = tokens @ p
+    some = base > 0
+    base, p = base[some], p[:, some]
+    target, above = shares[some] * base, np.ones(len(tokens), bool)
+    if not some.any():
+        return np.ones(len(tokens))
+    for _ in range(10_000):
+        t = tokens * above
+        curve = (p * t[:, None]).T @ p + ridge * np.diag(base)
+        pull = np.linalg.solve(curve, p.T @ t - target)
+        r = 1 - p @ pull
+        if ((r > 0) == above).all():
+            break
+        above = r > 0
+    else:
+        raise AssertionError("not settled")
+    return np.maximum(0, r)
+
+
 def mixture(rows, labels, shares=(1.0, 0.25, 0.25)):
     """``rows`` of (doc_id, text), ``labels`` of (doc_id, quality, toxic): (n_tokens, parts, rate, copies) in order."""
     domain = {}
@@ -206,13 +227,7 @@ def mixture(rows, labels, shares=(1.0, 0.25, 0.25)):
         q[e.index(max(e))] += 100 - sum(q)
         parts.append(q)
     tokens, p = np.array([n for n, _ in docs], float), np.array(parts) / 100
-    base, r = tokens @ p, np.ones(len(rows))
-    safe = np.where(base > 0, base, 1)
-    for _ in range(100):
-        gaps = ((tokens * r) @ p - np.array(shares) * base) / safe
-        if np.abs(gaps).max() < 1e-5:
-            break
-        r = np.maximum(0, r - p @ gaps)
+    r = nearest_rates(tokens, p, np.array(shares))
     out = []
     for (d, _), (n, _), q, rate in zip(rows, docs, parts, r):
         luck = hash64("draw", *([] if d is None else [d])) % (1 << 20) / (1 << 20)

@@ -1,4 +1,5 @@
 import brute
+import numpy as np
 import pytest
 
 from framewell.llm import mixing
@@ -50,3 +51,49 @@ def test_empty_tables_and_no_labels(spark):
     assert [r.copies >= 0 for r in mixing.mixture_rates(df, none).collect()] == [True, True]
     assert mixing.mixture_rates(df.limit(0), none).count() == 0
     assert mixing.mix(df.limit(0), none).count() == 0
+
+
+def stationary(cells, shares, pull):
+    """Largest violation of the conditions of a least-squares answer over rates of at least zero."""
+    p, tokens = np.array([q for q, _ in cells]) / 100, np.array([n for _, n in cells], float)
+    base = tokens @ p
+    rates = np.maximum(0, 1 - p @ np.array(pull))
+    gaps = ((tokens * rates) @ p - np.array(shares) * base) / np.where(base > 0, base, 1)
+    slope = p @ gaps
+    return rates, gaps, np.abs(np.where(rates > 0, slope, np.minimum(slope, 0))).max()
+
+
+@pytest.mark.parametrize(
+    ("cells", "met"),
+    [
+        ([((100, 0, 0), 1000), ((97, 3, 0), 100), ((5, 0, 95), 50)], True),
+        ([((43, 57, 0), 70), ((57, 43, 0), 90)], False),
+        ([((43, 57, 0), 70), ((57, 43, 0), 90), ((0, 0, 100), 0)], False),
+        ([((99, 1, 0), 10**12), ((1, 99, 0), 3), ((0, 1, 99), 10**7)], False),
+        ([((100, 0, 0), 0)], True),
+    ],
+)
+def test_steps_end_at_a_least_squares_answer(spark, cells, met):
+    shares = list(mixing.SHARES.values())
+    df = spark.createDataFrame([(list(q), n) for q, n in cells], "q array<int>, n_tokens long")
+    pull, told = mixing.fit_rates(df, shares)
+    rates, gaps, violation = stationary(cells, shares, pull)
+    assert violation < 1e-5 and told == pytest.approx(list(gaps), abs=1e-9)
+    assert (np.abs(gaps).max() < 1e-4) == met
+    rng = np.random.default_rng(1)
+    p, tokens = np.array([q for q, _ in cells]) / 100, np.array([n for _, n in cells], float)
+    base = tokens @ p
+
+    def loss(r):
+        return (((tokens * r) @ p - np.array(shares) * base) ** 2 / np.where(base > 0, base, 1)).sum()
+
+    for _ in range(200):  # no other rates do better
+        other = np.maximum(0, rates + rng.normal(size=len(rates)) * rng.choice([1e-3, 0.1, 1]))
+        assert loss(rates) <= loss(other) + 1e-5 * base.sum()
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    docs = spark.createDataFrame([(i, "plain words of a text") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="target of domain low not met"):
+        mixing.mixture_rates(docs, labels).collect()

@@ -33,7 +33,7 @@ def test_index_finds_captures_over_block_and_shard_borders(spark):
     df = spark.createDataFrame(rows, "key string, page_id long, file string, at long, length long").repartition(6)
     folder = scratch_path(spark, "index-test")
     shards = warc.write_index(df, folder, block_lines=4)
-    found = warc.look_up(folder, shards, df.select("key", "page_id")).collect()
+    found = warc.look_up(folder, shards, df.select("key", "page_id"), 3).collect()
     assert sorted(r.file for r in found) == sorted(r[2] for r in rows)
     index = warc.CaptureIndex(folder, sorted((r.key, r.page_id, r.shard) for r in shards.collect()))
     assert index.find("org,h9)/", 3) == [] and index.find("a", None) == [] and index.find("zzz", 5) == []
