@@ -114,7 +114,7 @@ def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str) -> D
     )
     rows = parts.select("_key", "_check", "doc_id", F.explode_outer(chosen).alias("_l"))
     tokens = rows.select("_key", "_check", "doc_id", "_l.line", "_l.leaf", masked(words(F.col("_l.text"))).alias("tokens"))
-    return stored(tokens.withColumn("same", F.sha2(F.array_join("tokens", " "), 256)), "lines")
+    return stored(tokens.withColumn("same", F.unhex(F.substring(F.sha2(F.array_join("tokens", " "), 256), 1, 32))), "lines")
 
 
 def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -130,7 +130,7 @@ def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     near = busy_lines(keyed, placed_lines(found), doc_id, text)
     seen = near.select("leaf", "same", "_key", "_check").distinct().groupBy("leaf", "same").agg(F.count("*").alias("docs"))
     forms = near.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens"))
-    placed = forms.join(seen, ["leaf", "same"]).select(
+    placed = stored(forms.join(seen, ["leaf", "same"]), "forms").select(
         "leaf", "same", "docs", F.posexplode("tokens").alias("place", "token")
     )
     constant = (
@@ -182,7 +182,8 @@ def drop_template_lines(documents: DataFrame, doc_id: str = "doc_id", text: str
     stays whole in each. Columns with the added names are replaced.
     """
     keyed = documents.withColumns(row_keys(documents))
-    dropped = stored(repeated_lines(line_templates(keyed, doc_id, text)), "dropped_lines")
+    templated = stored(line_templates(keyed, doc_id, text), "templated")
+    dropped = stored(repeated_lines(templated), "dropped_lines")
     parts = F.split(F.col(text), "\n")
     found = keyed.join(dropped, ["_key", "_check"], "left").withColumn("_parts", F.when(F.col("lines").isNotNull(), parts))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("lines"))
