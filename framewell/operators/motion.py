@@ -6,20 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from framewell.functions.boxes import DETECT_HEIGHT, DETECT_WIDTH, idiv, let
 from framewell.operators.geometry import MIN_MOTION_AREA, boxes_pixels_to_pct, clip_zones, explode_zones
 from framewell.operators.geometry import prune_nested_zones, zones_to_pixels
 from framewell.operators.kernels import DIFF_THRESHOLD, ZoneDetector, contour_boxes, crop, merge_rects, rescale
 from framewell.ordered import ordered
-from framewell.sequential import in_order
+from framewell.sequential import Step, in_order
 
 # Divisor of the picture area per named sensitivity, and the zone number of a whole picture.
 SENSITIVITY_LEVELS = {"high": 1000, "normal": 200, "low": 30}
 WHOLE_PICTURE = -1
+#: Zones up to which their table is broadcast and numbered, and the column of the number.
+FEW_STREAMS = 65_536
+STREAM = "_stream"
+#: Pictures that a task unpacks, and masks that it holds, at a time.
+MOST_PICTURES = 100
 RESULT_SCHEMA = "motion ARRAY<STRUCT<zone_id: INT, boxs: ARRAY<ARRAY<INT>>>>"
 BOX_SCHEMA = "token STRING, zone_id INT, frame_no BIGINT, x INT, y INT, w INT, h INT"
 
@@ -127,7 +135,8 @@ def motion_mask(df: DataFrame, width: int, height: int, fg: str = "fg_mask", dif
 def background_mask(df: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Changed-foreground masks per (token, zone_id) in frame order; the frame that starts a model gives none.
 
-    Needs token, zone_id, frame_no, x, y, w, h, width, height and luma, all of the zone's own region.
+    Needs token, zone_id, frame_no, x, y, w, h, width, height and luma, all of the zone's own region. ``changed_pixels``
+    counts the pixels of a mask that are set.
     """
 
     def step(pdf: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
@@ -135,15 +144,30 @@ def background_mask(df: DataFrame, block_rows: int | None = None) -> DataFrame:
         for r in pdf.itertuples(index=False):
             mask = _zone_mask(zone, r)
             if mask is not None:
-                out.append((r.token, r.zone_id, r.frame_no, (mask * np.uint8(255)).tobytes()))
-        return pd.DataFrame(out, columns=["token", "zone_id", "frame_no", "mask"]), zone.dump()
+                out.append((r.token, r.zone_id, r.frame_no, (mask * np.uint8(255)).tobytes(), np.count_nonzero(mask)))
+        return pd.DataFrame(out, columns=["token", "zone_id", "frame_no", "mask", "changed_pixels"]), zone.dump()
 
-    schema = "token STRING, zone_id INT, frame_no BIGINT, mask BINARY"
-    return in_order(df, ["token", "zone_id"], ["frame_no"], step, schema)
+    schema = "token STRING, zone_id INT, frame_no BIGINT, mask BINARY, changed_pixels BIGINT"
+    return _by_zone(df, step, schema)
+
+
+def _by_zone(regions: DataFrame, step: Step, schema: str) -> DataFrame:
+    deal = STREAM if STREAM in regions.columns else None
+    return in_order(regions, ["token", "zone_id"], ["frame_no"], step, schema, deal=deal, most=MOST_PICTURES)
+
+
+def _packed(data: bytes) -> bytes:
+    """A picture for the shuffle: LZ4 where that is shorter, so shorter than the picture's size means packed."""
+    short = pa.compress(data, "lz4_raw", asbytes=True)
+    return short if len(short) < len(data) else data
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return data if len(data) >= size else pa.decompress(data, size, "lz4_raw", asbytes=True)
 
 
 def _zone_mask(zone: ZoneDetector, r) -> np.ndarray | None:
-    roi = _picture(r.luma, r.width, r.height)
+    roi = _picture(_unpacked(r.luma, r.width * r.height), r.width, r.height)
     return zone.masks(roi, (r.x, r.y, r.w, r.h), r.token, int(r.zone_id), int(r.frame_no))
 
 
@@ -185,13 +209,52 @@ def watched_zones(config: DataFrame) -> DataFrame:
 
 
 def _watch(frames: DataFrame, watched: DataFrame) -> DataFrame:
-    zones = watched.withColumnRenamed("token", "_t")
-    return frames.join(zones, frames["token"] == zones["_t"]).drop("_t")
-
-
-def zone_regions(frames: DataFrame, watched: DataFrame) -> DataFrame:
-    """One row per frame and watched zone with the zone's part of the 640x360 picture; at most three per frame."""
-    return crop_zone(_watch(rescale_luma(frames), watched))
+    """Frames with the list ``_zones`` of their camera's zones. The table of zones is counted first: up to :data:`FEW_STREAMS`
+    it is broadcast, so that no picture moves for it, and its zones are numbered, the largest first, to be dealt evenly."""
+    few = watched.limit(FEW_STREAMS + 1).count() <= FEW_STREAMS
+    if few:
+        size = F.max(F.col("w") * F.col("h")).over(Window.partitionBy("token", "zone_id"))
+        place = F.dense_rank().over(Window.orderBy(F.desc("_size"), "token", "zone_id"))
+        numbered = watched.withColumn("_size", size).withColumn(STREAM, place)
+    else:
+        numbered = watched.withColumn(STREAM, F.hash("token", "zone_id"))
+    parts = F.struct("sensitivity", "zone_id", *"xywh", STREAM)
+    zones = numbered.groupBy(F.col("token").alias("_t")).agg(F.collect_list(parts).alias("_zones"))
+    return frames.join(F.broadcast(zones) if few else zones, frames["token"] == F.col("_t")).drop("_t")
+
+
+def zone_regions(frames: DataFrame, watched: DataFrame, packed: bool = False) -> DataFrame:
+    """One row per frame and watched zone with the zone's part of the 640x360 picture; at most three per frame.
+
+    Pictures are resized and cut in one pass. ``packed`` compresses the parts, which all steps on regions here can read.
+    """
+    watching = _watch(frames, watched)
+    kinds = watching.schema["_zones"].dataType.elementType
+    schema = StructType([f for f in watching.schema if f.name != "_zones"] + list(kinds))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            frame, zones = pc.list_parent_indices(rows["_zones"]), rows["_zones"].flatten()
+            rects = [zones.field(c).to_numpy() for c in "xywh"]
+            sizes = rows["width"].to_numpy(), rows["height"].to_numpy()
+            last, parts = None, []
+            for i, *rect in zip(frame.to_pylist(), *rects):
+                if i != last:
+                    picture = _picture(rows["luma"][i].as_buffer(), *(int(v[i]) for v in sizes))
+                    picture, last = rescale(picture, DETECT_WIDTH, DETECT_HEIGHT), i
+                parts.append(crop(picture, *rect))
+            made = {
+                "luma": [_packed(p.tobytes()) if packed else p.tobytes() for p in parts],
+                "width": [p.shape[1] for p in parts],
+                "height": [p.shape[0] for p in parts],
+            }
+            out = {}
+            for f in rows.schema:
+                if f.name != "_zones":
+                    out[f.name] = pa.array(made[f.name], f.type) if f.name in made else rows[f.name].take(frame)
+            yield pa.RecordBatch.from_pydict(out | {c: zones.field(c) for c in kinds.names})
+
+    return watching.mapInArrow(cut, schema)
 
 
 def zone_motion_boxes(regions: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -201,8 +264,7 @@ def zone_motion_boxes(regions: DataFrame, block_rows: int | None = None) -> Data
         zone = ZoneDetector(state)
         return _zone_boxes(zone, pdf), zone.dump()
 
-    keys, order = ["token", "zone_id"], ["frame_no"]
-    return in_order(regions, keys, order, step, BOX_SCHEMA)
+    return _by_zone(regions, step, BOX_SCHEMA)
 
 
 def report_motion(boxes: DataFrame) -> DataFrame:

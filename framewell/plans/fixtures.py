@@ -260,24 +260,27 @@ def clips(spark: SparkSession, sf_dir: str, width: int = 640, height: int = 360)
     """Full-size luma frames derived from the frame table, one per row: an 8x8 frame enlarged to ``width`` x ``height``.
 
     The frames of a stream are a camera that shows a fixed texture; the brightest cell of the small frame is drawn as
-    a square over it, so that what moves from frame to frame comes from the data.
+    a square over it, so that what moves from frame to frame comes from the data. The small frames are dealt anew first, since
+    a table of few megabytes, or of one row group, would have all pictures drawn and cut by one task.
     """
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     f = frames(spark, sf_dir)
     place = F.array_position("luma", F.array_max("luma")) - 1
     small = f.select(F.col("stream_id").cast("string").alias("token"), F.col("seq").alias("frame_no"), place.alias("cell"))
+    small = small.repartition(n, "frame_no")
     cw, ch = width // 8, height // 8
-    quiet, lit = "64" * cw, "C8" * cw
+    # strings of raw bytes, since these repeat and join as they are
+    quiet, lit = (F.repeat(F.unhex(F.lit(level)).cast("string"), cw) for level in ("64", "C8"))
     cx = (F.col("cell") % 8).cast("int")
-    bright = F.concat(F.repeat(F.lit(quiet), cx), F.lit(lit), F.repeat(F.lit(quiet), 7 - cx))
+    bright = F.concat(F.repeat(quiet, cx), lit, F.repeat(quiet, 7 - cx))
     cy = F.floor(F.col("cell") / 8).cast("int")
-    above = F.repeat(F.repeat(F.lit(quiet), F.lit(8)), cy * ch)
-    below = F.repeat(F.repeat(F.lit(quiet), F.lit(8)), (7 - cy) * ch)
+    above, below = F.repeat(quiet, 8 * ch * cy), F.repeat(quiet, 8 * ch * (7 - cy))
     return small.select(
         "token",
         "frame_no",
         F.lit(width).alias("width"),
         F.lit(height).alias("height"),
-        F.unhex(F.concat(above, F.repeat(bright, F.lit(ch)), below)).alias("luma"),
+        F.concat(above, F.repeat(bright, F.lit(ch)), below).cast("binary").alias("luma"),
     )
 
 

@@ -613,9 +613,8 @@ def clip_config(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def background_mask(spark: SparkSession, d: str) -> DataFrame:
-    masks = D.background_mask(D.zone_regions(V.clips(spark, d), D.watched_zones(clip_config(spark, d))))
-    changed = F.length(F.regexp_replace(F.hex("mask"), "00", "")) / 2
-    return masks.select("token", "zone_id", "frame_no", changed.cast("long").alias("changed_pixels"))
+    regions = D.zone_regions(V.clips(spark, d), D.watched_zones(clip_config(spark, d)), packed=True)
+    return D.background_mask(regions).select("token", "zone_id", "frame_no", "changed_pixels")
 
 
 @query()

@@ -71,19 +71,37 @@ def _sorted(rows: pa.Table, order: list[tuple[str, str]]) -> pa.Table:
     return rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
 
 
-def in_order(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, block_rows: int | None = None) -> DataFrame:
-    """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes."""
+def in_order(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    step: Step,
+    schema: str,
+    block_rows: int | None = None,
+    deal: str | None = None,
+    most: int | None = None,
+) -> DataFrame:
+    """Run ``step(rows, state) -> (rows, state)`` over each stream in order; the first state is empty bytes.
+
+    ``deal`` is a column with the number of the stream: streams go to tasks in turn, where hashes of few keys would meet in
+    some. A step sees up to ``most`` rows of a batch at once.
+    """
     if block_rows is not None:
         s = ordered(df, keys, order, block_rows)
         s = s.columns({BLOCK: F.coalesce(BLOCK, F.lit(0))})
         return _run_blocks(s, _block_states(s, step), step, schema)
     # a fixed number, since partitions of well compressed pictures look small enough to be joined
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    if deal is None:
+        rows = df.repartition(n, *keys)
+    else:
+        n = max(n, 2 * df.sparkSession.sparkContext.defaultParallelism)
+        rows = df.repartitionById(n, F.pmod(F.col(deal) - 1, F.lit(n)))
+    rows = rows.sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, state = None, b""
-        for pdf in batches:
+        for pdf in batches if most is None else (pdf[a : a + most] for pdf in batches for a in range(0, len(pdf), most)):
             parts = []
             for own, part in _streams_in(pdf, keys):
                 if own != stream:
