@@ -619,7 +619,7 @@ def background_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contour_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return D.zone_motion_boxes(D.zone_regions(V.clips(spark, d), D.watched_zones(clip_config(spark, d))))
+    return D.zone_motion_boxes(D.zone_regions(V.clips(spark, d), D.watched_zones(clip_config(spark, d)), packed=True))
 
 
 @query()
