@@ -281,7 +281,7 @@ def report_motion(boxes: DataFrame) -> DataFrame:
 def detect_motion(frames: DataFrame, config: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Motion boxes in percent corners of each frame (token, frame_no, width, height, luma) with motion."""
     watched = watched_zones(config)
-    return report_motion(zone_motion_boxes(zone_regions(frames, watched), block_rows))
+    return report_motion(zone_motion_boxes(zone_regions(frames, watched, packed=True), block_rows))
 
 
 class _ZoneProcessor(StatefulProcessor):
