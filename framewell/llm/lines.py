@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.tables import shielded, stored, words
+from framewell.llm.tables import freed, shielded, stored, words
 
 #: Leading tokens that lead to a leaf of the tree, after the number of tokens.
 DEPTH = 3
@@ -63,31 +63,34 @@ def leaves(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def placed_lines(found: DataFrame) -> DataFrame:
+def placed_lines(found: DataFrame, held: list[str]) -> DataFrame:
     """``(_key, _check, line, leaf)`` of the lines whose leaf holds at least :data:`MIN_DOCS` lines.
 
     A line whose own leaf holds fewer has a leading token that few lines hold there. It goes to the first of its wildcard
-    leaves that is a leaf of other lines already or that so many of such lines share.
+    leaves that is a leaf of other lines already or that so many of such lines share. ``held`` gets the paths of the tables
+    that the result is read from, here and below.
     """
     deep = found.filter(F.col("leaf").isNotNull()).select("_key", "_check", "line", "leaf", "wild")
     own = deep.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
-    busy = stored(own, "busy")
+    busy = stored(own, "busy", held)
     rare = stored(
-        deep.join(busy, "leaf", "left_anti").select("_key", "_check", "line", F.posexplode("wild").alias("way", "leaf")), "rare"
+        deep.join(busy, "leaf", "left_anti").select("_key", "_check", "line", F.posexplode("wild").alias("way", "leaf")),
+        "rare",
+        held,
     )
     shared = rare.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
-    nodes = stored(busy.union(shared).distinct(), "nodes")
+    nodes = stored(busy.union(shared).distinct(), "nodes", held)
     first = F.min(F.struct("way", "leaf"))["leaf"].alias("leaf")
     caught = rare.join(nodes, "leaf").groupBy("_key", "_check", "line").agg(first)
     return deep.join(busy, "leaf").select("_key", "_check", "line", "leaf").unionByName(caught)
 
 
-def exact_lines(found: DataFrame) -> DataFrame:
+def exact_lines(found: DataFrame, held: list[str]) -> DataFrame:
     """Lines whose words enough other lines have, digits included, as rows of :func:`line_templates`: the template of such a line
     is the line itself, at any length."""
     enough = (F.col("lines") >= MIN_DOCS) | ((F.col("n") >= PASSAGE) & (F.col("lines") > 1))
     often = found.groupBy("same", "twin").agg(F.count("*").alias("lines"), F.min("n").alias("n")).filter(enough)
-    again = stored(often.select("same", "twin"), "exact_leaves")
+    again = stored(often.select("same", "twin"), "exact_leaves", held)
     return found.join(again, ["same", "twin"]).select(
         "_key",
         "_check",
@@ -99,7 +102,7 @@ def exact_lines(found: DataFrame) -> DataFrame:
     )
 
 
-def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str) -> DataFrame:
+def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str, held: list[str]) -> DataFrame:
     """``(_key, _check, doc_id, line, leaf, same, tokens)`` of the ``placed`` lines.
 
     Leaves are found on hashes alone; only then do the numbers of the lines that matter meet the texts.
@@ -114,10 +117,11 @@ def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str) -> D
     )
     rows = parts.select("_key", "_check", "doc_id", F.explode_outer(chosen).alias("_l"))
     tokens = rows.select("_key", "_check", "doc_id", "_l.line", "_l.leaf", masked(words(F.col("_l.text"))).alias("tokens"))
-    return stored(tokens.withColumn("same", F.unhex(F.substring(F.sha2(F.array_join("tokens", " "), 256), 1, 32))), "lines")
+    same = F.unhex(F.substring(F.sha2(F.array_join("tokens", " "), 256), 1, 32))
+    return stored(tokens.withColumn("same", same), "lines", held)
 
 
-def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
+def line_templates(keyed: DataFrame, doc_id: str, text: str, held: list[str]) -> DataFrame:
     """``(_key, _check, doc_id, line, leaf, template, whole)`` of the lines that fit a template with enough constant tokens, and
     of those that recur word by word; a line may be in both. ``whole`` tells the texts of passages apart.
 
@@ -126,11 +130,13 @@ def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     Equal lines are counted before their tokens are laid out, so a line that very many documents share is one row from
     there on.
     """
-    found = stored(leaves(keyed, doc_id, text), "leaves")
-    near = busy_lines(keyed, placed_lines(found), doc_id, text)
+    found = stored(leaves(keyed, doc_id, text), "leaves", held)
+    own: list[str] = []
+    near = busy_lines(keyed, placed_lines(found, own), doc_id, text, held)
+    freed(keyed.sparkSession, own)
     seen = near.select("leaf", "same", "_key", "_check").distinct().groupBy("leaf", "same").agg(F.count("*").alias("docs"))
     forms = near.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens"))
-    placed = stored(forms.join(seen, ["leaf", "same"]), "forms").select(
+    placed = stored(forms.join(seen, ["leaf", "same"]), "forms", own).select(
         "leaf", "same", "docs", F.posexplode("tokens").alias("place", "token")
     )
     constant = (
@@ -148,13 +154,14 @@ def line_templates(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
         .filter(100 * F.size(F.array_remove("_tokens", FIELD)) >= CONSTANT_PERCENT * F.size("_tokens"))
         .select("leaf", "same", F.array_join("_tokens", " ").alias("template"))
     )
-    templates = stored(templates, "templates")
+    templates = stored(templates, "templates", held)
+    freed(keyed.sparkSession, own)
     ids = ["_key", "_check", "doc_id", "line", "leaf", "template"]
     fitting = near.join(templates, ["leaf", "same"]).select(*ids, F.lit(None).cast("long").alias("whole"))
-    return fitting.unionByName(exact_lines(found))
+    return fitting.unionByName(exact_lines(found, held))
 
 
-def repeated_lines(templated: DataFrame) -> DataFrame:
+def repeated_lines(templated: DataFrame, held: list[str]) -> DataFrame:
     """``(_key, _check, lines)``: the line numbers to drop. Of each template that at least :data:`MIN_DOCS` documents hold, and of
     each passage in two different texts, the first line of the smallest doc_id stays (nulls last, of equal ids the smaller row
     hash). The first line of a template is also the first of its copies, so one always stays."""
@@ -166,6 +173,7 @@ def repeated_lines(templated: DataFrame) -> DataFrame:
         .filter((F.col("docs") >= MIN_DOCS) | F.col("texts"))
         .select("leaf", "template", "first"),
         "recurring",
+        held,
     )
     dropped = templated.join(recurring, ["leaf", "template"]).filter(first > F.col("first"))
     return dropped.groupBy("_key", "_check").agg(F.collect_set("line").alias("lines"))
@@ -182,8 +190,12 @@ def drop_template_lines(documents: DataFrame, doc_id: str = "doc_id", text: str
     stays whole in each. Columns with the added names are replaced.
     """
     keyed = documents.withColumns(row_keys(documents))
-    templated = stored(line_templates(keyed, doc_id, text), "templated")
-    dropped = stored(repeated_lines(templated), "dropped_lines")
+    # of the tables on the way only the numbers of dropped lines are left when the texts move
+    spark, held, made = documents.sparkSession, [], []
+    templated = stored(line_templates(keyed, doc_id, text, held), "templated", made)
+    freed(spark, held)
+    dropped = stored(repeated_lines(templated, made), "dropped_lines")
+    freed(spark, made)
     parts = F.split(F.col(text), "\n")
     found = keyed.join(dropped, ["_key", "_check"], "left").withColumn("_parts", F.when(F.col("lines").isNotNull(), parts))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("lines"))

@@ -21,14 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: what follows does not compute it anew, and a lost executor
-    costs no more than one task."""
+    costs no more than one task. ``held`` collects the paths of tables for :func:`freed`."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession, held: list[str]) -> None:
+    """Delete tables that :func:`stored` wrote, once all that was made of them is stored itself."""
+    while held:
+        removed(spark, held.pop())
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of this subpackage in the shared folder, when a later one has taken its place."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
 import brute
 
 from framewell.llm import lines
+from framewell.session import shared_folder
 
 
 def test_dropped_lines_match_brute_force(spark, sf_dir):
@@ -53,3 +55,12 @@ def test_templates_that_exact_counting_misses(spark):
         assert not any(part in got[i] for part in ("wrote on", "The visitor", "Menu", "0800", passage)), got[i]
     assert passage in got[9]  # one word more is another line
     assert all(got[100 + i] == rows[-5 + i][1] for i in range(5))  # copies of one text are not passages shared by texts
+
+
+def test_only_the_dropped_lines_stay_stored(spark):
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = [(i, f"Share this article with 3 friends\nown text {i}\nMenu") for i in range(12)]
+    df = lines.drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["dropped_lines"]
+    assert sum(r.n_dropped for r in df.collect()) == sum(r.n_dropped for r in df.collect()) == 33
