@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewell.llm.tables import freed, shielded, stored, words
+from framewell.llm.tables import freed, shielded, shuffles_removed, stored, words
 
 #: Leading tokens that lead to a leaf of the tree, after the number of tokens.
 DEPTH = 3
@@ -17,6 +17,8 @@ PASSAGE = 50
 #: Percent of a line's tokens that must be constant.
 CONSTANT_PERCENT = 60
 FIELD = "<*>"
+#: Tokens that a task lays out at once; a leaf whose lines have more than the second number is dealt by token, not as a whole.
+TASK_TOKENS, LEAF_TOKENS = 1 << 20, 1 << 16
 
 
 def row_keys(df: DataFrame) -> dict[str, Column]:
@@ -30,6 +32,11 @@ def masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
 
 
+def named(text: Column) -> Column:
+    """16 bytes of a hash that stand for ``text``."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def leaves(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(_key, _check, doc_id, line, n, leaf, wild, same, twin, whole)`` of all lines with words.
 
@@ -97,17 +104,21 @@ def exact_lines(found: DataFrame, held: list[str]) -> DataFrame:
         "doc_id",
         "line",
         F.col("same").alias("leaf"),
-        F.concat(F.lit("="), F.col("twin").cast("string")).alias("template"),
+        F.concat(F.lit("="), F.col("twin").cast("string")).cast("binary").alias("template"),
         F.when(F.col("n") >= PASSAGE, F.col("whole")).alias("whole"),
     )
 
 
-def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str, held: list[str]) -> DataFrame:
-    """``(_key, _check, doc_id, line, leaf, same, tokens)`` of the ``placed`` lines.
+def wanted_lines(placed: DataFrame) -> DataFrame:
+    """``(_key, _check, _wanted)``: line numbers and leaves of the ``placed`` lines of each document."""
+    return placed.groupBy("_key", "_check").agg(F.array_sort(F.collect_set(F.struct("line", "leaf"))).alias("_wanted"))
+
+
+def busy_lines(keyed: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(_key, _check, doc_id, line, leaf, same, form)`` of the ``wanted`` lines; a form is the tokens with a space between.
 
     Leaves are found on hashes alone; only then do the numbers of the lines that matter meet the texts.
     """
-    wanted = placed.groupBy("_key", "_check").agg(F.array_sort(F.collect_set(F.struct("line", "leaf"))).alias("_wanted"))
     found = keyed.select("_key", "_check", F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(
         wanted, ["_key", "_check"]
     )
@@ -116,9 +127,49 @@ def busy_lines(keyed: DataFrame, placed: DataFrame, doc_id: str, text: str, held
         "_wanted", lambda w: F.struct(w["line"], w["leaf"], F.get("_parts", w["line"]).alias("text"))
     )
     rows = parts.select("_key", "_check", "doc_id", F.explode_outer(chosen).alias("_l"))
-    tokens = rows.select("_key", "_check", "doc_id", "_l.line", "_l.leaf", masked(words(F.col("_l.text"))).alias("tokens"))
-    same = F.unhex(F.substring(F.sha2(F.array_join("tokens", " "), 256), 1, 32))
-    return stored(tokens.withColumn("same", same), "lines", held)
+    form = F.array_join(masked(words(F.col("_l.text"))), " ").alias("form")
+    return rows.select("_key", "_check", "doc_id", "_l.line", "_l.leaf", form).withColumn("same", named(F.col("form")))
+
+
+def laid_out(forms: DataFrame) -> DataFrame:
+    return forms.select("leaf", "same", "docs", F.posexplode(F.split("form", " ")).alias("place", "token"))
+
+
+def joined_up(placed: DataFrame, fixed: Column) -> DataFrame:
+    """``(leaf, same, template)`` of the forms with enough constant tokens, templates by a hash; ``fixed`` tells the constant ones of ``placed``."""
+    token = F.when(fixed, F.col("token")).otherwise(FIELD)
+    return (
+        placed.groupBy("leaf", "same")
+        .agg(F.sort_array(F.collect_list(F.struct("place", token.alias("token")))).alias("_parts"))
+        .select("leaf", "same", F.col("_parts.token").alias("_tokens"))
+        .filter(100 * F.size(F.array_remove("_tokens", FIELD)) >= CONSTANT_PERCENT * F.size("_tokens"))
+        .select("leaf", "same", named(F.array_join("_tokens", " ")).alias("template"))
+    )
+
+
+def form_templates(forms: DataFrame, held: list[str]) -> DataFrame:
+    """``(leaf, same, template)`` of ``forms(leaf, same, docs, form)``.
+
+    A leaf meets in one task, so that its forms move once, as they are, and are laid out there token by token. Only leaves of
+    more than :data:`LEAF_TOKENS` tokens are laid out before the shuffles and dealt by place and token.
+    """
+    sizes = stored(forms.groupBy("leaf").agg(F.sum(F.size(F.split("form", " "))).alias("n")), "leaf_sizes", held)
+    with shuffles_removed(forms.sparkSession):
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = F.broadcast(sizes.filter(F.col("n") > LEAF_TOKENS).select("leaf"))
+    tasks = max(forms.sparkSession.sparkContext.defaultParallelism, total // TASK_TOKENS)
+    placed = laid_out(forms.join(large, "leaf", "left_anti").repartition(tasks, "leaf"))
+    n = F.sum("docs").over(Window.partitionBy("leaf", "place", "token"))
+    whole = joined_up(placed.withColumn("n", n), (F.col("n") >= MIN_DOCS) & (F.col("token") != FIELD))
+    placed = laid_out(forms.join(large, "leaf", "left_semi"))
+    constant = (
+        placed.groupBy("leaf", "place", "token")
+        .agg(F.sum("docs").alias("n"))
+        .filter((F.col("n") >= MIN_DOCS) & (F.col("token") != FIELD))
+        .select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    )
+    cut = joined_up(placed.join(constant, ["leaf", "place", "token"], "left"), F.coalesce("fixed", F.lit(False)))
+    return whole.unionByName(cut)
 
 
 def line_templates(keyed: DataFrame, doc_id: str, text: str, held: list[str]) -> DataFrame:
@@ -128,37 +179,24 @@ def line_templates(keyed: DataFrame, doc_id: str, text: str, held: list[str]) ->
     Below a leaf, a token is constant at its place if it stands there in at least :data:`MIN_DOCS` documents, else the
     place is a field. Only lines of leaves with that many lines can hold such a token; all others end with the hashes.
     Equal lines are counted before their tokens are laid out, so a line that very many documents share is one row from
-    there on.
+    there on. The hashes of all lines are gone before the texts move.
     """
-    found = stored(leaves(keyed, doc_id, text), "leaves", held)
     own: list[str] = []
-    near = busy_lines(keyed, placed_lines(found, own), doc_id, text, held)
+    numbers: list[str] = []
+    found = stored(leaves(keyed, doc_id, text), "leaves", own)
+    wanted = stored(wanted_lines(placed_lines(found, own)), "wanted", numbers)
+    exact = stored(exact_lines(found, own), "exact_lines", held)
     freed(keyed.sparkSession, own)
+    near = stored(busy_lines(keyed, wanted, doc_id, text), "lines", held)
+    freed(keyed.sparkSession, numbers)
     seen = near.select("leaf", "same", "_key", "_check").distinct().groupBy("leaf", "same").agg(F.count("*").alias("docs"))
-    forms = near.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens"))
-    placed = stored(forms.join(seen, ["leaf", "same"]), "forms", own).select(
-        "leaf", "same", "docs", F.posexplode("tokens").alias("place", "token")
-    )
-    constant = (
-        placed.groupBy("leaf", "place", "token")
-        .agg(F.sum("docs").alias("n"))
-        .filter((F.col("n") >= MIN_DOCS) & (F.col("token") != FIELD))
-        .select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    )
-    token = F.when(F.coalesce("fixed", F.lit(False)), F.col("token")).otherwise(FIELD)
-    templates = (
-        placed.join(constant, ["leaf", "place", "token"], "left")
-        .groupBy("leaf", "same")
-        .agg(F.sort_array(F.collect_list(F.struct("place", token.alias("token")))).alias("_parts"))
-        .select("leaf", "same", F.col("_parts.token").alias("_tokens"))
-        .filter(100 * F.size(F.array_remove("_tokens", FIELD)) >= CONSTANT_PERCENT * F.size("_tokens"))
-        .select("leaf", "same", F.array_join("_tokens", " ").alias("template"))
-    )
-    templates = stored(templates, "templates", held)
+    forms = near.groupBy("leaf", "same").agg(F.first("form").alias("form"))
+    forms = stored(forms.join(seen, ["leaf", "same"]), "forms", own)
+    templates = stored(form_templates(forms, own), "templates", held)
     freed(keyed.sparkSession, own)
     ids = ["_key", "_check", "doc_id", "line", "leaf", "template"]
     fitting = near.join(templates, ["leaf", "same"]).select(*ids, F.lit(None).cast("long").alias("whole"))
-    return fitting.unionByName(exact_lines(found, held))
+    return fitting.unionByName(exact)
 
 
 def repeated_lines(templated: DataFrame, held: list[str]) -> DataFrame:

@@ -64,3 +64,59 @@ def test_only_the_dropped_lines_stay_stored(spark):
     df = lines.drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["dropped_lines"]
     assert sum(r.n_dropped for r in df.collect()) == sum(r.n_dropped for r in df.collect()) == 33
+
+
+def varied_rows(n):
+    """Texts whose lines share a leaf and differ in their words; the first four of ten documents share a template."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(4000)]
+    rows = []
+    for i in range(n):
+        own = " ".join(rng.sample(pool, 36))
+        fixed = " ".join(f"{pool[0]}{'abcdefghij'[k % 10]}{k // 10 * 'z'}" for k in range(30))
+        rows.append((i, f"read all about {own}" + (f"\nread all about {fixed} {' '.join(rng.sample(pool, 6))}" if i % 10 < 4 else "")))
+    return rows
+
+
+def test_leaves_dealt_by_token_match_brute_force(spark, monkeypatch):
+    rows = varied_rows(60)
+    want = {d: out for (d, _), out in zip(rows, brute.drop_lines(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(out[2] for out in want.values()) == 23
+    for most in (lines.LEAF_TOKENS, 100):
+        monkeypatch.setattr(lines, "LEAF_TOKENS", most)
+        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.drop_template_lines(df).collect()}
+        assert got == want
+
+
+def shuffled(spark):
+    """Rows that all stages of the session have written to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    found = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in found)
+
+
+def test_tokens_are_laid_out_after_the_shuffle(spark):
+    """The lines of a leaf move as they are: rows in shuffles go with lines and not with tokens."""
+    rows = varied_rows(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n_lines = sum(t.count("\n") + 1 for _, t in rows)
+    before = shuffled(spark)
+    lines.drop_template_lines(df)
+    assert n_lines < shuffled(spark) - before < 30 * n_lines  # 39 tokens a line, in three shuffles before
+
+
+def test_no_shuffle_files_stay_of_the_tables_on_the_way(spark):
+    rows = [(i, f"Share this article with 3 friends\nown text {i}\nMenu") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())}
+
+    before = files()
+    found = lines.drop_template_lines(df)
+    assert not [f for f in files() - before if f.startswith("shuffle_")]
+    assert sum(r.n_dropped for r in found.collect()) == 33
