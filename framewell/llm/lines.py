@@ -162,11 +162,13 @@ def form_templates(forms: DataFrame, held: list[str]) -> DataFrame:
     n = F.sum("docs").over(Window.partitionBy("leaf", "place", "token"))
     whole = joined_up(placed.withColumn("n", n), (F.col("n") >= MIN_DOCS) & (F.col("token") != FIELD))
     placed = laid_out(forms.join(large, "leaf", "left_semi"))
-    constant = (
+    constant = stored(  # both sides of the join below are dealt anew, so that it can split a hot token
         placed.groupBy("leaf", "place", "token")
         .agg(F.sum("docs").alias("n"))
         .filter((F.col("n") >= MIN_DOCS) & (F.col("token") != FIELD))
-        .select("leaf", "place", "token", F.lit(True).alias("fixed"))
+        .select("leaf", "place", "token", F.lit(True).alias("fixed")),
+        "constant",
+        held,
     )
     cut = joined_up(placed.join(constant, ["leaf", "place", "token"], "left"), F.coalesce("fixed", F.lit(False)))
     return whole.unionByName(cut)
